@@ -54,3 +54,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+QUERIES["op10_mixing"] = op10_mixing
+ORACLES["op10_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
+         greatest(0.1::DOUBLE, CAST(length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) AS DOUBLE) / greatest(1, length(coalesce(text, '')))) AS quality
+  FROM documents),
+k AS (
+  SELECT *, -ln((CAST(CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '\N') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE) / quality AS key
+  FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER b, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, most <= level * weight AS filled FROM l),
+g AS (SELECT min(level) FILTER (NOT filled) AS common FROM (SELECT level, filled, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS r FROM f) WHERE NOT filled AND r = (SELECT min(r) FROM (SELECT filled, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS r FROM f) WHERE NOT filled)),
+t AS (SELECT source, source_size, CASE WHEN filled THEN most ELSE (SELECT common FROM g) * weight END AS target FROM f),
+e AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS epochs FROM t),
+r AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+         CAST(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (epochs + CASE WHEN rest > 0 AND upto - rest <= rest - (upto - size) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(epochs + CASE WHEN rest > 0 AND upto - rest <= rest - (upto - size) THEN 1 ELSE 0 END AS BIGINT) AS times
+FROM r
+"""
