@@ -89,3 +89,13 @@ SELECT doc_id, size, source_size, target,
        CAST(epochs + CASE WHEN rest > 0 AND upto - rest <= rest - (upto - size) THEN 1 ELSE 0 END AS BIGINT) AS times
 FROM r
 """
+
+
+def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdshard import assign
+
+    placed = assign(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op5_kd_sharding"] = op5_kd_sharding
