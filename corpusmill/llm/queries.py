@@ -99,3 +99,14 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_kd_sharding"] = op5_kd_sharding
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import tokenize_to_records
+
+    return tokenize_to_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+QUERIES["op1_token_records"] = op1_token_records
