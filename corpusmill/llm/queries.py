@@ -110,3 +110,17 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_records"] = op1_token_records
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold_of
+    from .langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    fold = fold_of(F.col("doc_id"), 3)
+    model = train(docs.select("doc_id", "text", "lang"), learn=F.coalesce(fold != 1, F.lit(True)))
+    found = predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op2_language_id"] = op2_language_id
