@@ -124,3 +124,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_language_id"] = op2_language_id
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import Rule, judge
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
+QUERIES["op8_url_filter"] = op8_url_filter
