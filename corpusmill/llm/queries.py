@@ -134,3 +134,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_url_filter"] = op8_url_filter
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold_of
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = fold_of(F.col("doc_id"), 5)
+    model = train(docs, table(spark, sf_dir, "labels"), learn=F.coalesce(fold != 0, F.lit(True)))
+    found = score(docs, model)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
