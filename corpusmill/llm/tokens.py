@@ -21,9 +21,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,16 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, open_fs
+from .common import LOWER_AZ, new_path, open_fs
 
 _HEAD = struct.Struct("<QI")
 _CRC = struct.Struct("<I")
 _PAYLOAD = struct.Struct("<qBB")
 _INDEX = struct.Struct("<QQ")
-#: Words whose ids a worker remembers; then it forgets all and starts again.
-MEMO_WORDS = 300_000
-#: UTF-8 bytes of text that one file takes on average.
-BYTES_A_FILE = 16 << 20
+#: Words whose ids a worker remembers, in each of two generations.
+MEMO_WORDS = 500_000
+#: Records of a file, on average, at most; small tables get files for as many tasks as run at once.
+ROWS_A_FILE = 50_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -52,51 +55,95 @@ def masked_crc(data: bytes) -> int:
 # ---------------------------------------------------------------- encoding
 
 
+#: Classes of bytes: a letter or digit, "." full stop or comma, p other ASCII sign, u beyond ASCII.
+_KINDS = bytes(ord("u") if b >= 128 else ord("a") if chr(b).isalnum() else 32 if chr(b).isspace() or b < 32 else ord(".") if chr(b) in ".," else ord("p") for b in range(256))
+_BESIDE = re.compile(r"([^\x00-\x7f])(?=[.,])|(?<=[.,])([^\x00-\x7f])")
+#: The byte-level alphabet: bytes that print stand for themselves, the others for 256 and on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
+
+
+def _byte_letters(word: bytes) -> str | None:
+    """A word of Latin letters, lower-cased, in the byte-level alphabet; None for other words."""
+    if word.isalpha():  # of ASCII letters
+        return word.decode().lower()
+    s = word.decode()
+    if not s.isalpha() or max(s) >= "\u0250" or "\u0130" in s:
+        return None
+    return s.lower().encode().decode("latin-1").translate(_ALPHABET)
+
+
+class _Memo(dict):
+    """Words to their packed ids; a word that is not there is looked up in the generation before,
+    else encoded."""
+
+    def __init__(self, encoder: WordEncoder, before: dict[bytes, bytes]):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: bytes) -> bytes:
+        packed = self.before.get(word)
+        if packed is None:
+            packed = self.encoder.pack_word(word)
+        self[word] = packed
+        return packed
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file, word by word, remembering words.
 
-    Words end at ASCII white space. That gives the ids of the whole text for tokenizers that never
-    join across white space and drop it (as the word-end BPE does): normalisers and patterns then
-    see each word alone. ``encode(text)`` for any other tokenizer: pass ``by_word=False``."""
+    Words end at ASCII white space. That gives the ids of the whole text for tokenizers that drop
+    white space and never join across it (as the word-end BPE does). Where the tokenizer also
+    lower-cases and takes single marks as tokens, which is tried on construction, more is shared.
+    For any other tokenizer pass ``by_word=False``, which encodes whole texts in one call."""
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.tokenize = self.tokenizer.model.tokenize
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.by_word = by_word
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = _Memo(self, {})
+        # words of Latin letters alone go straight to the model where that gives the same ids
+        probes = "a z qu hello tokenization xylophones thth zqxjkv s ll don é été größe niñoç ærø Łódź Äpfel straße".split()
+        self.direct = all(self._ids(w) == self._ids(w.lower()) == [t.id for t in self.tokenize(_byte_letters(w.encode()))] for w in probes)
+        self.direct = self.direct and all(self._ids(f"{a}{m}{z}") == self._ids(f"{a} {m} {z}") for a in ("a", "é", "1") for m in ".," for z in ("b", "ñ", "2", " c", ""))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def pack_word(self, word: bytes) -> bytes:
+        spelt = _byte_letters(word) if self.direct else None
+        ids = self._ids(word.decode()) if spelt is None else [t.id for t in self.tokenize(spelt)]
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed as ``dtype``."""
         if not self.by_word:
             encoded = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-        out = []
-        for t in texts:
-            words = t.split()
-            try:
-                out.append(b"".join([self.memo[w] for w in words]))
-            except KeyError:
-                self._learn(words)
-                out.append(b"".join([self.memo[w] for w in words]))
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        # a cleared memo learns this text's words whole; one text's words all fit
-        new = list({w for w in words if w not in self.memo})
-        # words in one call: word_ids tells which of them an id belongs to
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            e = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype)
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize
-            packed = ids.tobytes()
-            for w, a, z in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self.memo[w] = packed[a:z]
+        if len(self.memo) > MEMO_WORDS:  # two generations: the full one becomes the one before
+            self.memo = _Memo(self, dict(self.memo))
+        look = self.memo.__getitem__
+        return [b"".join(map(look, self._words(t))) for t in texts]
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """A text's words. Full stops and commas between letters, digits and white space are tokens
+        of their own, and so become words of their own, which leaves fewer different words."""
+        if not self.direct or b"<" in text:  # special tokens are found in the text as it stands
+            return text.split()
+        kinds = text.translate(_KINDS)
+        alone = b"p." not in kinds and b".p" not in kinds and b".." not in kinds
+        if alone and (b"u." in kinds or b".u" in kinds):
+            alone = all((a or z).isalnum() for a, z in _BESIDE.findall(text.decode()))
+        text = text.translate(LOWER_AZ)
+        return text.replace(b".", b" . ").replace(b",", b" , ").split() if alone else text.split()
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -200,8 +247,10 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     fs, at = open_fs(folder)
     fs.create_dir(at, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-size // BYTES_A_FILE)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
+    n = rows.count()
+    at_once = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_files = max(1, -(-n // ROWS_A_FILE), min(at_once, n // 1000))
+    ordered = rows.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, by_word)
@@ -210,9 +259,9 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         def records() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:
                 ids = b.column(0).to_pylist()
-                for lo in range(0, len(ids), 64):
-                    texts = [x.as_buffer().to_pybytes() for x in b.column(1)[lo : lo + 64]]
-                    for doc_id, packed in zip(ids[lo : lo + 64], enc.batch(texts), strict=True):
+                for lo in range(0, len(ids), 256):
+                    texts = [x.as_buffer().to_pybytes() for x in b.column(1)[lo : lo + 256]]
+                    for doc_id, packed in zip(ids[lo : lo + 256], enc.batch(texts), strict=True):
                         yield doc_id, packed + tail
 
         made = _write_file(folder, TaskContext.get().partitionId(), records(), enc.dtype.itemsize)
