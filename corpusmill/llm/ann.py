@@ -171,7 +171,7 @@ def _blocks(sizes: dict[int, int], block: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, query_block: int = 2048, **fit_options) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16384, query_block: int = 2048, **fit_options) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows found, nearest first.
 
     ``is_query`` is a condition on the column vec_id. A task scans ``block`` rows of the index for
