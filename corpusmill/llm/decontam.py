@@ -258,9 +258,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", win
     tagged = scan(plain.withColumn("no_id", F.lit(None).cast("long")), bench, id_col="no_id", text_col=f"c{at}", window=window, keep=tuple(plain.columns), **names)
     kept = tagged.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)).select(*plain.columns, "spans")
 
+    own, width = plain.columns, len(cols)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [cut_spans(t, [(x["first"], x["last"]) for x in s]) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(cols))], plain.columns)
+            texts = [cut_spans(t, [(x["first"], x["last"]) for x in s]) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(width)], own)
 
     return kept.mapInArrow(run, plain.schema).toDF(*cols)
