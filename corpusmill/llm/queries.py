@@ -157,3 +157,13 @@ def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_ann_search"] = op3_ann_search
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import made_up_findings, scan, train
+
+    found = scan(table(spark, sf_dir, "documents"), train(made_up_findings()))
+    return found.withColumn("secret", F.col("score") >= 0.5)
+
+
+QUERIES["op7_secret_scan"] = op7_secret_scan
