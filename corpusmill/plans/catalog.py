@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, search  # noqa: F401
+from . import documents, evaluation, search  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
