@@ -169,3 +169,14 @@ def hype_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     asked = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.element_at(F.split("text", "\n"), 1)).alias("question"), F.lit(1.0).alias("quality")).where(F.length("question") > 10)
     return question_search(items(spark, sf_dir), asked, 5)
+
+
+@query()
+def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents an item with the full analyzer: stems, synonyms, acronyms (SF5)."""
+    from ..functions.stem import stemmed_tokens
+
+    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), analyzer=stemmed_tokens)
+    index.postings.persist()
+    scores = bm25(index, items(spark, sf_dir), analyzer=stemmed_tokens).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
+    return top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank", "score")
