@@ -22,7 +22,7 @@ def read_binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def read_html(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """(name, html) of pages that the manifest does not name as aliases (SC5, PF3)."""
-    pages = read_binary(spark, path, "*.html").select("name", F.decode("content", F.lit("UTF-8")).alias("html"))
+    pages = read_binary(spark, path, "*.html").select("name", F.decode("content", "UTF-8").alias("html"))
     return pages if manifest is None else pages.join(alias_names(manifest), "name", "left_anti")
 
 
@@ -58,7 +58,7 @@ def better_page(text: Column, other: Column) -> Column:
 def read_markdown(spark: SparkSession, path: str, manifest: DataFrame | None = None, only_indexable: bool = False) -> DataFrame:
     """(name, content, logical_name, source_url): empty files go; a page's record is found by the
     Markdown name, else the page's name, else its logical name (SC8, SC29, J9, J10)."""
-    docs = read_binary(spark, path, "*.md").select("name", F.decode("content", F.lit("UTF-8")).alias("content")).where(F.trim("content") != "")
+    docs = read_binary(spark, path, "*.md").select("name", F.decode("content", "UTF-8").alias("content")).where(F.trim("content") != "")
     if manifest is None:
         return docs.withColumns({"logical_name": F.lit(None).cast("string"), "source_url": F.lit(None).cast("string")})
     stem = F.regexp_replace("name", r"\.md$", "")
