@@ -182,6 +182,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
     model = fit(vectors, n, **fit_options)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if n <= 50 * k:  # so few rows that a query could else see fewer than k candidates
+        model.probes = len(model.centroids)
     dim = model.centroids.shape[1]
     codes, _ = materialize(encode(vectors, model), "ann-codes")
     # a row a list, at most 4096

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -52,6 +53,12 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(df, F.col("vec_id") == 3).count() == 0
 
 
+def test_fewer_candidates_than_asked_for_are_all_found(spark):
+    df = spark.createDataFrame([(i, [math.cos(i * 1.7), math.sin(i * 1.7)]) for i in range(4)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.lit(True), k=5).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(i, j) for i in range(4) for j in range(4) if i != j]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
