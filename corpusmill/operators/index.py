@@ -34,10 +34,21 @@ def tokenized(docs: DataFrame, text: Column, analyzer: Callable[[Column], Column
     return docs.withColumn("tokens", analyzer(text))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Callable[[Column], Column] = plain_tokens) -> LexicalIndex:
-    """Term and document frequencies of every text (AG1, AG2). Null texts count as documents."""
+#: Tokens that go out with a broadcast, at most; more are joined.
+BROADCAST_TOKENS = 100_000
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Callable[[Column], Column] = plain_tokens, only: DataFrame | None = None) -> LexicalIndex:
+    """Term and document frequencies of every text (AG1, AG2). Null texts count as documents.
+
+    ``only``: a table of tokens (column token); postings of others are left out before they are
+    counted, which is all that a batch of queries needs. Lengths and figures are of whole texts."""
     toks = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(analyzer(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    postings = toks.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token")).groupBy("doc_id", "token", "doc_len").agg(F.count("*").alias("tf"))
+    words = toks.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
+    if only is not None:
+        wanted = only.select("token").distinct()
+        words = words.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted, "token", "left_semi")
+    postings = words.groupBy("doc_id", "token", "doc_len").agg(F.count("*").alias("tf"))
     stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
     return LexicalIndex(postings.select("doc_id", "token", "tf", "doc_len"), stats)
 

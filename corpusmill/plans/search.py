@@ -42,8 +42,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def asked_tokens(spark: SparkSession, sf_dir: str, analyzer=tx.plain_tokens) -> DataFrame:
+    return items(spark, sf_dir).select(F.explode(analyzer(F.col("query"))).alias("token"))
+
+
 def _index(spark: SparkSession, sf_dir: str):
-    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), only=asked_tokens(spark, sf_dir))
     index.postings.persist()  # read for scores and for document frequencies
     return index
 
@@ -58,7 +62,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {BM25} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS BIGINT) AS rank, round(bm25, 6) AS score FROM s QUALIFY rank <= 5")
 def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the English documents alone: frequencies are those of the subset (PF5, J1)."""
-    index = build_index(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
+    index = build_index(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), only=asked_tokens(spark, sf_dir))
     index.postings.persist()
     scores = bm25(index, items(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
     return top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank", "score")
@@ -176,7 +180,7 @@ def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents an item with the full analyzer: stems, synonyms, acronyms (SF5)."""
     from ..functions.stem import stemmed_tokens
 
-    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), analyzer=stemmed_tokens)
+    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), analyzer=stemmed_tokens, only=asked_tokens(spark, sf_dir, stemmed_tokens))
     index.postings.persist()
     scores = bm25(index, items(spark, sf_dir), analyzer=stemmed_tokens).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
     return top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank", "score")
