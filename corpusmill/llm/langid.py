@@ -191,8 +191,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     model = LanguageModel(labels, idf, np.zeros((BINS, len(labels))), np.zeros(len(labels)))
     xs, ys, fit = [], [], []
     for y, u, at, tf in sample:
-        a = np.frombuffer(at, np.uint16).astype(np.int64)
-        xs.append((a, model.features(a, np.frombuffer(tf, np.float32).astype(float))))
+        a = np.frombuffer(at, np.uint16).astype(np.int32)
+        xs.append((a, model.features(a, np.frombuffer(tf, np.float32).astype(float)).astype(np.float32)))
         ys.append(labels.index(y))
         fit.append(u >= 0.2)
     ys, fit = np.array(ys, int), np.array(fit, bool)
