@@ -192,39 +192,49 @@ def _automaton(shipped, window: int) -> ItemAutomaton:
     return _BUILT[key]
 
 
-def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 100_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_words, n_hit, longest, spans, items) for every row of ``docs``.
+def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 100_000, keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
+    """(doc_id, *keep, n_words, n_hit, longest, spans, items) for every row of ``docs``; with ``cut``
+    also clean, the text without its hit spans.
 
     spans: hit words, as first and last index from 0, disjoint and in order; longest: words of the
     longest match; items: ids found, sorted as strings."""
     spark = docs.sparkSession
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    found = "n_words long, longest long, spans array<struct<first:long,last:long>>, items array<string>"
-    empty = [F.expr(f"cast({v} as {t}) AS {c}") for c, v, t in (("n_words", "0", "long"), ("longest", "0", "long"), ("spans", "array()", "array<struct<first:long,last:long>>"), ("items", "array()", "array<string>"))]
+    found = "n_words long, longest long, spans array<struct<first:long,last:long>>, items array<string>, clean string"
+    added = [x.split()[0] for x in found.split(", ")]
+    empty = [F.expr(f"cast({v} as {t}) AS {c}") for c, v, t in (("n_words", "0", "long"), ("longest", "0", "long"), ("spans", "array()", "array<struct<first:long,last:long>>"), ("items", "array()", "array<string>"), ("clean", "null", "string"))]
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).cast("binary").alias("t"), *empty)
-    schema = T.StructType([f for f in out.schema.fields if f.name not in ("n_words", "longest", "spans", "items")] + T.StructType.fromDDL(found).fields)
-    n_own = len(schema) - 4
-    for k, items in enumerate(_item_blocks(bench, item_col, item_text_col, block_words)):
-        if k:
-            out, _ = materialize(out, "decontam")
+    schema = T.StructType([f for f in out.schema.fields if f.name not in added] + T.StructType.fromDDL(found).fields)
+    n_own = len(schema) - len(added)
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()), pa.string())
+    blocks = _item_blocks(bench, item_col, item_text_col, block_words)
+    items = next(blocks)
+    while items is not None:
+        coming = next(blocks, None)
         shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+        cut_now = cut and coming is None
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, cut_now=cut_now) -> Iterator[pa.RecordBatch]:
             auto = _automaton(shipped, window)
-            for b in batches:
-                got: tuple[list, ...] = ([], [], [], [])
-                for t, longest, s0, i0 in zip(*(b.column(n_own + j - (j == 0)).to_pylist() for j in (0, 1, 2, 3)), strict=True):
-                    ws = words_of(t)
-                    spans, names, n = auto.scan(ws)
-                    spans = _merged([(x["first"], x["last"]) for x in s0] + spans)
-                    for to, v in zip(got, (len(ws), max(longest, n), [{"first": a, "last": z} for a, z in spans], sorted({*i0, *(auto.items[x] for x in names)})), strict=True):
-                        to.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:n_own], *(pa.array(v, t) for v, t in zip(got, kinds, strict=True))], b.schema.names)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    b = whole.slice(at, 500)
+                    got: tuple[list, ...] = ([], [], [], [], [])
+                    for t, longest, s0, i0 in zip(*(b.column(n_own - 1 + j).to_pylist() for j in (0, 2, 3, 4)), strict=True):
+                        ws = words_of(t)
+                        spans, names, n = auto.scan(ws)
+                        spans = _merged([(x["first"], x["last"]) for x in s0] + spans)
+                        clean = None if not cut_now or t is None else cut_spans(t, spans) if spans else t.decode()
+                        for to, v in zip(got, (len(ws), max(longest, n), [{"first": a, "last": z} for a, z in spans], sorted({*i0, *(auto.items[x] for x in names)}), clean), strict=True):
+                            to.append(v)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:n_own], *(pa.array(v, t) for v, t in zip(got, kinds, strict=True))], b.schema.names)
 
         out = out.mapInArrow(run, schema)
+        if coming is not None:
+            out, _ = materialize(out, "decontam")
+        items = coming
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
-    return out.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", covered.alias("n_hit"), "longest", "spans", "items")
+    return out.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", covered.alias("n_hit"), "longest", "spans", "items", *(["clean"] if cut else []))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,9 +247,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> str:
     """The text without the given word spans; the rest joined by single spaces."""
-    raw = text.encode()
     at = [m.span() for m in _WORD.finditer(raw)]
     parts, pos = [], 0
     for a, z in spans:
@@ -254,15 +263,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", win
     ``max_coverage`` of the words are hit go. Rows without hits stay as they are, byte for byte."""
     cols = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
-    at = cols.index(text_col)
-    tagged = scan(plain.withColumn("no_id", F.lit(None).cast("long")), bench, id_col="no_id", text_col=f"c{at}", window=window, keep=tuple(plain.columns), **names)
-    kept = tagged.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)).select(*plain.columns, "spans")
-
-    own, width = plain.columns, len(cols)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [cut_spans(t, [(x["first"], x["last"]) for x in s]) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(width)], own)
-
-    return kept.mapInArrow(run, plain.schema).toDF(*cols)
+    text = f"c{cols.index(text_col)}"
+    others = tuple(c for c in plain.columns if c != text)
+    tagged = scan(plain.withColumn("no_id", F.lit(None).cast("long")), bench, id_col="no_id", text_col=text, window=window, keep=others, cut=True, **names)
+    kept = tagged.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage))
+    return kept.withColumnRenamed("clean", text).select(*plain.columns).toDF(*cols)
