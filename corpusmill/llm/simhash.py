@@ -36,7 +36,7 @@ from .components import connected_components
 #: Buckets up to this size give all their pairs; larger ones take the linear path.
 PAIR_BUCKET = 64
 #: The same for the wide fingerprints, whose buckets hold a node or two unless texts are alike.
-NEAR_BUCKET = 8
+NEAR_BUCKET = 4
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -238,16 +238,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def wide_fingerprints(docs: DataFrame, text_col: str, width: int, words: int) -> DataFrame:
-    """(doc_id, node, fp, check): node is the text's 64-bit hash, by which equal texts are found;
-    fp has 64 x ``words`` bits; check is one word more, of bits that fp does not have."""
+    """(doc_id, node, fp, check, check2): node is the text's 64-bit hash, by which equal texts are
+    found; fp has 64 x ``words`` bits; the checks are two words more, of bits that fp does not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [fingerprint(shingle_hashes(t, width), words + 1) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[:-1].tobytes() for x in f], pa.binary()), pa.array([int(x[-1].astype(np.int64)) for x in f], pa.int64())], ["doc_id", "node", "fp", "check"])
+            f = [fingerprint(shingle_hashes(t, width), words + 2) for t in b.column(2).to_pylist()]
+            checks = [pa.array([int(x[k].astype(np.int64)) for x in f], pa.int64()) for k in (-2, -1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[:-2].tobytes() for x in f], pa.binary()), *checks], ["doc_id", "node", "fp", "check", "check2"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, fp binary, check long")
+    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, fp binary, check long, check2 long")
 
 
 def _bit_means(nodes: DataFrame, n_bits: int) -> tuple[int, np.ndarray]:
@@ -268,14 +269,12 @@ def expected_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def candidate_pairs(nodes: DataFrame, similarity: float, words: int, part_share: float = 0.9) -> DataFrame:
-    """(a, b) of nodes (node, fp, check; materialised) that may be ``similarity`` alike.
+def wide_parts(nodes: DataFrame, words: int, part_share: float = 0.9) -> np.ndarray:
+    """The parts that are probed, a row of bit numbers each.
 
     The bits are cut into parts of about log2(n) bits, biased (hence correlated) bits together, and
-    dynamic programming gives ``part_share`` of the parts threshold 0, the others -1. Buckets of up
-    to NEAR_BUCKET nodes give all pairs whose check words are near; nodes of a larger bucket are
-    linked to its least and its largest node, so that the links grow with the nodes, not with their
-    square; what those links join is verified like any pair, and each node is in many buckets."""
+    dynamic programming on the estimated candidates gives ``part_share`` of the parts threshold 0,
+    the others -1."""
     n_bits = 64 * words
     n, mean = _bit_means(nodes, n_bits)
     width = min(40, max(12, math.ceil(math.log2(max(n, 2))) + 1))
@@ -284,39 +283,53 @@ def candidate_pairs(nodes: DataFrame, similarity: float, words: int, part_share:
     agree = mean**2 + (1 - mean) ** 2
     costs = [[0.0, float(n) * n * float(np.prod(agree[p]))] for p in parts]
     limits = allocate_thresholds(costs, max(1, round(part_share * len(parts))))
-    parts = parts[[i for i, t in enumerate(limits) if t >= 0]]
-    weights = (1 << np.arange(width, dtype=np.int64))[None, None, :]
+    return parts[[i for i, t in enumerate(limits) if t >= 0]]
+
+
+def candidate_pairs(nodes: DataFrame, parts: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b) of nodes (node, root, fp, check, check2; materialised) of different roots that agree in
+    all bits of one of the ``parts``.
+
+    Buckets of up to NEAR_BUCKET nodes give all pairs whose check words are near; nodes of a larger
+    bucket are linked to its least and its largest node, so that the links grow with the nodes, not
+    with their square. Each node is in as many buckets as there are parts."""
+    weights = (1 << np.arange(parts.shape[1], dtype=np.int64))[None, None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = np.arange(len(parts), dtype=np.int64)[None, :] << 40
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
-                x = np.unpackbits(np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint8).reshape(s.num_rows, -1), axis=1, bitorder="little")
+                x = np.unpackbits(np.frombuffer(b"".join(s.column(4).to_pylist()), np.uint8).reshape(s.num_rows, -1), axis=1, bitorder="little")
                 v = (x[:, parts].astype(np.int64) * weights).sum(2) | tag
-                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), pa.array(np.repeat(s.column(0).to_numpy(), len(parts))), pa.array(np.repeat(s.column(2).to_numpy(), len(parts)))], ["b", "node", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), *(pa.array(np.repeat(s.column(j).to_numpy(), len(parts))) for j in range(4))], ["b", "node", "root", "check", "check2"])
 
-    rows = nodes.select("node", "fp", "check").mapInArrow(run, "b long, node long, check long")
+    rows = nodes.select("node", "root", "check", "check2", "fp").mapInArrow(run, "b long, node long, root long, check long, check2 long")
     rows, rows_path = materialize(rows, "simhash-parts")
-    shared = rows.groupBy("b").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("c > 1")
+    ends = [f(F.struct("node", "root", "check", "check2")).alias(c) for c, f in (("lo", F.min), ("hi", F.max))] + [f("root").alias(c) for c, f in (("least_root", F.min), ("last_root", F.max))]
+    shared = rows.groupBy("b").agg(F.count("*").alias("c"), *ends).where("c > 1 AND least_root <> last_root").drop("least_root", "last_root")
     met, met_path = materialize(rows.join(shared, "b"), "simhash-met")
     drop_path(nodes.sparkSession, rows_path)
     p = expected_share(similarity)
-    near = round(64 * p + 3 * math.sqrt(64 * p * (1 - p)))
+    near = round(128 * p + 2.5 * math.sqrt(128 * p * (1 - p)))
+    apart_by = lambda x, y, x2, y2: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) + F.bit_count(F.col(x2).bitwiseXOR(F.col(y2)))
     few = met.where(F.col("c") <= NEAR_BUCKET)
-    right = few.select("b", F.col("node").alias("other"), F.col("check").alias("other_check"))
-    alike = F.bit_count(F.col("check").bitwiseXOR(F.col("other_check"))) <= near
-    pairs = few.select("b", "node", "check").join(right, "b").where((F.col("node") < F.col("other")) & alike).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    right = few.select("b", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("check").alias("other_check"), F.col("check2").alias("other_check2"))
+    alike = apart_by("check", "other_check", "check2", "other_check2") <= near
+    apart = (F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root"))
+    pairs = few.select("b", "node", "root", "check", "check2").join(right, "b").where(apart & alike).select(F.col("node").alias("a"), F.col("other").alias("b"))
     many = met.where(F.col("c") > NEAR_BUCKET)
-    stars = many.select("node", F.explode(F.array("lo", "hi")).alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    own = ("node", "root", "check", "check2")
+    hubs = many.select(*own, F.col("lo").alias("hub")).union(many.select(*own, "hi")).where("root <> hub.root")
+    stars = hubs.where(apart_by("check", "hub.check", "check2", "hub.check2") <= near).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
     out, _ = materialize(pairs.union(stars).distinct(), "simhash-pairs")
     drop_path(nodes.sparkSession, met_path)
     return out
 
 
 def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int, words: int) -> DataFrame:
-    """Links among those pairs whose whole texts' shingle sets are at least ``similarity`` alike
-    (Jaccard); their components are those of all such pairs."""
+    """Those pairs whose whole texts' shingle sets are at least ``similarity`` alike (Jaccard); pairs
+    whose wide fingerprints are far apart are not compared as texts."""
     p, n_bits = expected_share(similarity), 64 * words
     limit = n_bits * p + 3 * math.sqrt(n_bits * p * (1 - p))
 
@@ -357,19 +370,8 @@ def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    def verified(some: DataFrame) -> DataFrame:
-        full = some.join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a")
-        return materialize(full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-true")[0]
-
-    # first each text with its least and its largest partner; what that joins needs no more proof,
-    # so of a dense group few pairs are compared as texts
-    ends = close.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).select("a", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
-    first = verified(ends)
-    roots, _ = materialize(connected_components(first), "simhash-root")
-    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    apart = close.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    rest = apart.select("a", "b").join(ends, ["a", "b"], "left_anti")
-    return first.union(verified(rest))
+    full = close.join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a")
+    return materialize(full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-true")[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 24) -> DataFrame:
@@ -381,9 +383,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     0.8 meets with a chance of 0.98 (n = 10^5), 0.9 (n = 10^6), one of 0.9 practically always."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, _ = materialize(wide_fingerprints(own, "text", width, words), "simhash-wide")
-    nodes, _ = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("check").alias("check")), "simhash-node")
-    links = verified_pairs(candidate_pairs(nodes, similarity, words), nodes, own, "text", similarity, width, words)
-    roots, _ = materialize(connected_components(links), "simhash-root")
+    nodes, _ = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "check", "check2")]), "simhash-node")
+    # a few parts first: they join most of a large group, whose nodes later parts need not compare
+    parts = wide_parts(nodes, words)
+    first = max(1, len(parts) // 4)
+    links = roots = tested = None
+    for some in (parts[:first], parts[first:]):
+        if not len(some):
+            continue
+        known = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = candidate_pairs(known, some, similarity)
+        if tested is not None:  # no pair is compared twice
+            pairs, _ = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+        tested = pairs
+        found = verified_pairs(pairs, nodes, own, "text", similarity, width, words)
+        links = found if links is None else links.union(found)
+        roots, _ = materialize(connected_components(links), "simhash-root")
     named = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select("node", "component")
     of_node = nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
