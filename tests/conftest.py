@@ -11,7 +11,11 @@ def spark(tmp_path_factory):
         .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "6g")
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.sql.maxPlanStringLength", "20000")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
