@@ -10,7 +10,8 @@ Two operators:
 
 * :func:`simhash_groups` - exact components of "fingerprints differ in at most ``radius`` bits".
 * :func:`near_duplicates` - components of "Jaccard similarity of word shingles >= ``similarity``"
-  over whole texts: candidates from wide fingerprints, each verified exactly on the two texts.
+  over whole texts: candidates by an exact prefix filter on the shingle sets, each verified on the
+  two texts.
 
 Null and empty texts have no shingles: fingerprint zero in :func:`simhash_groups` (linked like any
 other); in :func:`near_duplicates` all texts without words form one group of equal texts. Repeated
@@ -35,8 +36,6 @@ from .components import connected_components
 
 #: Buckets up to this size give all their pairs; larger ones take the linear path.
 PAIR_BUCKET = 64
-#: The same for the wide fingerprints, whose buckets hold a node or two unless texts are alike.
-NEAR_BUCKET = 4
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -237,111 +236,118 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- near duplicates by shingles
 
 
-def wide_fingerprints(docs: DataFrame, text_col: str, width: int, words: int) -> DataFrame:
-    """(doc_id, node, fp, check, check2): node is the text's 64-bit hash, by which equal texts are
-    found; fp has 64 x ``words`` bits; the checks are two words more, of bits that fp does not have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = [fingerprint(shingle_hashes(t, width), words + 2) for t in b.column(2).to_pylist()]
-            checks = [pa.array([int(x[k].astype(np.int64)) for x in f], pa.int64()) for k in (-2, -1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[:-2].tobytes() for x in f], pa.binary()), *checks], ["doc_id", "node", "fp", "check", "check2"])
+def frequent_shingles(docs: DataFrame, text_col: str, width: int, sample: int = 10_000, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that ``least`` or more of about ``sample`` texts hold, by hash.
 
+    They only order the shingles, so a sample changes what the pairs cost, not which are found."""
+    every = max(1, docs.count() // sample)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, fp binary, check long, check2 long")
-
 
-def _bit_means(nodes: DataFrame, n_bits: int) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, c = 0, np.zeros(n_bits, np.int64)
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, n_bits // 8)
-            n, c = n + len(x), c + np.unpackbits(x, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_bits + 1)), pa.array([*c.tolist(), n], pa.int64())], ["pos", "v"])
-
-    got = dict(nodes.select("fp").mapInArrow(run, "pos long, v long").groupBy("pos").agg(F.sum("v")).collect())
-    return got.get(n_bits, 0), np.array([got.get(i, 0) for i in range(n_bits)]) / max(got.get(n_bits, 0), 1)
-
-
-def expected_share(similarity: float) -> float:
-    """Share of bits in which two texts of this Jaccard similarity are expected to differ: their
-    shingle vectors' cosine is 2 J / (1 + J), and a bit differs with the angle's share of pi."""
-    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], ["b"])
 
-def wide_parts(nodes: DataFrame, words: int, part_share: float = 0.9) -> np.ndarray:
-    """The parts that are probed, a row of bit numbers each.
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text.cast("binary").alias("t"))
+    got = some.mapInArrow(run, "b long").groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") >= least).toArrow()
+    h, c = (got.column(j).combine_chunks().to_numpy(zero_copy_only=False) for j in (0, 1))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], c.astype(np.int64)[order]
 
-    The bits are cut into parts of about log2(n) bits, biased (hence correlated) bits together, and
-    dynamic programming on the estimated candidates gives ``part_share`` of the parts threshold 0,
-    the others -1."""
-    n_bits = 64 * words
-    n, mean = _bit_means(nodes, n_bits)
-    width = min(40, max(12, math.ceil(math.log2(max(n, 2))) + 1))
-    order = sorted(range(n_bits), key=lambda i: (-abs(mean[i] - 0.5), i))
-    parts = np.array(order[: n_bits // width * width]).reshape(-1, width)
-    agree = mean**2 + (1 - mean) ** 2
-    costs = [[0.0, float(n) * n * float(np.prod(agree[p]))] for p in parts]
-    limits = allocate_thresholds(costs, max(1, round(part_share * len(parts))))
-    return parts[[i for i, t in enumerate(limits) if t >= 0]]
 
-
-def candidate_pairs(nodes: DataFrame, parts: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b) of nodes (node, root, fp, check, check2; materialised) of different roots that agree in
-    all bits of one of the ``parts``.
-
-    Buckets of up to NEAR_BUCKET nodes give all pairs whose check words are near; nodes of a larger
-    bucket are linked to its least and its largest node, so that the links grow with the nodes, not
-    with their square. Each node is in as many buckets as there are parts."""
-    weights = (1 << np.arange(parts.shape[1], dtype=np.int64))[None, None, :]
+def shingle_prefixes(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(doc_id, node, size, prefix): node is the text's 64-bit hash, by which equal texts are found;
+    size the number of its distinct shingles; prefix the first size - ceil(similarity * size) + 1 of
+    them in one order for all texts, the least frequent first. Two texts that are ``similarity``
+    alike share at least ceil(similarity * size) of either's shingles, so their prefixes meet. Texts
+    without words have the prefix [0]."""
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = np.arange(len(parts), dtype=np.int64)[None, :] << 40
+        known, times = shipped.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
-                x = np.unpackbits(np.frombuffer(b"".join(s.column(4).to_pylist()), np.uint8).reshape(s.num_rows, -1), axis=1, bitorder="little")
-                v = (x[:, parts].astype(np.int64) * weights).sum(2) | tag
-                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), *(pa.array(np.repeat(s.column(j).to_numpy(), len(parts))) for j in range(4))], ["b", "node", "root", "check", "check2"])
-
-    rows = nodes.select("node", "root", "check", "check2", "fp").mapInArrow(run, "b long, node long, root long, check long, check2 long")
-    rows, rows_path = materialize(rows, "simhash-parts")
-    ends = [f(F.struct("node", "root", "check", "check2")).alias(c) for c, f in (("lo", F.min), ("hi", F.max))] + [f("root").alias(c) for c, f in (("least_root", F.min), ("last_root", F.max))]
-    shared = rows.groupBy("b").agg(F.count("*").alias("c"), *ends).where("c > 1 AND least_root <> last_root").drop("least_root", "last_root")
-    met, met_path = materialize(rows.join(shared, "b"), "simhash-met")
-    drop_path(nodes.sparkSession, rows_path)
-    p = expected_share(similarity)
-    near = round(128 * p + 2.5 * math.sqrt(128 * p * (1 - p)))
-    apart_by = lambda x, y, x2, y2: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) + F.bit_count(F.col(x2).bitwiseXOR(F.col(y2)))
-    few = met.where(F.col("c") <= NEAR_BUCKET)
-    right = few.select("b", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("check").alias("other_check"), F.col("check2").alias("other_check2"))
-    alike = apart_by("check", "other_check", "check2", "other_check2") <= near
-    apart = (F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root"))
-    pairs = few.select("b", "node", "root", "check", "check2").join(right, "b").where(apart & alike).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    many = met.where(F.col("c") > NEAR_BUCKET)
-    own = ("node", "root", "check", "check2")
-    hubs = many.select(*own, F.col("lo").alias("hub")).union(many.select(*own, "hi")).where("root <> hub.root")
-    stars = hubs.where(apart_by("check", "hub.check", "check2", "hub.check2") <= near).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    out, _ = materialize(pairs.union(stars).distinct(), "simhash-pairs")
-    drop_path(nodes.sparkSession, met_path)
+            sizes, prefixes = [], []
+            for t in b.column(2).to_pylist():
+                h = np.unique(shingle_hashes(t, width))
+                sizes.append(len(h))
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
+                prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64) if len(h) else np.zeros(1, np.int64))
+            ends = np.cumsum([0, *map(len, prefixes)])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), flat], ["doc_id", "node", "size", "prefix"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, size int, prefix array<long>")
+
+
+def _may_be_alike(x: str, y: str, similarity: float):
+    """Column: two texts whose first common shingle stands at these places of their orders can be
+    ``similarity`` alike. True for the first common shingle of every such pair."""
+    shared = F.least(*[F.col(f"{c}size") - F.col(f"{c}pos") for c in (x, y)])
+    return shared >= F.lit(similarity / (1 + similarity)) * (F.col(f"{x}size") + F.col(f"{y}size")) - F.lit(1e-6)
+
+
+def shared_prefixes(nodes: DataFrame) -> tuple[DataFrame, str]:
+    """(b, node, size, pos, c, lo, hi): the prefix shingles that c > 1 nodes have, with the bucket's
+    least and largest node."""
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "b"))
+    ends = [f(F.struct("node", "size", "pos")).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
+    shared = rows.groupBy("b").agg(F.count("*").alias("c"), *ends).where("c > 1")
+    return materialize(rows.join(shared, "b"), "simhash-met")
+
+
+def hub_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each node with the least and the largest node of its buckets; of buckets of up to
+    three nodes these are all pairs."""
+    own = ("node", "size", "pos")
+    hubs = met.select(*own, F.col("lo").alias("hub")).union(met.select(*own, "hi")).where("node <> hub.node")
+    near = hubs.where(_may_be_alike("", "hub.", similarity))
+    return materialize(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "simhash-pairs")[0]
+
+
+def remaining_pairs(met: DataFrame, roots: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of the larger buckets that are not yet in one group and were not tested.
+
+    Every such pair has a node outside the bucket's most frequent group, so a bucket that one group
+    fills costs as many rows as it has nodes, times those outside."""
+    own = met.where("c > 3").select("b", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own, path = materialize(own, "simhash-rooted")
+    groups = own.groupBy("b", "root").agg(F.count("*").alias("c"), F.min("size").alias("least")).groupBy("b").agg(F.count("*").alias("groups"), F.max_by("root", "c").alias("main"), F.min("least").alias("least"))
+    # places so late that not even the bucket's smallest set leaves room for enough others go before the join
+    room = F.col("size") - F.col("pos") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - F.lit(1e-6)
+    left = own.join(groups.where("groups > 1").select("b", "main", "least"), "b").where(room)
+    other = left.select("b", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "pos")], (F.col("root") == F.col("main")).alias("other_main"))
+    once = F.col("other_main") | (F.col("node") < F.col("other_node"))
+    near = (F.col("root") != F.col("other_root")) & once & _may_be_alike("", "other_", similarity)
+    pairs = left.where("root <> main").join(other, "b").where(near)
+    pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    out, _ = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+    drop_path(met.sparkSession, path)
     return out
 
 
-def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int, words: int) -> DataFrame:
-    """Those pairs whose whole texts' shingle sets are at least ``similarity`` alike (Jaccard); pairs
-    whose wide fingerprints are far apart are not compared as texts."""
-    p, n_bits = expected_share(similarity), 64 * words
-    limit = n_bits * p + 3 * math.sqrt(n_bits * p * (1 - p))
+def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int) -> DataFrame:
+    """Those pairs whose whole texts' shingle sets are at least ``similarity`` alike (Jaccard).
+
+    Pairs whose prefixes rule that out are not compared as texts: of two prefixes one ends first, and
+    what its text shares beyond the prefixes' common shingles lies behind that end."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(j).to_pylist()), np.uint64).reshape(-1, words) for j in (2, 3))
-            keep = pa.array(np.bitwise_count(x ^ y).sum(1) <= limit)
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+                most = len(np.intersect1d(x, y, assume_unique=True)) + max(n - len(x), m - len(y))
+                keep.append(most >= similarity / (1 + similarity) * (n + m) - 1e-6)
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    fp = nodes.select("node", "fp")
-    both = pairs.join(fp.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(fp.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
-    close, _ = materialize(both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long"), "simhash-close")
+    own = {c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in "ab"}
+    both = pairs.join(own["a"], "a").join(own["b"], "b").select("a", "b", "size_a", "size_b", "prefix_a", "prefix_b")
+    close, _ = materialize(both.mapInArrow(near, "a long, b long"), "simhash-close")
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -374,31 +380,24 @@ def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col
     return materialize(full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-true")[0]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, component) for every row: component is the least id of the row's group.
 
     Groups are the components of links between texts whose sets of ``width``-word shingles (A-Z
-    lower-cased) have a Jaccard similarity of at least ``similarity``. Every link is verified; one
-    whose fingerprints meet in no part is missed: with 24 words and n texts a pair of similarity
-    0.8 meets with a chance of 0.98 (n = 10^5), 0.9 (n = 10^6), one of 0.9 practically always."""
+    lower-cased) have a Jaccard similarity of at least ``similarity``. Every link is verified, and
+    none is missed, whatever the number of texts: candidates are all pairs whose prefixes meet."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, _ = materialize(wide_fingerprints(own, "text", width, words), "simhash-wide")
-    nodes, _ = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "check", "check2")]), "simhash-node")
-    # a few parts first: they join most of a large group, whose nodes later parts need not compare
-    parts = wide_parts(nodes, words)
-    first = max(1, len(parts) // 4)
-    links = roots = tested = None
-    for some in (parts[:first], parts[first:]):
-        if not len(some):
-            continue
-        known = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = candidate_pairs(known, some, similarity)
-        if tested is not None:  # no pair is compared twice
-            pairs, _ = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
-        tested = pairs
-        found = verified_pairs(pairs, nodes, own, "text", similarity, width, words)
-        links = found if links is None else links.union(found)
-        roots, _ = materialize(connected_components(links), "simhash-root")
+    rows, _ = materialize(shingle_prefixes(own, "text", width, similarity), "simhash-prefix")
+    nodes, _ = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix")]), "simhash-node")
+    met, met_path = shared_prefixes(nodes)
+    # hubs first: they join most of a large group, whose nodes then need not be compared
+    tested = hub_pairs(met, similarity)
+    links = verified_pairs(tested, nodes, own, "text", similarity, width)
+    roots, _ = materialize(connected_components(links), "simhash-root")
+    rest = remaining_pairs(met, roots, tested, similarity)
+    drop_path(docs.sparkSession, met_path)
+    links = links.union(verified_pairs(rest, nodes, own, "text", similarity, width))
+    roots, _ = materialize(connected_components(links), "simhash-root")
     named = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select("node", "component")
     of_node = nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
