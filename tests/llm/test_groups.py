@@ -151,6 +151,14 @@ def test_pairs_within_a_crowd_of_one_template(spark):
     assert _found(spark, texts) == [i - i % 2 for i in range(3000)]
 
 
+def test_every_pair_at_the_wanted_similarity_is_found(spark):
+    texts = []
+    for i in range(1500):  # 80 of 100 shingles each: exactly 0.8
+        shared = " ".join(f"s{i}x{k}" for k in range(84))
+        texts += [f"{shared} {' '.join(f'{own}{i}x{k}' for k in range(10))}" for own in "ab"]
+    assert _found(spark, texts) == [i - i % 2 for i in range(3000)]
+
+
 # ---------------------------------------------------------------- decontamination
 
 
