@@ -159,6 +159,15 @@ def test_every_pair_at_the_wanted_similarity_is_found(spark):
     assert _found(spark, texts) == [i - i % 2 for i in range(3000)]
 
 
+@pytest.mark.parametrize("times", [5, 10, 30])
+def test_copies_with_a_line_repeated(spark, times):
+    texts = []
+    for i in range(20):
+        words = [f"v{i}x{k}" for k in range(312)]
+        texts += [" ".join(words), " ".join(words + words[-12:] * (times - 1))]
+    assert _found(spark, texts) == _groups(texts) == [i - i % 2 for i in range(40)]
+
+
 # ---------------------------------------------------------------- decontamination
 
 
