@@ -55,8 +55,9 @@ def masked_crc(data: bytes) -> int:
 # ---------------------------------------------------------------- encoding
 
 
-#: Classes of bytes: a letter or digit, "." full stop or comma, p other ASCII sign, u beyond ASCII.
-_KINDS = bytes(ord("u") if b >= 128 else ord("a") if chr(b).isalnum() else 32 if chr(b).isspace() or b < 32 else ord(".") if chr(b) in ".," else ord("p") for b in range(256))
+#: Classes of bytes: a letter or digit, "." full stop or comma, p other ASCII sign or control byte,
+#: u beyond ASCII; white space is that of bytes.split().
+_KINDS = bytes(ord("u") if b >= 128 else ord("a") if chr(b).isalnum() else 32 if b == 32 or 9 <= b <= 13 else ord(".") if chr(b) in ".," else ord("p") for b in range(256))
 _BESIDE = re.compile(r"([^\x00-\x7f])(?=[.,])|(?<=[.,])([^\x00-\x7f])")
 #: The byte-level alphabet: bytes that print stand for themselves, the others for 256 and on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}

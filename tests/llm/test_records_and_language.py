@@ -79,6 +79,13 @@ def test_language_is_learned_and_calibrated(spark):
     assert (model.weights == 0).mean() > 0.5 and model.temperature > 0
 
 
+@pytest.mark.parametrize("byte", [*range(32), 127])
+def test_control_characters_beside_marks(byte):
+    whole, enc = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+    for t in (f"end.{chr(byte)}x", f"a{chr(byte)},b", f"one.{chr(byte)}, two", f"{chr(byte)}."):
+        assert np.frombuffer(enc.batch([t.encode()])[0], enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_language_of_odd_texts(spark):
     model = langid.train(_texts(spark), F.lit(True))
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !? 34", "x"), (4, EN * 5000, "x"), (4, EN * 5000, "x")], "doc_id long, text string, c0 string")
