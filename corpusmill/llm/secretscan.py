@@ -38,8 +38,8 @@ RULES = (
     ("slack_token", r"\b(?P<v>xox[abprs]-[0-9A-Za-z\-]{10,})"),
     ("jwt", r"\b(?P<v>eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)"),
     ("private_key", r"(?P<v>-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
-    ("assigned", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,200})"),
-    ("mixed", r"(?<![A-Za-z0-9+/=_\-.@])(?P<v>(?=[A-Za-z+/=_\-]*[0-9])(?=[0-9+/=_\-]*[A-Za-z])[A-Za-z0-9+/=_\-]{20,200})(?![A-Za-z0-9+/=_\-@])"),
+    ("assigned", r"(?i:(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth))[A-Za-z0-9_\-]*+)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,}+)"),
+    ("mixed", r"(?<![A-Za-z0-9+/=_\-.@])(?P<v>(?=[A-Za-z+/=_\-]*[0-9])(?=[0-9+/=_\-]*[A-Za-z])[A-Za-z0-9+/=_\-]{20,}+)(?![A-Za-z0-9+/=_\-@])"),
 )
 #: Words that name what follows, and words that mark an example.
 NAMING = frozenset("password passwd pwd secret token key api apikey auth credential credentials access private bearer login".split())

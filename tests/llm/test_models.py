@@ -149,6 +149,20 @@ def test_urls_without_labels_or_rows(spark):
 # ---------------------------------------------------------------- secrets
 
 
+@pytest.mark.parametrize("name", ["DB_PASSWORD=", "client_secret: ", 'AUTH_TOKEN="', "password_2 = ", "my-api-key: "])
+def test_candidates_of_prefixed_names(name):
+    assert [f.value for f in secretscan.candidates(f"x {name}hunter2!xyz\" y")] == ["hunter2!xyz"]
+
+
+def test_candidates_of_long_values():
+    key = "aB3dE5gH" * 60
+    for text, kind in ((f"x {key} y", "mixed"), (f"token = {key}!{key} y", "assigned")):
+        (f,) = secretscan.candidates(text)
+        assert (f.kind, f.value) == (kind, text.split(" ")[-2])
+
+
+
+
 def test_forest_on_held_out_findings():
     rows = secretscan.made_up_findings(2000, 1)
     f = secretscan.train(rows[:1500])
