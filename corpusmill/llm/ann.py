@@ -75,13 +75,15 @@ def _unit(b: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
 
 
-def probes_needed(x: np.ndarray, c: np.ndarray, target: float, k: int = 5, tests: int = 300) -> int:
-    """Lists to probe so that ``target`` of the ``k`` nearest of some sample vectors, found by brute
-    force in the sample, lie in probed lists."""
-    q = x[: min(tests, len(x))]
+def probes_needed(x: np.ndarray, c: np.ndarray, target: float, k: int = 5, tests: int = 300, rng: np.random.Generator | None = None) -> int:
+    """Lists to probe so that ``target`` of the ``k`` nearest of some distinct sample vectors, drawn
+    by ``rng`` and found by brute force in the sample, lie in probed lists."""
+    own = np.unique(x, axis=0, return_index=True)[1]
+    own = (rng or np.random.default_rng(0)).choice(own, min(tests, len(own)), replace=False)
+    q = x[own]
     near = _nearest(x, c)
     sims = q @ x.T
-    sims[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    sims[np.arange(len(q)), own] = -np.inf
     best = np.argsort(-sims, axis=1)[:, : min(k, max(1, len(x) - 1))]
     order = np.argsort((c * c).sum(1) / 2 - q @ c.T, axis=1)
     place = np.empty_like(order)
@@ -113,7 +115,7 @@ def fit(vectors: DataFrame, n: int, max_sample: int = 20_000, parts: int = 16, t
         b = _kmeans(sub, 256, rng, 8)
         books[p, : len(b)] = b
         books[p, len(b) :] = b[0] if len(b) else 0
-    return IvfPq(c, books, probes_needed(x, c, target_recall))
+    return IvfPq(c, books, probes_needed(x, c, target_recall, rng=rng))
 
 
 def encode(vectors: DataFrame, model: IvfPq) -> DataFrame:

@@ -146,6 +146,14 @@ def test_urls_without_labels_or_rows(spark):
     assert urlfilter.judge(df.limit(0), RULES).count() == 0
 
 
+def test_probes_do_not_follow_the_first_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2300, 16))
+    x[:300] = x[0]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    assert ann.probes_needed(x, ann._kmeans(x, 40, rng), 0.97) > 3
+
+
 # ---------------------------------------------------------------- secrets
 
 
