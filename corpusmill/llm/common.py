@@ -51,11 +51,16 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a materialised table that nothing reads any more."""
+def drop_path(spark: SparkSession, *paths: str) -> None:
+    """Delete materialised tables that nothing reads any more.
+
+    The JVM is asked to collect its garbage then: Spark deletes the shuffle files of finished jobs
+    only when the driver finds their plans unreachable, which may take hours otherwise."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    jvm.System.gc()
 
 
 def open_fs(uri: str):

@@ -22,9 +22,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (two long columns, any names); root is the least
-    node of its component. Self links and repeats are harmless; no links give an empty table."""
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
+    """(node, root) for every node of ``edges`` (two long columns, any names), and the path of that
+    table; root is the least node of its component. Self links and repeats are harmless; no links
+    give an empty table."""
     x, y = edges.columns[:2]
     spark = edges.sparkSession
     e, path = materialize(
@@ -35,14 +36,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     mark = None
     for _ in range(max_rounds):
-        nxt, nxt_path = materialize(_star(_star(e, True), False), "links")
+        # the links of the large star are written too: the small one reads them three times
+        big, big_path = materialize(_star(e, True), "links")
+        nxt, nxt_path = materialize(_star(big, False), "links")
         now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        drop_path(spark, path)
+        drop_path(spark, path, big_path)
         e, path = nxt, nxt_path
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    # a row a node; of a star that has settled, every link's lesser end is its root
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out = materialize(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
+    drop_path(spark, path)
+    return out

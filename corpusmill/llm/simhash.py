@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import LOWER_AZ, drop_path, materialize
 from .components import connected_components
@@ -225,7 +224,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at most ``radius`` differing bits (rows with a null id take part and get their group's least)."""
     rows, _ = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
     by_fp, _ = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    roots, _ = materialize(connected_components(hamming_links(by_fp.select("fp"), radius)), "simhash-root")
+    roots, _ = connected_components(hamming_links(by_fp.select("fp"), radius))
     named = roots.join(by_fp, roots.node == by_fp.fp).groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
     # fingerprints without a link keep their own least id
@@ -236,8 +235,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- near duplicates by shingles
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, width: int, sample: int = 10_000, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles that ``least`` or more of about ``sample`` texts hold, by hash.
+#: Texts of which the shingles' frequencies are learned, and the most shingles that are kept of them.
+SAMPLE_TEXTS, MOST_KNOWN = 40_000, 500_000
+#: A pair must meet in so many shingles of the two prefixes, or as many as its sizes ask for, if fewer.
+MEETINGS = 8
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, width: int, sample: int = SAMPLE_TEXTS, most: int = MOST_KNOWN) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that two or more of about ``sample`` different texts hold, by
+    hash; of more than ``most`` shingles, the more frequent ones.
 
     They only order the shingles, so a sample changes what the pairs cost, not which are found."""
     every = max(1, docs.count() // sample)
@@ -248,20 +254,29 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int, sample: int =
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], ["b"])
 
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text.cast("binary").alias("t"))
-    got = some.mapInArrow(run, "b long").groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") >= least).toArrow()
+    # drawn by id and text: a group of copies is drawn as any other rows are, and counts once
+    some = docs.where(F.pmod(F.xxhash64("doc_id", text), F.lit(every)) == 0).select(text.cast("binary").alias("t")).dropDuplicates(["t"])
+    counted, path = materialize(some.mapInArrow(run, "b long").groupBy("b").agg(F.count("*").alias("c")).where("c > 1"), "simhash-known")
+    at_count = sorted(((r["c"], r["n"]) for r in counted.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least = next((c + 1 for (c, _), n in zip(at_count, np.cumsum([n for _, n in at_count]), strict=True) if n > most), 2)
+    got = counted.where(F.col("c") >= least).toArrow()
+    drop_path(docs.sparkSession, path)
     h, c = (got.column(j).combine_chunks().to_numpy(zero_copy_only=False) for j in (0, 1))
     h = h.astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], c.astype(np.int64)[order]
 
 
+def prefix_length(size, similarity: float):
+    """Column: how many of a set's shingles are its prefix; two sets that are ``similarity`` alike
+    share at least ceil(similarity * size) of either's shingles, so their prefixes meet."""
+    return size - F.ceil(F.lit(similarity) * size - F.lit(1e-9)) + 1
+
+
 def shingle_prefixes(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
     """(doc_id, node, size, prefix): node is the text's 64-bit hash, by which equal texts are found;
-    size the number of its distinct shingles; prefix the first size - ceil(similarity * size) + 1 of
-    them in one order for all texts, the least frequent first. Two texts that are ``similarity``
-    alike share at least ceil(similarity * size) of either's shingles, so their prefixes meet. Texts
-    without words have the prefix [0]."""
+    size the number of its distinct shingles; prefix the first of them (:func:`prefix_length`) in
+    one order for all texts, the least frequent first. Texts without words have the prefix [0]."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,75 +298,73 @@ def shingle_prefixes(docs: DataFrame, text_col: str, width: int, similarity: flo
     return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, size int, prefix array<long>")
 
 
-def _may_be_alike(x: str, y: str, similarity: float):
-    """Column: two texts whose first common shingle stands at these places of their orders can be
-    ``similarity`` alike. True for the first common shingle of every such pair."""
+def _overlap(x: str, y: str, similarity: float):
+    """Column: the shingles that two sets of these sizes share at least if they are alike."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(f"{x}size") + F.col(f"{y}size")) - F.lit(1e-6))
+
+
+def _meetings(x: str, y: str, similarity: float):
+    """Column: the prefix shingles, at most :data:`MEETINGS`, in which an alike pair surely meets.
+
+    Of x's shingles, size - overlap are not shared, so all but as many of its prefix are; the one of
+    the two prefixes that ends first holds no shared shingle that the other's lacks."""
+    least = F.least(*[prefix_length(F.col(f"{c}size"), similarity) - F.col(f"{c}size") for c in (x, y)]) + _overlap(x, y, similarity)
+    return F.greatest(F.lit(1), F.least(F.lit(MEETINGS), least))
+
+
+def _may_be_alike(x: str, y: str, similarity: float, meetings=1):
+    """Column: two texts that meet in a shingle at these places of their orders can be ``similarity``
+    alike. True for the first ``meetings`` common shingles of every such pair."""
     shared = F.least(*[F.col(f"{c}size") - F.col(f"{c}pos") for c in (x, y)])
-    return shared >= F.lit(similarity / (1 + similarity)) * (F.col(f"{x}size") + F.col(f"{y}size")) - F.lit(1e-6)
+    return shared + (meetings - 1) >= _overlap(x, y, similarity)
 
 
 def shared_prefixes(nodes: DataFrame) -> tuple[DataFrame, str]:
-    """(b, node, size, pos, c, lo, hi): the prefix shingles that c > 1 nodes have, with the bucket's
-    least and largest node."""
+    """(b, node, size, pos, c): the prefix shingles that c > 1 nodes have, a row a node."""
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "b"))
-    ends = [f(F.struct("node", "size", "pos")).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
-    shared = rows.groupBy("b").agg(F.count("*").alias("c"), *ends).where("c > 1")
+    shared = rows.groupBy("b").agg(F.count("*").alias("c")).where("c > 1")
     return materialize(rows.join(shared, "b"), "simhash-met")
 
 
-def hub_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each node with the least and the largest node of its buckets; of buckets of up to
-    three nodes these are all pairs."""
-    own = ("node", "size", "pos")
-    hubs = met.select(*own, F.col("lo").alias("hub")).union(met.select(*own, "hi")).where("node <> hub.node")
-    near = hubs.where(_may_be_alike("", "hub.", similarity))
-    return materialize(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "simhash-pairs")[0]
+def hub_pairs(met: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """(a, b): each node with the hub of every bucket that it is in.
 
+    The hub is the bucket's node whose prefix shingles are met by most nodes on average: of a group
+    of near copies that is the text, or next to the text, that the others come from."""
+    popular = met.groupBy("node").agg((F.sum("c") / F.first(prefix_length(F.col("size"), similarity))).alias("score"))
+    hubs = met.join(popular, "node").groupBy("b").agg(F.max(F.struct("score", "node", "size", "pos")).alias("hub"))
+    near = met.join(hubs, "b").where((F.col("node") != F.col("hub.node")) & _may_be_alike("", "hub.", similarity))
+    return materialize(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "simhash-pairs")
 
-def remaining_pairs(met: DataFrame, roots: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of the larger buckets that are not yet in one group and were not tested.
+
+def remaining_pairs(met: DataFrame, roots: DataFrame, tested: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """(a, b): all pairs that are not yet in one group, were not tested, and meet often enough.
 
     Every such pair has a node outside the bucket's most frequent group, so a bucket that one group
     fills costs as many rows as it has nodes, times those outside."""
-    own = met.where("c > 3").select("b", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = met.select("b", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own, path = materialize(own, "simhash-rooted")
     groups = own.groupBy("b", "root").agg(F.count("*").alias("c"), F.min("size").alias("least")).groupBy("b").agg(F.count("*").alias("groups"), F.max_by("root", "c").alias("main"), F.min("least").alias("least"))
     # places so late that not even the bucket's smallest set leaves room for enough others go before the join
-    room = F.col("size") - F.col("pos") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - F.lit(1e-6)
+    room = F.col("size") - F.col("pos") + (MEETINGS - 1) >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - F.lit(1e-6)
     left = own.join(groups.where("groups > 1").select("b", "main", "least"), "b").where(room)
     other = left.select("b", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "pos")], (F.col("root") == F.col("main")).alias("other_main"))
     once = F.col("other_main") | (F.col("node") < F.col("other_node"))
-    near = (F.col("root") != F.col("other_root")) & once & _may_be_alike("", "other_", similarity)
+    meetings = _meetings("", "other_", similarity)
+    near = (F.col("root") != F.col("other_root")) & once & _may_be_alike("", "other_", similarity, meetings)
     pairs = left.where("root <> main").join(other, "b").where(near)
-    pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    out, _ = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
+    pairs = pairs.groupBy(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).agg(F.count("*").alias("met"), F.first(meetings).alias("wanted"))
+    out = materialize(pairs.where("met >= wanted").select("a", "b").join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
     drop_path(met.sparkSession, path)
     return out
 
 
-def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int) -> DataFrame:
-    """Those pairs whose whole texts' shingle sets are at least ``similarity`` alike (Jaccard).
-
-    Pairs whose prefixes rule that out are not compared as texts: of two prefixes one ends first, and
-    what its text shares beyond the prefixes' common shingles lies behind that end."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
-                most = len(np.intersect1d(x, y, assume_unique=True)) + max(n - len(x), m - len(y))
-                keep.append(most >= similarity / (1 + similarity) * (n + m) - 1e-6)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
-
-    own = {c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in "ab"}
-    both = pairs.join(own["a"], "a").join(own["b"], "b").select("a", "b", "size_a", "size_b", "prefix_a", "prefix_b")
-    close, _ = materialize(both.mapInArrow(near, "a long, b long"), "simhash-close")
-    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+def verified_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int) -> tuple[DataFrame, str]:
+    """Those pairs whose whole texts' shingle sets are at least ``similarity`` alike (Jaccard)."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    texts, _ = materialize(texts, "simhash-texts")
+    texts, path = materialize(texts, "simhash-texts")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -376,8 +389,10 @@ def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    full = close.join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a")
-    return materialize(full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-true")[0]
+    full = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a")
+    out = materialize(full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-true")
+    drop_path(docs.sparkSession, path)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -385,23 +400,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are the components of links between texts whose sets of ``width``-word shingles (A-Z
     lower-cased) have a Jaccard similarity of at least ``similarity``. Every link is verified, and
-    none is missed, whatever the number of texts: candidates are all pairs whose prefixes meet."""
+    none is missed, whatever the number of texts: candidates are all pairs whose prefixes meet.
+    First the nodes are held against the hubs of their buckets, which joins most of a large group;
+    then all pairs of different groups that are left."""
+    spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, _ = materialize(shingle_prefixes(own, "text", width, similarity), "simhash-prefix")
-    nodes, _ = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix")]), "simhash-node")
+    rows, rows_path = materialize(shingle_prefixes(own, "text", width, similarity), "simhash-prefix")
+    ids, _ = materialize(rows.select("doc_id", "node"), "simhash-ids")
+    nodes, nodes_path = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix")]), "simhash-node")
+    drop_path(spark, rows_path)
     met, met_path = shared_prefixes(nodes)
-    # hubs first: they join most of a large group, whose nodes then need not be compared
-    tested = hub_pairs(met, similarity)
-    links = verified_pairs(tested, nodes, own, "text", similarity, width)
-    roots, _ = materialize(connected_components(links), "simhash-root")
-    rest = remaining_pairs(met, roots, tested, similarity)
-    drop_path(docs.sparkSession, met_path)
-    links = links.union(verified_pairs(rest, nodes, own, "text", similarity, width))
-    roots, _ = materialize(connected_components(links), "simhash-root")
-    named = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
+    drop_path(spark, nodes_path)
+    tested, tested_path = hub_pairs(met, similarity)
+    sure, sure_path = verified_pairs(tested, own, "text", similarity, width)
+    roots, roots_path = connected_components(sure)
+    rest, rest_path = remaining_pairs(met, roots, tested, similarity)
+    drop_path(spark, met_path, tested_path, roots_path)
+    more, more_path = verified_pairs(rest, own, "text", similarity, width)
+    roots, _ = connected_components(sure.union(more))
+    drop_path(spark, sure_path, more_path, rest_path)
+    least = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = roots.join(least, "node").groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select("node", "component")
-    of_node = nodes.select("node", "least").join(moved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "component")
+    of_node = least.join(moved, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    return ids.join(of_node, "node").select("doc_id", "node", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -412,8 +434,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     i, t = (F.col(f"c{cols.index(c)}") for c in (id_col, text_col))
     found = near_duplicates(docs, id_col, text_col, **options)
     # a group whose ids are all null has a null component: its least text hash stands for it
-    chosen = found.groupBy("component", F.when(F.col("component").isNull(), F.col("node")).alias("own")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component")), F.col("node"))).alias("node"))
-    chosen, _ = materialize(chosen.select(F.col("component").alias("chosen_id"), F.col("node").alias("chosen_node")), "simhash-chosen")
-    keyed = plain.withColumns({"row_id": i.cast("long"), "row_node": F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))})
-    kept = keyed.join(chosen, (F.col("row_node") == F.col("chosen_node")) & F.col("row_id").eqNullSafe(F.col("chosen_id")), "left_semi")
-    return kept.dropDuplicates(["row_node", "row_id"]).select(*plain.columns).toDF(*cols)
+    own = F.when(F.col("component").isNull(), F.col("node"))
+    chosen = found.groupBy("component", own.alias("own")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component")), F.col("node"))).alias("node"))
+    # plain equality on the same columns: the rows are shuffled once for the join and the repeats
+    key = lambda node, x: {"row_node": node, "row_id": F.coalesce(x, F.lit(0)), "row_null": x.isNull()}
+    chosen, _ = materialize(chosen.select(*[c.alias(n) for n, c in key(F.col("node"), F.col("component")).items()]), "simhash-chosen")
+    keyed = plain.withColumns(key(F.xxhash64(F.coalesce(t.cast("string"), F.lit(""))), i.cast("long")))
+    kept = keyed.join(chosen, chosen.columns, "left_semi").dropDuplicates(chosen.columns)
+    return kept.select(*plain.columns).toDF(*cols)
