@@ -11,7 +11,10 @@ def spark(tmp_path_factory):
         .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "6g")
+        .config("spark.driver.memory", "3g")
+        # every sort and hash table of a task takes a page at once, 64 MB by default in a heap of this
+        # size: on tiny tables that alone fills the heap
+        .config("spark.buffer.pageSize", "1m")
         .config("spark.sql.ui.retainedExecutions", "5")
         .config("spark.sql.maxPlanStringLength", "20000")
         .config("spark.ui.retainedJobs", "20")
