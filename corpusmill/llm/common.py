@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,23 +33,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows that a Python worker gets at a time while a table is materialised: texts may be long.
-BATCH_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and the table
     outlives the loss of any executor. Returns the table and its path."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path), path
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+#: Rows that are turned into Python objects at a time: texts may be long. What a worker is sent at
+#: once is bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default).
+SLICE_ROWS = 500
+
+
+def slices(batches: Iterable) -> Iterator:
+    """Arrow batches in parts of at most :data:`SLICE_ROWS` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
 
 
 def drop_path(spark: SparkSession, *paths: str) -> None:

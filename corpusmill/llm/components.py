@@ -22,6 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link to a lesser node at most, and none that has is linked to."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """(node, root) for every node of ``edges`` (two long columns, any names), and the path of that
     table; root is the least node of its component. Self links and repeats are harmless; no links
@@ -34,17 +41,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
         .distinct(),
         "links",
     )
-    mark = None
     for _ in range(max_rounds):
         # the links of the large star are written too: the small one reads them three times
         big, big_path = materialize(_star(e, True), "links")
         nxt, nxt_path = materialize(_star(big, False), "links")
-        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         drop_path(spark, path, big_path)
         e, path = nxt, nxt_path
-        if now == mark:
+        if _settled(e):
             break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # a row a node; of a star that has settled, every link's lesser end is its root

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, drop_path, materialize
+from .common import LOWER_AZ, drop_path, materialize, slices
 from .components import connected_components
 
 #: Buckets up to this size give all their pairs; larger ones take the linear path.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): a signed long holding the 64 bits of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = [int(fingerprint(shingle_hashes(t, width))[0].astype(np.int64)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -238,7 +238,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Texts of which the shingles' frequencies are learned, and the most shingles that are kept of them.
 SAMPLE_TEXTS, MOST_KNOWN = 40_000, 500_000
 #: A pair must meet in so many shingles of the two prefixes, or as many as its sizes ask for, if fewer.
-MEETINGS = 8
+MEETINGS = 2
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, width: int, sample: int = SAMPLE_TEXTS, most: int = MOST_KNOWN) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +250,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int, sample: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], ["b"])
 
@@ -281,7 +281,7 @@ def shingle_prefixes(docs: DataFrame, text_col: str, width: int, similarity: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shipped.value
-        for b in batches:
+        for b in slices(batches):
             sizes, prefixes = [], []
             for t in b.column(2).to_pylist():
                 h = np.unique(shingle_hashes(t, width))
@@ -326,17 +326,29 @@ def shared_prefixes(nodes: DataFrame) -> tuple[DataFrame, str]:
     return materialize(rows.join(shared, "b"), "simhash-met")
 
 
-def hub_pairs(met: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+def popular_nodes(met: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """(node, score): by how many nodes each node's prefix shingles are met, on average."""
+    return materialize(met.groupBy("node").agg((F.sum("c") / F.first(prefix_length(F.col("size"), similarity))).alias("score")), "simhash-popular")
+
+
+def hub_pairs(met: DataFrame, popular: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(a, b): each node with the hub of every bucket that it is in.
 
-    The hub is the bucket's node whose prefix shingles are met by most nodes on average: of a group
-    of near copies that is the text, or next to the text, that the others come from."""
-    popular = met.groupBy("node").agg((F.sum("c") / F.first(prefix_length(F.col("size"), similarity))).alias("score"))
+    The hub is the bucket's most popular node: of a group of near copies that is the text, or next
+    to the text, that the others come from."""
     hubs = met.join(popular, "node").groupBy("b").agg(F.max(F.struct("score", "node", "size", "pos")).alias("hub"))
     near = met.join(hubs, "b").where((F.col("node") != F.col("hub.node")) & _may_be_alike("", "hub.", similarity))
     return materialize(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "simhash-pairs")
 
 
+def hub_groups(links: DataFrame, popular: DataFrame) -> DataFrame:
+    """(node, root): root is the most popular of the node and those that it is linked to, so nodes of
+    one root are of one component; most of a large group has its hub as root."""
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "root")
+    scored = both.union(both.select("node", "node")).join(popular.select(F.col("node").alias("root"), "score"), "root")
+    return scored.groupBy("node").agg(F.max(F.struct("score", "root")).alias("x")).select("node", "x.root")
+
+
 def remaining_pairs(met: DataFrame, roots: DataFrame, tested: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     """(a, b): all pairs that are not yet in one group, were not tested, and meet often enough.
 
@@ -376,7 +388,7 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, similarity:
                 sets[node] = np.unique(shingle_hashes(t, width))
             return sets[node]
 
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for i, j, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x, y = shingles(i, s), shingles(j, t)
@@ -411,11 +423,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_path(spark, rows_path)
     met, met_path = shared_prefixes(nodes)
     drop_path(spark, nodes_path)
-    tested, tested_path = hub_pairs(met, similarity)
+    popular, popular_path = popular_nodes(met, similarity)
+    tested, tested_path = hub_pairs(met, popular, similarity)
     sure, sure_path = verified_pairs(tested, own, "text", similarity, width)
-    roots, roots_path = connected_components(sure)
-    rest, rest_path = remaining_pairs(met, roots, tested, similarity)
-    drop_path(spark, met_path, tested_path, roots_path)
+    rest, rest_path = remaining_pairs(met, hub_groups(sure, popular), tested, similarity)
+    drop_path(spark, met_path, tested_path, popular_path)
     more, more_path = verified_pairs(rest, own, "text", similarity, width)
     roots, _ = connected_components(sure.union(more))
     drop_path(spark, sure_path, more_path, rest_path)
