@@ -6,13 +6,15 @@ complete epochs first; the rest is a weighted sample without replacement: each d
 key -ln(u) / quality with a reproducible u, documents are taken in key order, and the running sum
 of their words is cut where it is nearest to the rest. Documents are whole or left out.
 
-Only DataFrame operations: the running sum is kept per (source, key bin), and only the bin in which
-a source's sum passes its rest is sorted, so no task ever holds a whole source.
+Only DataFrame operations: a source's keys are cut into bins, and the bin in which the running sum
+passes the rest is cut again, until it holds few rows or one key; only those are sorted, so no task
+ever holds a whole source, however its keys lie.
 
 Null texts have size 0. A null source is a source of its own, the last. Sources without words get
-target 0 and nothing is taken. Repeated rows draw equal keys; which of them is taken does not
-matter, since they are equal. An empty table gives an empty result. Clashing names do not matter:
-:func:`mix` reads three columns, :func:`mix_documents` keeps every column.
+target 0 and nothing is taken. Rows of one id and size draw equal keys and are taken in the order
+of their texts' hashes; which of several equal rows is taken does not matter. An empty table gives
+an empty result. Clashing names do not matter: :func:`mix` reads three columns,
+:func:`mix_documents` keeps every column.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import drop_path, materialize, unit_hash
 
 #: Runs of anything but the six ASCII white-space characters.
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Rows that one key bin holds on average; the bins' number follows the table.
-ROWS_A_BIN = 4096
+#: A source's keys are cut into so many bins at a time, until the bin of the cut holds so many rows.
+BINS, ROWS_A_BIN = 4096, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,29 +60,50 @@ def source_targets(sizes: DataFrame, ratio: float = 1.5, weights: Sequence[int]
     return s.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
+def _narrowed(base: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """``plan`` with the key span (lo, hi), its rows n and the words before it of each source in
+    which the cut is still open replaced by the bin of that span in which the cut lies."""
+    opened = plan.where(_is_open()).select("ps", "rest", "before", "lo", "hi")
+    part = base.join(F.broadcast(opened) if few else opened, F.col("source").eqNullSafe(F.col("ps"))).where(F.col("key").between(F.col("lo"), F.col("hi")))
+    place = F.least(F.lit(BINS - 1), F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).alias("bin")
+    bins = part.groupBy("source", "rest", "before", place).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    # at most BINS rows a source
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+    passed = bins.withColumn("after", upto).where(F.col("after") >= F.col("rest"))
+    least = passed.groupBy("source").agg(F.min(F.struct("bin", (F.col("after") - F.col("words")).alias("before"), "n", "lo", "hi")).alias("e"))
+    found = least.select(F.col("source").alias("es"), "e")
+    joined = plan.join(found, F.col("ps").eqNullSafe(F.col("es")), "left")
+    return joined.select("ps", "source_size", "target", "epochs", "rest", *[F.coalesce(f"e.{c}", c).alias(c) for c in ("before", "n", "lo", "hi")])
+
+
+def _is_open() -> Column:
+    return (F.col("rest") > 0) & (F.col("n") > ROWS_A_BIN) & (F.col("hi") > F.col("lo"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratio: float = 1.5, weights: Sequence[int] = (3, 1, 2), cap: float = 2.0, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, times, taken, *keep) for every row: how often the mix takes it."""
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), quality_weight(text).alias("quality"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    text, spark = F.col(text_col), docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), quality_weight(text).alias("quality"), F.xxhash64(text).alias("th"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     key = -F.log(unit_hash(F.lit(seed), F.col("doc_id"), F.col("size"))) / F.col("quality")
     base, _ = materialize(rows.withColumn("key", key).drop("quality"), "mix")
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    bins = max(1, (sizes.agg(F.max("n")).first()[0] or 0) // ROWS_A_BIN)
-    # u ** (1 / quality) falls from 1 to 0 as the key grows
-    base = base.withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * F.lit(float(bins))))
-    t = source_targets(sizes.drop("n"), ratio, weights, cap)
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    sizes, sizes_path = materialize(sizes, "mix-sizes")
+    t = source_targets(sizes.select("source", "source_size"), ratio, weights, cap)
     t = t.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     t = t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    sums = base.groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn("after", F.sum("words").over(upto))
-    passed = sums.join(t.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("after") >= F.col("rest")) & (F.col("rest") > 0))
-    edge = passed.groupBy("source").agg(F.min(F.struct("bin", (F.col("after") - F.col("words")).alias("before"))).alias("e")).select(F.col("source").alias("es"), F.col("e.bin").alias("edge"), F.col("e.before").alias("before"))
-    plan, _ = materialize(t.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").select(F.col("source").alias("ps"), "source_size", "target", "epochs", "rest", "edge", "before"), "mix-plan")
-    small = plan.count() <= 50_000  # broadcast only up to a checked size
-    all_rows = base.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("ps")))
-    whole = all_rows.where(F.col("edge").isNull() | (F.col("bin") != F.col("edge"))).withColumn("more", F.coalesce((F.col("bin") < F.col("edge")).cast("long"), F.lit(0).cast("long")))
-    run = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = all_rows.where(F.col("bin") == F.col("edge")).withColumn("sum", F.sum("size").over(run) + F.col("before"))
+    spans = sizes.select(F.col("source").alias("ps"), F.lit(0).cast("long").alias("before"), "n", "lo", "hi")
+    plan, path = materialize(t.join(spans, F.col("source").eqNullSafe(F.col("ps"))).select("ps", "source_size", "target", "epochs", "rest", "before", "n", "lo", "hi"), "mix-plan")
+    drop_path(spark, sizes_path)
+    few = plan.count() <= 50_000  # broadcast only up to a checked size
+    while not plan.where(_is_open()).isEmpty():
+        spent = path
+        plan, path = materialize(_narrowed(base, plan, few), "mix-plan")
+        drop_path(spark, spent)
+    every = base.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("ps")))
+    beside = (F.col("rest") > 0) & F.col("key").between(F.col("lo"), F.col("hi"))
+    whole = every.where(~beside).withColumn("more", ((F.col("rest") > 0) & (F.col("key") < F.col("lo"))).cast("long"))
+    run = Window.partitionBy("source").orderBy("key", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, 0)
+    cut = every.where(beside).withColumn("sum", F.sum("size").over(run) + F.col("before"))
     # the row that passes the rest is taken if that comes nearer to it
     cut = cut.withColumn("more", (F.col("sum") - F.col("rest") <= F.col("rest") - (F.col("sum") - F.col("size"))).cast("long")).drop("sum")
     times = F.col("epochs") + F.col("more")
