@@ -5,12 +5,15 @@ The index is fitted on a bounded sample of vectors (drawn by a hash of the id) a
 row. A query probes the lists of its nearest centroids; each list's codes are ranked by distances
 looked up in the query's tables, and the best of all lists are ranked again by the exact measure on
 the original vectors. Lists are cut into blocks of bounded size and queries go to every block of a
-list, so a list that holds a third of all rows is spread over as many tasks as it needs.
+list that they probe, so a list that holds a third of all rows is spread over as many tasks as it
+needs. A block that more queries probe than a task takes is copied for each share of them, so what
+is shuffled follows the probes, not rows times queries.
 
 Nearness is the cosine in double precision; equal scores go to the smaller id, in the approximate
 ranking too, so groups of equal vectors keep their least ids. Null vectors, those of another length
-than the first row's, zero vectors and those with null or non-finite components take no part, as
-queries or candidates. Repeated ids are rows of their own as candidates; a query never finds rows of
+than most (of equally many the shorter), zero vectors and those with null or non-finite components
+take no part, as queries or candidates. A query probes as many lists as the index was fitted to, and
+further ones until they hold enough rows to rerank. Repeated ids are rows of their own as candidates; a query never finds rows of
 its own id. Empty tables and no queries give empty results. Only id and vector are read.
 """
 
@@ -19,15 +22,15 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import drop_path, materialize, unit_hash
 
 
 @dataclass
@@ -35,6 +38,7 @@ class IvfPq:
     centroids: np.ndarray  # (lists, dim), of unit vectors
     books: np.ndarray  # (parts, 256, dim / parts)
     probes: int
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # rows of each list
 
     @property
     def parts(self) -> int:
@@ -92,21 +96,22 @@ def probes_needed(x: np.ndarray, c: np.ndarray, target: float, k: int = 5, tests
     return int(at[min(len(at) - 1, math.ceil(target * len(at)) - 1)]) + 1
 
 
-def fit(vectors: DataFrame, n: int, max_sample: int = 20_000, parts: int = 16, target_recall: float = 0.97, seed: int = 0) -> IvfPq | None:
+def fit(vectors: DataFrame, n: int, max_sample: int = 20_000, max_lists: int = 4096, parts: int = 16, target_recall: float = 0.97, seed: int = 0) -> IvfPq | None:
     """The index's centroids and code books from at most about ``max_sample`` rows.
 
-    Lists: about the square root of the number of rows, at most 4096. Probes: as many as the
-    sample's own nearest neighbours need for ``target_recall``."""
-    dim_row = vectors.select(F.size("v")).first()
+    Lists: about the square root of the number of rows, at most ``max_lists``, since the sample
+    tells no more apart; beyond, lists grow longer and are scanned in more blocks. Probes: as many
+    as the sample's own nearest neighbours need for ``target_recall``."""
+    dim_row = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "dim").first()
     if dim_row is None:
         return None
-    dim = dim_row[0]
+    dim = dim_row["dim"]
     got = vectors.where((F.size("v") == dim) & (unit_hash(F.lit(seed), F.col("vec_id")) < F.lit(min(1.0, max_sample / max(n, 1))))).select("v").limit(2 * max_sample).toArrow()
     if got.num_rows == 0:
         got = vectors.where(F.size("v") == dim).select("v").limit(256).toArrow()
     x = _unit(got.column(0).combine_chunks(), dim)
     rng = np.random.default_rng(seed)
-    lists = max(1, min(4096, int(math.sqrt(n))))
+    lists = max(1, min(max_lists, int(math.sqrt(n))))
     c = _kmeans(x, lists, rng)
     parts = max(p for p in range(1, parts + 1) if dim % p == 0)
     rest = x - c[_nearest(x, c)]
@@ -179,22 +184,20 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
     ``is_query`` is a condition on the column vec_id. A task scans ``block`` rows of the index for
     ``query_block`` queries and passes on the ``rerank`` best of each."""
     spark = rows.sparkSession
-    vectors, _ = materialize(valid_vectors(rows, id_col, vector_col), "ann-vectors")
+    vectors, vectors_path = materialize(valid_vectors(rows, id_col, vector_col), "ann-vectors")
     n = vectors.count()
     model = fit(vectors, n, **fit_options)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if n <= 50 * k:  # so few rows that a query could else see fewer than k candidates
-        model.probes = len(model.centroids)
     dim = model.centroids.shape[1]
-    codes, _ = materialize(encode(vectors, model), "ann-codes")
-    # a row a list, at most 4096
-    places = _blocks(dict(codes.groupBy("list").count().collect()), block)
+    codes, codes_path = materialize(encode(vectors, model), "ann-codes")
+    # a row a list, at most max_lists
+    sizes = dict(codes.groupBy("list").count().collect())
+    model.sizes = np.array([sizes.get(i, 0) for i in range(len(model.centroids))])
+    places = _blocks(sizes, block)
     placed = F.broadcast(spark.createDataFrame(places, "list int, first int, blocks int"))
     queries = vectors.where((F.size("v") == dim) & is_query)
-    q_blocks = max(1, -(-queries.count() // query_block))
     index = codes.join(placed, "list").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "code"), F.col("blocks"))).cast("int")).drop("first", "blocks")
-    index = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     shipped = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +206,20 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
         for b in batches:
             x = _unit(b.column(1), dim)
             for at in range(0, len(x), 1024):
-                d = half - x[at : at + 1024] @ m.centroids.T
-                near = np.sort(np.argpartition(d, m.probes - 1, axis=1)[:, : m.probes], axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 1024], pa.array(list(near), pa.list_(pa.int32())), pa.array([v.tobytes() for v in x[at : at + 1024].astype(np.float32)], pa.binary())], ["query_id", "lists", "q"])
+                order = np.argsort(half - x[at : at + 1024] @ m.centroids.T, axis=1, kind="stable").astype(np.int32)
+                # lists until they hold enough rows besides the query's own
+                enough = (np.cumsum(m.sizes[order], axis=1) <= rerank).sum(axis=1) + 1
+                near = [np.sort(o[: max(m.probes, e)]) for o, e in zip(order, enough.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 1024], pa.array(near, pa.list_(pa.int32())), pa.array([v.tobytes() for v in x[at : at + 1024].astype(np.float32)], pa.binary())], ["query_id", "lists", "q"])
 
     probes = queries.mapInArrow(probe, "query_id long, lists array<int>, q binary")
     # one row for each query and block that holds a list it probes
     by_block = probes.withColumn("list", F.explode("lists")).join(placed, "list").withColumn("block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)))
-    by_block = by_block.groupBy("query_id", "q", "block").agg(F.collect_set("list").alias("lists")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+    by_block, by_path = materialize(by_block.groupBy("query_id", "q", "block").agg(F.collect_set("list").alias("lists")), "ann-probes")
+    # a block is copied for each share of the queries that probe it; blocks that none probes stay behind
+    shares = by_block.groupBy("block").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("shares"))
+    index = index.join(shares, "block").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    by_block = by_block.join(shares, "block").withColumn("qb", F.pmod(F.xxhash64("query_id", "q"), F.col("shares")).cast("int")).drop("shares")
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         m: IvfPq = pickle.loads(shipped.value)
@@ -235,12 +244,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
 
     near = by_block.groupBy("block", "qb").cogroup(index.groupBy("block", "qb")).applyInPandas(scan, "query_id long, vec_id long, d double")
-
-    def keep_best(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = _best(pdf["vec_id"].to_numpy(), pdf["d"].to_numpy(), rerank)
-        return pdf.iloc[at]
-
-    chosen = near.groupBy("query_id").applyInPandas(keep_best, near.schema).select("query_id", "vec_id").distinct()
+    first = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rerank).select("query_id", "vec_id").distinct()
+    chosen, chosen_path = materialize(chosen, "ann-chosen")
+    drop_path(spark, by_path, codes_path)
     vec = vectors.where(F.size("v") == dim)
     pairs = chosen.join(vec.withColumnRenamed("v", "x"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("y")), "query_id")
 
@@ -251,9 +258,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     scored = pairs.select("query_id", "vec_id", "x", "y").mapInArrow(exact, "query_id long, vec_id long, score double")
-
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
-        return best.assign(rank=np.arange(1, len(best) + 1, dtype=np.int32))[["query_id", "rank", "vec_id", "score"]]
-
-    return scored.groupBy("query_id").applyInPandas(top, "query_id long, rank int, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    out, _ = materialize(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+    drop_path(spark, chosen_path, vectors_path)
+    return out
