@@ -39,7 +39,7 @@ WITH d AS (
   FROM documents),
 b AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
@@ -49,7 +49,7 @@ grams AS (
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
 hits AS (SELECT r, i, n, item_id FROM grams JOIN windows USING (n, g)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+items AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
@@ -160,9 +160,12 @@ QUERIES["op3_ann_search"] = op3_ann_search
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secretscan import made_up_findings, scan, train
+    """Candidates of all texts; trained on made-up findings, since no table of labelled ones exists."""
+    from .secretscan import corpus_statistics, findings_table, made_up_findings, read_findings, scan, train
 
-    found = scan(table(spark, sf_dir, "documents"), train(made_up_findings()))
+    docs = table(spark, sf_dir, "documents")
+    labelled = read_findings(findings_table(spark, made_up_findings()))
+    found = scan(docs, train(labelled, corpus_statistics(docs)))
     return found.withColumn("secret", F.col("score") >= 0.5)
 
 
