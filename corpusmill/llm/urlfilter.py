@@ -7,7 +7,7 @@ decide. Only DataFrame operations are used: features are column expressions, a l
 chosen from one aggregation of gradients by (node, feature, bin), and the model is applied as a sum
 of CASE expressions.
 
-Null URLs and URLs without ``://`` have empty host and path; they are judged by the trees like any
+Rules of one length: the first given wins. Null URLs and URLs without ``://`` have empty host and path; they are judged by the trees like any
 other (their features are those of the text, all 0 if null). Repeated rows get equal verdicts. With
 no labelled URL, or labels of one kind only, the trees say what most labels say, else allow. An
 empty table gives an empty result. Only the named columns are read; other names do not matter.
@@ -19,11 +19,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import drop_path, materialize, unit_hash
 
+#: Folds of the labelled rows: a row's suffix rate is that of the other folds' labels.
+FOLDS = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "entropy", "params", "hyphens", "suffix_count", "suffix_rate")
 
@@ -101,7 +103,8 @@ def features(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", u
     """(page_id, host, path, rule, label, *FEATURES), written, and the labels' rate of block.
 
     label: 1 block, 0 allow, null unknown. Suffix statistics cover every row: how many URLs end
-    their host in the same label, and the rate of block among those that are labelled."""
+    their host in the same label, and the rate of block among those that are labelled; for a
+    labelled row, among those of the other folds, so that no feature holds the row's own label."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("u"), host_of(url).alias("host"), path_of(url).alias("path"), *([label.cast("int").alias("label")] if label is not None else []))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -110,15 +113,20 @@ def features(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", u
         by_rule = F.element_at(F.create_map(*[x for t, k in kind.items() for x in (F.lit(t), F.lit(k))]), F.col("rule")) if kind else F.lit(None).cast("int")
         rows = rows.withColumn("label", by_rule)
     rows = rows.withColumns(lexical(F.col("u"), F.col("host"), F.col("path"))).withColumn("suffix", F.substring_index("host", ".", -1)).drop("u")
-    rows, _ = materialize(rows, "urls")
-    by_suffix, _ = materialize(rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.sum("label").alias("bad")), "url-suffix")
-    all_known = by_suffix.agg(F.sum("known"), F.sum("bad"), F.count("*")).first()
+    fold = F.when(F.col("label").isNull(), -1).otherwise(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(FOLDS)).cast("int"))
+    rows, rows_path = materialize(rows.withColumn("fold", fold), "urls")
+    by_fold, fold_path = materialize(rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")), "url-suffix")
+    all_known = by_fold.agg(F.sum("known"), F.sum("bad"), F.count("*")).first()
     prior = (all_known[1] or 0) / all_known[0] if all_known[0] else 0.0
-    rate = (F.coalesce("bad", F.lit(0)) + smoothing * prior) / (F.col("known") + smoothing)
-    stats = by_suffix.select("suffix", F.log1p("n").alias("suffix_count"), rate.alias("suffix_rate"))
+    suffix = Window.partitionBy("suffix")  # at most FOLDS + 1 rows
+    others = {c: F.sum(c).over(suffix) - F.col(c) for c in ("known", "bad")}
+    rate = (others["bad"] + smoothing * prior) / (others["known"] + smoothing)
+    stats = by_fold.select("suffix", "fold", F.log1p(F.sum("n").over(suffix)).alias("suffix_count"), rate.alias("suffix_rate"))
     if (all_known[2] or 0) <= 50_000:  # broadcast up to a checked size; beyond, a join that AQE can split
         stats = F.broadcast(stats)
-    return rows.join(stats, "suffix").drop("suffix"), prior
+    out, _ = materialize(rows.join(stats, ["suffix", "fold"]).drop("suffix", "fold"), "url-features")
+    drop_path(pages.sparkSession, rows_path, fold_path)
+    return out, prior
 
 
 def _apply(tree: Tree) -> Column:
@@ -154,7 +162,7 @@ def train(rows: DataFrame, prior: float, max_rows: int = 20_000, trees: int = 12
     n = known.count()
     if n == 0 or prior in (0.0, 1.0):
         return UrlModel(4.0 if n and prior == 1.0 else -4.0, [], prior)
-    sample, _ = materialize(known.where(unit_hash(F.lit(seed), F.col("page_id"), F.col("host"), F.col("path")) < F.lit(min(1.0, max_rows / n))).select("label", *FEATURES), "url-sample")
+    sample, sample_path = materialize(known.where(unit_hash(F.lit(seed), F.col("page_id"), F.col("host"), F.col("path")) < F.lit(min(1.0, max_rows / n))).select("label", *FEATURES), "url-sample")
     grid = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])
     q = sample.agg(*[F.percentile_approx(f, grid, 10_000).alias(f) for f in FEATURES]).first()
     if q is None or q[0] is None:
@@ -163,7 +171,8 @@ def train(rows: DataFrame, prior: float, max_rows: int = 20_000, trees: int = 12
     model = UrlModel(math.log(prior / (1 - prior)), [], prior)
     # a feature's bin: how many thresholds lie below the value
     place = [sum((F.when(F.col(f) > F.lit(e), 1).otherwise(0) for e in es), F.lit(0)) for f, es in zip(FEATURES, edges, strict=True)]
-    sample, _ = materialize(sample.withColumn("bins", F.array(*place)), "url-sample")
+    sample, binned_path = materialize(sample.withColumn("bins", F.array(*place)), "url-sample")
+    drop_path(rows.sparkSession, sample_path)
     for _ in range(trees):
         tree = Tree()
         p = 1 / (1 + F.exp(-margin(model)))
@@ -194,6 +203,7 @@ def train(rows: DataFrame, prior: float, max_rows: int = 20_000, trees: int = 12
                     leaf.feature, leaf.threshold = best[1], float(edges[best[1]][best[2]])
                     leaf.children = [Tree(rate * best[3]), Tree(rate * best[4])]
         model.trees.append(tree)
+    drop_path(rows.sparkSession, binned_path)
     return model
 
 
