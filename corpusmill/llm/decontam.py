@@ -7,8 +7,8 @@ inside a match of at least ``window`` words (or inside an occurrence of a whole
 hit. Items are taken in blocks of at most ``block_words`` words, one pass a block, so what is
 broadcast is bounded whatever the size of the test set.
 
-Null and empty texts have no words and no hits. Items without words and items with a null id take
-no part; items of equal text all count. Rows are judged one by one, so repeated rows repeat. An
+Null and empty texts have no words and no hits. Items without words take no part; words of an item
+with a null id are hit, but it has no name to be listed by; items of equal text all count. Rows are judged one by one, so repeated rows repeat. An
 empty table gives an empty result, an empty test set no hits. Columns of the scan's result clash
 with none: only id and text are read by :func:`scan`; :func:`decontaminate` keeps every column.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import drop_path, materialize
 
 #: Each byte to itself, A-Z lower-cased, ASCII outside 0-9 and a-z to a space.
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -38,7 +38,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class ItemAutomaton:
     """Generalised suffix automaton of word sequences."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -163,11 +163,11 @@ class ItemAutomaton:
         return longest
 
 
-def _item_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _item_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items with words, in blocks of at most ``block_words`` words (one item at least); the
     driver holds a block and a partition of the test set at a time."""
-    rows = bench.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
-    block: list[tuple[str, list[bytes]]] = []
+    rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
+    block: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for r in rows.toLocalIterator():
         ws = words_of(bytes(r.t))
@@ -208,7 +208,7 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     n_own = len(schema) - len(added)
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()), pa.string())
     blocks = _item_blocks(bench, item_col, item_text_col, block_words)
-    items = next(blocks)
+    items, path = next(blocks), None
     while items is not None:
         coming = next(blocks, None)
         shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
@@ -225,13 +225,16 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
                         spans, names, n = auto.scan(ws)
                         spans = _merged([(x["first"], x["last"]) for x in s0] + spans)
                         clean = None if not cut_now or t is None else cut_spans(t, spans) if spans else t.decode()
-                        for to, v in zip(got, (len(ws), max(longest, n), [{"first": a, "last": z} for a, z in spans], sorted({*i0, *(auto.items[x] for x in names)}), clean), strict=True):
+                        for to, v in zip(got, (len(ws), max(longest, n), [{"first": a, "last": z} for a, z in spans], sorted({*i0, *(auto.items[x] for x in names)} - {None}), clean), strict=True):
                             to.append(v)
                     yield pa.RecordBatch.from_arrays([*b.columns[:n_own], *(pa.array(v, t) for v, t in zip(got, kinds, strict=True))], b.schema.names)
 
         out = out.mapInArrow(run, schema)
         if coming is not None:
-            out, _ = materialize(out, "decontam")
+            spent = path
+            out, path = materialize(out, "decontam")
+            if spent:
+                drop_path(spark, spent)
         items = coming
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
     return out.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", covered.alias("n_hit"), "longest", "spans", "items", *(["clean"] if cut else []))

@@ -43,8 +43,8 @@ _PAYLOAD = struct.Struct("<qBB")
 _INDEX = struct.Struct("<QQ")
 #: Words whose ids a worker remembers, in each of two generations.
 MEMO_WORDS = 500_000
-#: Records of a file, on average, at most; small tables get files for as many tasks as run at once.
-ROWS_A_FILE = 50_000
+#: Bytes of text a file, on average, at most; small tables get files for as many tasks as run at once.
+BYTES_A_FILE = 256 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -142,7 +142,8 @@ class WordEncoder:
         kinds = text.translate(_KINDS)
         alone = b"p." not in kinds and b".p" not in kinds and b".." not in kinds
         if alone and (b"u." in kinds or b".u" in kinds):
-            alone = all((a or z).isalnum() for a, z in _BESIDE.findall(text.decode()))
+            # the capital I with a dot is a letter, but its small form ends in a mark
+            alone = all((a or z).isalnum() and a != "\u0130" for a, z in _BESIDE.findall(text.decode()))
         text = text.translate(LOWER_AZ)
         return text.replace(b".", b" . ").replace(b",", b" , ").split() if alone else text.split()
 
@@ -248,9 +249,9 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     fs, at = open_fs(folder)
     fs.create_dir(at, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    n = rows.count()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     at_once = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_files = max(1, -(-n // ROWS_A_FILE), min(at_once, n // 1000))
+    n_files = max(1, -(-size // BYTES_A_FILE), min(at_once, n // 1000))
     ordered = rows.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

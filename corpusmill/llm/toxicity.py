@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, unit_hash
+from .common import drop_path, materialize, slices, unit_hash
 
 #: Letters of other scripts, digits and signs, and the Latin letters that they imitate.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e",
 }
 #: Phrases in which an entry means no harm (folded).
 EXCEPTIONS = ("trash can", "trash bin", "white trash bag", "clown fish", "scum line", "pond scum", "sore loser board", "stupid simple")
@@ -63,8 +63,6 @@ class _Fold(dict):
             # a lone combining mark joins its word, all else that is no letter ends it
             if not out and not unicodedata.combining(c):
                 out = " "
-        if code in (33, 124):  # these two end words more often than they spell them
-            out = " "
         self[code] = out
         return out
 
@@ -133,8 +131,8 @@ def entries_of(text: str | None, shortest: int = 4, longest: int = 9) -> set[str
 
 
 def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, min_texts: int = MIN_TEXTS, min_odds: float = MIN_ODDS, max_entries: int = 20_000) -> dict[str, float]:
-    """Entries by falling log odds; an entry that a kept shorter beginning covers as well is left out.
-    ``counts``: entry, toxic texts, clean texts."""
+    """Entries by falling log odds, at most ``max_entries``; an entry that a kept shorter beginning
+    covers as well is left out. ``counts``: entry, toxic texts, clean texts."""
     scored = []
     for k, a, b in counts:
         odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
@@ -179,17 +177,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     if len(sizes) < 2:
         return model
     share = F.when(F.col("y") == 1, F.lit(min(1.0, max_rows_a_class / sizes[1]))).otherwise(F.lit(min(1.0, max_rows_a_class / sizes[0])))
-    drawn, _ = materialize(marked.withColumn("u", unit_hash(F.lit(seed), F.col("lid")) / share).where("u < 1"), "toxic-draw")
+    drawn, drawn_path = materialize(marked.withColumn("u", unit_hash(F.lit(seed), F.col("lid")) / share).where("u < 1"), "toxic-draw")
     if drawn.count() <= 4 * max_rows_a_class:  # a bounded sample by its draw; checked all the same
         drawn = F.broadcast(drawn)
     texts = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).alias("t"))
-    sample, _ = materialize(texts.join(drawn, "lid").select("y", "u", "t"), "toxic-sample")
+    sample, sample_path = materialize(texts.join(drawn, "lid").select("y", "u", "t"), "toxic-sample")
 
     sample = sample.withColumn("half", (F.col("u") >= 0.5).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in range(4)]  # clean and toxic texts of the first half, then of the second
-        for b in batches:
+        for b in slices(batches):
             for y, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 seen[2 * h + y].update(entries_of(t))
         keys = list(set().union(*seen))
@@ -212,11 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = [Matcher(x) for x in shipped.value]
-        for b in batches:
+        for b in slices(batches):
             x = np.array([m[1 - h].marks(t) for h, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, j]) for j in range(3))], ["y", "a", "b", "c"])
 
     rows = np.array([tuple(r) for r in sample.select("y", "half", "t").mapInArrow(mark, "y int, a double, b double, c double").collect()], float).reshape(-1, 4)
+    drop_path(docs.sparkSession, drawn_path, sample_path)
     if len(np.unique(rows[:, 0])) == 2:
         model.coef, model.intercept = fit_logistic(rows[:, 1:], rows[:, 0])
     return model
@@ -231,7 +230,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shipped.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, "toxicity"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("toxicity", T.DoubleType())])

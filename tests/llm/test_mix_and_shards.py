@@ -47,7 +47,8 @@ def test_targets_equal_step_by_step_sharing(spark):
 
 
 def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_A_BIN", 5)  # several bins, and a boundary bin
+    monkeypatch.setattr(mixing, "ROWS_A_BIN", 5)  # the bin of the cut is cut again
+    monkeypatch.setattr(mixing, "BINS", 4)
     docs = _docs(spark, _many())
     a, b = (sorted(map(tuple, mixing.mix(docs).collect()), key=str) for _ in range(2))
     assert a == b
@@ -72,6 +73,22 @@ def test_mix_of_odd_rows(spark):
     assert all(r["target"] == 0 for r in mixing.mix(_docs(spark, [(1, None, None, "a", None)])).collect())
 
 
+def test_rows_of_low_quality_are_cut_into_small_bins(spark, monkeypatch):
+    """All keys far out, as a source of markup has them: the cut is still found in few rows."""
+    docs = _docs(spark, [(i, "1 2 3 4 5", "en", "a", 0) for i in range(2000)])
+    whole = {r["doc_id"]: r["times"] for r in mixing.mix(docs, ratio=0.5).collect()}
+    monkeypatch.setattr(mixing, "ROWS_A_BIN", 3)
+    monkeypatch.setattr(mixing, "BINS", 16)
+    assert {r["doc_id"]: r["times"] for r in mixing.mix(docs, ratio=0.5).collect()} == whole
+    assert sum(whole.values()) == 1000
+
+
+def test_null_ids_of_equal_size_are_taken_in_one_order(spark):
+    rows = [(None, f"t{i}", "en", "a", 0) for i in range(40)]
+    a, b = (sorted(r["text"] for r in mixing.mix_documents(_docs(spark, x), ratio=0.5).collect()) for x in (rows, rows[::-1]))
+    assert a == b and len(a) == 20
+
+
 def test_quality_tilts_the_draw(spark):
     rows = [(i, ("word " * 10) if i % 2 else ("12345 " * 10), "en", "a", 0) for i in range(1000)]
     got = mixing.mix(_docs(spark, rows), ratio=0.5).collect()
@@ -107,6 +124,49 @@ def test_a_huge_group_of_copies_is_spread(spark):
     assert max(b) - min(b) <= 0.1 * np.mean(b)
 
 
+def test_shards_equal_sequential_splits(spark):
+    """A k-d tree built in one place: same widest dimension, same order, cut nearest to the goal."""
+    docs = _docs(spark, _many(700, 5))
+    cols = [F.log2(F.octet_length("text") + 1), F.octet_length("text") % 17]
+    th, dh = kdshard._hash36(F.col("text")), kdshard._hash36(F.col("doc_id"), F.xxhash64("text"), F.lit(1))
+    rows = [r.asDict() for r in docs.select("doc_id", (F.octet_length("text") + 1).alias("size"), "text", th.alias("th"), dh.alias("dh"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).collect()]
+    for d in ("x0", "x1"):
+        lo, hi = min(r[d] for r in rows), max(r[d] for r in rows)
+        for r in rows:
+            r[d] = min(kdshard.GRID - 1, int((r[d] - lo) / (hi - lo) * kdshard.GRID))
+    total, want = sum(r["size"] for r in rows), {}
+
+    def split(part, first, shards):
+        if shards == 1:
+            want.update({r["doc_id"]: first for r in part})
+            return
+        dim = max(("x0", "x1"), key=lambda d: (max(r[d] for r in part) - min(r[d] for r in part), d == "x0"))
+        digits = lambda r: [r[dim], *[(r["th"] >> s) & 4095 for s in (24, 12, 0)], *[(r["dh"] >> s) & 4095 for s in (24, 12, 0)]]
+        goal, open_, left, k = sum(r["size"] for r in part) * (shards // 2) / shards, part, [], 0
+        while True:
+            sums, run = {}, 0
+            for r in open_:
+                sums[digits(r)[k]] = sums.get(digits(r)[k], 0) + r["size"]
+            for d in sorted(sums):
+                run += sums[d]
+                if run >= goal:
+                    break
+            before = run - sums[d]
+            left += [r for r in open_ if digits(r)[k] < d]
+            here = [r for r in open_ if digits(r)[k] == d]
+            if sums[d] <= 0.02 * total / 8 or k == kdshard.DIGITS - 1:
+                left += here if run - goal <= goal - before else []
+                break
+            goal, open_, k = goal - before, here, k + 1
+        ids = {r["doc_id"] for r in left}
+        split([r for r in part if r["doc_id"] in ids], first, shards // 2)
+        split([r for r in part if r["doc_id"] not in ids], first + shards // 2, shards - shards // 2)
+
+    split(rows, 0, 8)
+    got = {r["doc_id"]: r["shard"] for r in kdshard.assign(docs, 8, dimensions=cols).collect()}
+    assert got == want
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "", None, "a", 0), (2, "é", "en", "b", 1), (2, "é", "en", "b", 1), (3, "x" * 200_000, "en", "c", 1)]
     docs = _docs(spark, rows).withColumn("shard", F.lit("clash")).withColumn("node", F.lit(1))

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,7 +176,7 @@ def test_candidates_of_long_values():
 def test_forest_on_held_out_findings():
     rows = secretscan.made_up_findings(2000, 1)
     f = secretscan.train(rows[:1500])
-    ok = [(f.score(secretscan.features(x, f.pairs)) >= 0.5) == bool(y) for y, x in rows[1500:]]
+    ok = [(f.score(secretscan.features(x, f.known)) >= 0.5) == bool(y) for y, x in rows[1500:]]
     assert np.mean(ok) > 0.97
 
 
@@ -186,3 +188,113 @@ def test_scan_of_odd_texts(spark):
     assert sorted((r["doc_id"] or 0, r["kind"]) for r in got) == [(0, "assigned"), (1, "aws_access_key"), (1, "aws_access_key"), (4, "aws_access_key")]
     assert all(r["score"] >= 0.5 for r in got if r["kind"] == "aws_access_key")
     assert secretscan.scan(docs.limit(0), f).count() == 0
+
+
+def _naive_candidates(text):
+    """Each place in turn, each rule in turn, without the joint pattern."""
+    rules, at = [(k, re.compile(p)) for k, p in secretscan.RULES], 0
+    while at <= len(text):
+        for kind, rule in rules:
+            m = rule.match(text, at)
+            if m:
+                yield kind, *m.span("v")
+                at = max(m.end(), at + 1) - 1
+                break
+        at += 1
+
+
+def test_scan_equals_brute_force(spark):
+    made = [f"{m.before}{m.value}{m.after}" for _, m in secretscan.made_up_findings(120, 3)] + [None, "", "-----BEGIN RSA PRIVATE KEY----- password: a/b\\c=d, x"]
+    rows = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) < 3000").union(rows)
+    known = secretscan.corpus_statistics(docs, least_texts=2)
+    texts = [r["text"] or "" for r in docs.collect()]
+    pairs, words = np.zeros((26, 26)), Counter()
+    for t in texts:
+        low = t.lower()
+        for a, b in zip(low, low[1:], strict=False):
+            if "a" <= a <= "z" and "a" <= b <= "z":
+                pairs[ord(a) - 97, ord(b) - 97] += 1
+        words.update({w for w in re.findall("[a-z]{4,24}", "".join(c if c.isascii() else " " for c in low))})
+    assert np.allclose(known.pairs, secretscan.log_pairs(pairs))
+    assert known.words == secretscan.COMMON | {w for w, n in words.items() if n >= 2}
+    forest = secretscan.train(secretscan.read_findings(secretscan.findings_table(spark, secretscan.made_up_findings(600))), known, trees=7)
+    want = []
+    for r in docs.collect():
+        for kind, a, z in _naive_candidates(r["text"] or ""):
+            (f,) = [f for f in secretscan.candidates(r["text"]) if (f.start, f.end) == (a, z)]
+            row = secretscan.features(f, known)
+            votes = []
+            for tree in forest.trees:
+                while len(tree) > 1:
+                    tree = tree[2 if row[tree[0]] <= tree[1] else 3]
+                votes.append(tree[0])
+            want.append((r["doc_id"], kind, a, z, r["text"][a:z], round(float(np.mean(votes)), 9)))
+    got = [(*tuple(r)[:5], round(r["score"], 9)) for r in secretscan.scan(docs, forest).collect()]
+    assert sorted(got) == sorted(want) and got
+
+
+def test_findings_of_one_label_of_none_and_odd_rows(spark):
+    rows = secretscan.made_up_findings(200)
+    some = next(secretscan.candidates("token = abcDEF123456"))
+    for label in (0, 1):
+        f = secretscan.train([(label, x) for _, x in rows])
+        assert f.score(secretscan.features(some, f.known)) == label
+    assert secretscan.train([]).score([0.0] * len(secretscan.FEATURES)) == 0.5
+    odd = spark.createDataFrame([(None, "mixed", "v1234567", "", "", False), (1, None, "v1234567", None, None, None), (2, "mixed", "x", "", "", False), (1, "mixed", None, "", "", True)], secretscan.FINDINGS)
+    assert [(y, f.value, f.kind) for y, f in secretscan.read_findings(odd)] == [(1, "v1234567", "")]
+    assert secretscan.read_findings(odd.limit(0)) == []
+    assert len(secretscan.read_findings(secretscan.findings_table(spark, rows), max_rows=50)) < 100
+    empty = secretscan.corpus_statistics(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert empty.words == secretscan.COMMON
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Every entry at every place by comparison, the heaviest at each place, then the curve."""
+    docs, labels = _labelled(spark)
+    model = toxicity.train(docs, labels, F.lit(True), exceptions=("zorkish plugh",))
+    texts = [r["text"] for r in docs.collect()] + ["zorkish plugh", "a Z0RK1SH plugh zorkling", "", "zorkishzorkish x"]
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in scored:
+        folded = toxicity.fold(r["text"])
+        spared = [(m.start(), m.end() - 1) for m in re.finditer("(?= zorkish plugh )", folded) for m in [re.compile(" zorkish plugh ").match(folded, m.start())]]
+        best = {}
+        for at in range(len(folded)):
+            fits = [(w, k) for k, w in model.lexicon.items() if folded.startswith(k, at)]
+            if fits and not any(a <= at < z for a, z in spared):
+                best[at] = max(fits)
+        total = sum(w for w, _ in best.values())
+        x = [math.log1p(total), min(1.0, 10 * total / max(1, folded.count(" ") - 1)), math.log1p(len({k for _, k in best.values()}))] if best else [0, 0, 0]
+        z = sum(a * b for a, b in zip(x, model.coef, strict=True)) + model.intercept
+        assert r["toxicity"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_url_margins_equal_brute_force(spark):
+    """Features and trees worked out in Python from the URL and the labels of the other folds."""
+    rows = [(i, f"http://h{i % 7}.{('net', 'org', 'io')[i % 3]}/{'9' * (i % 10)}/{'a/' * (i % 5)}?x={i}&y", int(i % 10 >= 6)) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    table, prior = urlfilter.features(df, [], label=F.when(F.col("page_id") < 200, F.col("bad")))
+    fold = {r["page_id"]: r["f"] for r in table.select("page_id", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(urlfilter.FOLDS)).alias("f")).collect()}
+    model = urlfilter.train(table, prior, trees=3)
+    got = {r["page_id"]: r for r in table.withColumn("z", urlfilter.margin(model)).collect()}
+    assert prior == pytest.approx(np.mean([b for i, _, b in rows if i < 200]))
+    for i, u, _ in rows:
+        host, path = _host_path(u)
+        same = [(j, b) for j, v, b in rows if _host_path(v)[0].split(".")[-1] == host.split(".")[-1]]
+        known = [b for j, b in same if j < 200 and (i >= 200 or fold[j] != fold[i])]
+        counts = [u.count(c) / len(u) for c in set(u)]
+        want = dict(length=len(u), host_length=len(host), path_length=len(path), depth=path.count("/"), labels=host.count("."), digit_ratio=sum(c.isdigit() for c in u) / len(u), host_digits=sum(c.isdigit() for c in host), entropy=-sum(p * math.log2(p) for p in counts), params=u.count("&") + 1, hyphens=0, suffix_count=math.log1p(len(same)), suffix_rate=(sum(known) + 20 * prior) / (len(known) + 20))
+        for k, v in want.items():
+            assert got[i][k] == pytest.approx(v, abs=1e-9), k
+        z = model.base
+        for t in model.trees:
+            while t.children:
+                t = t.children[0 if want[urlfilter.FEATURES[t.feature]] <= t.threshold + 1e-12 else 1]
+            z += t.value
+        assert got[i]["z"] == pytest.approx(z, abs=1e-9)
+
+
+def test_equally_long_rules_the_first_wins(spark):
+    rules = [urlfilter.Rule("block", "a.net", "/x"), urlfilter.Rule("allow", "a.net", "/x"), urlfilter.Rule("allow", "net", "/x/a")]
+    df = spark.createDataFrame([(1, "http://a.net/x/aa")], "page_id long, url string")
+    assert tuple(urlfilter.judge(df, rules).select("rule", "verdict").first()) == ("a.net/x", "block")

@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import numpy as np
@@ -19,6 +21,15 @@ def test_word_encoder_equals_whole_texts():
     assert tokens.WordEncoder(PATH, by_word=False).batch([b"a b"]) == enc.batch([b"a b"])
 
 
+def test_fuzzed_texts_equal_whole_texts():
+    whole, enc, rng = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH), random.Random(0)
+    parts = [*(chr(c) for c in range(33)), ".", ",", ".", ",", "İ", "i\u0307", "é", "e\u0301", "ß", "Σ", "ς", "²", "½", "…", "—", "日", "'", "-", "<", "a", "Z", "9", "the", "End", "\x7f", "\x85", "\xa0", "\u200b", "\u2028", "ﬁ", "Å"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(60_000)]
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, ids, w in zip(texts, enc.batch([t.encode() for t in texts]), want, strict=True) if np.frombuffer(ids, enc.dtype).tolist() != w.ids]
+    assert not wrong, wrong[:5]
+
+
 def test_generations_give_the_same_ids(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_WORDS", 3)
     enc, whole = tokens.WordEncoder(PATH), Tokenizer.from_file(PATH)
@@ -103,6 +114,42 @@ def test_language_without_labels(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_predictions_equal_brute_force(spark):
+    """n-grams counted one by one, document frequencies over all learning rows, then the softmax."""
+    docs = _texts(spark)
+    model = langid.train(docs, F.col("doc_id") < 40)
+
+    learned = [r for r in docs.collect() if r["doc_id"] < 40]
+    df = np.zeros(langid.BINS)
+    for r in learned:
+        at, _ = langid.ngram_counts(r["text"].encode())
+        df[at] += 1
+    assert np.allclose(model.idf, np.log((1 + len(learned)) / (1 + df)) + 1)
+    for r in langid.predict(docs, model).collect():
+        cp, _ = langid.code_points(r["text"].encode())
+        tf = {}
+        for n in langid.ORDERS:
+            for i in range(len(cp) - n + 1):
+                h = 2166136261 + n
+                for c in cp[i : i + n].tolist():
+                    h = ((h ^ c) * 16777619) % 2**32
+                    h ^= h >> 15
+                tf[h % langid.BINS] = tf.get(h % langid.BINS, 0) + 1
+        x = {b: (1 + math.log(c)) * model.idf[b] for b, c in tf.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * model.weights[b, k] for b, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.labels))]
+        p = [math.exp(v - max(z)) / sum(math.exp(w - max(z)) for w in z) for v in z]
+        assert r["lang_pred"] == model.labels[int(np.argmax(p))] and r["score"] == pytest.approx(max(p), abs=1e-6)
+
+
+def test_equal_margins_go_to_the_first_label(spark):
+    both = _texts(spark).withColumn("lang", F.lit("b")).unionByName(_texts(spark).withColumn("lang", F.lit("a")))
+    empty = langid.LanguageModel(["a", "b"], np.ones(langid.BINS), np.zeros((langid.BINS, 2)), np.zeros(2))
+    assert empty.predict(EN.encode()) == ("a", 0.5)
+    got = langid.predict(both, langid.train(both, F.lit(True))).collect()
+    assert {r["lang_pred"] for r in got} <= {"a", "b"} and all(0.5 <= r["score"] <= 1 for r in got)
+
+
 def test_temperature_lowers_overconfidence():
     margins = np.array([[8.0, 0.0]] * 10)
     y = np.array([0] * 7 + [1] * 3)
