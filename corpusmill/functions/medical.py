@@ -51,11 +51,27 @@ def header_positions(text: Column) -> Column:
     return walk["found"]
 
 
+DOSE, FREQUENCY = r"\d+\s*(?:mg|mcg|g|ml|units?)", r"(?:daily|bid|tid|qid|prn)"
+
+
 def preservation_score(text: Column) -> Column:
-    """How much of a chunk's structure is whole, from 0 to 1 (SF44)."""
-    first = F.element_at(F.split(text, "\n"), 1)
-    parts = F.lit(0.5) + F.when(is_section_header(first), 0.2).otherwise(0.0) + F.when(has_dosing(text), 0.15).otherwise(0.0) + F.when(is_lab_table(text), 0.15).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts))
+    """How much of a chunk's structure is whole, from 0 to 1 (SF44): dosing counts for it with amount
+    and frequency, against it with one of them; a table counts for it from two rows on, else against it."""
+    lines = F.split(text, "\n")
+    dose, often = text.rlike(DOSE), text.rlike(FREQUENCY)
+    rows = F.size(F.filter(lines, lambda x: F.contains(x, F.lit("|"))))
+    head = F.when(is_section_header(F.element_at(lines, 1)), 0.2).otherwise(0.0)
+    dosing = F.when(has_dosing(text) & dose & often, 0.15).when(has_dosing(text) & (dose | often), -0.1).otherwise(0.0)
+    lab = F.when(is_lab_table(text), F.when(rows >= 2, 0.15).otherwise(-0.2)).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + head + dosing + lab))
+
+
+def avoids_split(before: Column, after: Column) -> Column:
+    """A place between two texts that had better not be a chunk's end (SF43): dosing on both sides
+    that the last line before it belongs to, or a table's row that follows a bare bar."""
+    lines, first = F.split(before, "\n"), F.element_at(F.split(after, "\n"), 1)
+    dosing = has_dosing(before) & has_dosing(after) & has_dosing(F.element_at(lines, -1))
+    return dosing | ((is_lab_table(before) | is_lab_table(after)) & F.array_contains(lines, "|") & F.contains(first, F.lit("|")))
 
 
 def keeps_together(text: Column, drugs: Column) -> Column:
@@ -63,12 +79,21 @@ def keeps_together(text: Column, drugs: Column) -> Column:
     return (F.size(drugs) > 0) & text.rlike(AMOUNT)
 
 
-def entities(text: Column, patterns: list[str]) -> Column:
-    """Matches of any of the patterns, in order (SF45)."""
-    return F.regexp_extract_all(text, F.lit("(?i)(" + "|".join(patterns) + ")"), F.lit(1))
+def _matches(text: Column, pattern: str, label: str, confidence: float) -> Column:
+    """Matches with their places: the texts between them say how far each is from the start."""
+    found, gaps = F.regexp_extract_all(text, F.lit("(?i)(?:" + pattern + ")"), F.lit(0)), F.split(text, "(?i)(?:" + pattern + ")")
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    start = lambda i: total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+    return F.transform(found, lambda m, i: F.struct(m.alias("text"), F.lit(label).alias("label"), start(i).alias("start"), (start(i) + F.length(m)).alias("end"), F.lit(confidence).alias("confidence")))
+
+
+def entities(text: Column, drugs: list[str], conditions: list[str]) -> Column:
+    """array<struct<text, label, start, end, confidence>>, pattern by pattern: drugs with confidence
+    0.7, then conditions with 0.8 (SF45)."""
+    return F.concat(*[_matches(text, p, "DRUG", 0.7) for p in drugs], *[_matches(text, p, "DISEASE", 0.8) for p in conditions])
 
 
 def should_merge(left: Column, right: Column, drugs: Column) -> Column:
     """Neighbours that belong together: a drug with its amount, a table, an amount without how often (TV19)."""
-    open_dose = has_dosing(left) & left.rlike(r"\d+\s*(?:mg|mcg|g|ml|units?)") & ~left.rlike("(?:daily|bid|tid|qid|prn)")
+    open_dose = has_dosing(left) & left.rlike(DOSE) & ~left.rlike(FREQUENCY)
     return keeps_together(F.concat_ws(" ", left, right), drugs) | is_lab_table(left) | is_lab_table(right) | open_dose

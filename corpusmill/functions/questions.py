@@ -59,3 +59,14 @@ def strip_definition(text: Column) -> Column:
     for lead in ("what is ", "define ", "explain ", "meaning of "):
         out = F.regexp_replace(out, "(?i)^" + lead, "")
     return F.trim(out)
+
+
+def classify_answer(answer: Column) -> Column:
+    """struct<query_type, confidence, reasoning> of a model's "type | reasoning" (UD19): unknown types
+    are definitions, no answer is one with little confidence."""
+    parts = F.split(answer, r"\|", 2)
+    told = F.lower(F.trim(F.element_at(parts, 1)))
+    known = F.when(told.isin(*[r[0] for r in ROUTES]), told).otherwise("definition")
+    why = F.when(F.size(parts) > 1, F.trim(F.element_at(parts, 2))).otherwise("LLM classification")
+    failed = F.struct(F.lit("definition").alias("query_type"), F.lit(0.3).alias("confidence"), F.lit("LLM classification failed, defaulting to definition").alias("reasoning"))
+    return F.when(F.coalesce(answer, F.lit("")) == "", failed).otherwise(F.struct(known.alias("query_type"), F.lit(0.6).alias("confidence"), F.concat(F.lit("LLM: "), why).alias("reasoning")))

@@ -9,9 +9,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import medical
 from ..functions.text import chunk_hash, source_kind
 
 _SENTENCE_END = re.compile(r"[.!?]\s")
@@ -191,3 +192,51 @@ def overlapped(chunks: DataFrame, n_words: int) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("page", "chunk_index")
     tail = F.split(F.lag("content").over(w), " ")
     return chunks.withColumn("content", F.concat_ws(" ", F.array_join(F.slice(tail, F.greatest(F.lit(1), F.size(tail) - n_words + 1), n_words), " "), "content"))
+
+
+def merge_pairs(chunks: DataFrame, merges: Callable[[Column, Column], Column], key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
+    """Chunks in which neighbours that belong together are one, in pairs from the first on, numbered
+    anew (TV20). In a run of chunks that each go with the next, every other one takes its next in."""
+    w = Window.partitionBy(key).orderBy(order)
+    flagged = chunks.withColumn("__next", F.lead("content").over(w)).withColumn("__with", F.coalesce(merges(F.col("content"), F.col("__next")) & F.col("__next").isNotNull(), F.lit(False)))
+    run = F.coalesce(F.sum(F.when(F.col("__with"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = flagged.withColumn("__run", run).withColumn("__place", F.row_number().over(Window.partitionBy(key, "__run").orderBy(order)))
+    kept = placed.where(F.col("__place") % 2 == 1)
+    content = F.when(F.col("__with"), F.concat("content", F.lit(" "), "__next")).otherwise(F.col("content"))
+    out = kept.withColumns({"content": content, "merged": F.col("__with"), order: (F.row_number().over(w) - 1).cast("int")})
+    return out.drop("__next", "__with", "__run", "__place")
+
+
+def medical_chunks(docs: DataFrame, drugs: list[str], size: int = 512, overlap: int = 64, least: int = 100) -> DataFrame:
+    """Chunks of (doc_id, source, text) cut at clinical section headers first; neighbours that belong
+    together are merged in pairs; each has its preservation score (TV18)."""
+
+    def cut(r: tuple) -> Iterator[tuple]:
+        doc_id, source, text, heads = r
+        k, text = 0, text or ""
+        edges = [0, *(heads or []), len(text)]
+        for a, z in zip(edges, edges[1:], strict=False):
+            body = text[a:z].strip()
+            lead = a + len(text[a:z]) - len(text[a:z].lstrip())
+            for x, y in chunk_spans(body, size, overlap, least):
+                yield (doc_id, source, 1, k, body[x:y], "paragraph", [], lead + x, lead + y, 1.0, None)
+                k += 1
+
+    text = F.col("text").cast("string")
+    raw = _emit(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text.alias("text"), medical.header_positions(text).alias("heads")), cut)
+    found = lambda a, b: F.regexp_extract_all(F.concat_ws(" ", a, b), F.lit("(?i)(?:" + "|".join(drugs) + ")"), F.lit(0))
+    merged = merge_pairs(raw.drop("id", "char_count", "token_count"), lambda a, b: medical.should_merge(a, b, found(a, b)))
+    name = F.concat_ws("", F.col("doc_id").cast("string"), F.lit("_p1_chunk_"), F.col("chunk_index").cast("string"))
+    return merged.withColumns({"id": name, "char_count": F.length("content"), "preservation": medical.preservation_score(F.col("content"))})
+
+
+#: Chunkers by the names that settings use (UD8); the other names need a library that is not here.
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {"recursive": chunk_texts, "section_aware": chunk_blocks, "medical": medical_chunks, "medical_semantic": medical_chunks}
+
+
+def chunk_by(strategy: str, docs: DataFrame, external: dict[str, Callable[..., DataFrame]] | None = None, **options) -> DataFrame:
+    """Chunks by a named strategy; ``external`` adds chunkers of the caller's, such as semantic ones."""
+    known = STRATEGIES | (external or {})
+    if strategy not in known:
+        raise ValueError(f"no chunker of that name: {strategy}; there are {sorted(known)}")
+    return known[strategy](docs, **options)

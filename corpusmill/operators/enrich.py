@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -104,3 +105,52 @@ def cached(rows: DataFrame, cache: DataFrame, key: str, compute: Callable[[DataF
     """Values by key from a cache table, computed where it has none."""
     known = rows.join(cache, key)
     return known.unionByName(compute(rows.join(cache, key, "left_anti")), allowMissingColumns=True)
+
+
+def with_retries(client: Client, tries: int = 3, wait_s: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Client:
+    """A client that is called again when it fails, after waits that double (UD18)."""
+
+    def call(texts: list[str]) -> list[str]:
+        for k in range(tries):
+            try:
+                return client(texts)
+            except Exception:  # noqa: BLE001  the last failure is raised
+                if k + 1 == tries:
+                    raise
+                sleep(wait_s * 2**k)
+        return []
+
+    return call
+
+
+Judge = Callable[[str, str, str], float]
+
+
+def overlap_judge(question: str, context: str, answer: str) -> float:
+    """Share of the answer's words that the context has: an offline stand-in for a model's judgement."""
+    a, c = set(_WORDS.findall(answer.lower())), set(_WORDS.findall(context.lower()))
+    return len(a & c) / len(a) if a else 0.0
+
+
+def judged(answers: DataFrame, judges: dict[str, Judge], thresholds: dict[str, float], tries: int = 2) -> DataFrame:
+    """(query_id, metric, score, passed) of (query_id, question, context, answer): each judge by
+    itself, tried again once; one that fails leaves a null score that has not passed (UD13, UD14)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for i, q, c, a in p[["query_id", "question", "context", "answer"]].itertuples(index=False):
+                for name, judge in sorted(judges.items()):
+                    score = None
+                    for _ in range(tries):
+                        try:
+                            score = float(judge(q or "", c or "", a or ""))
+                            break
+                        except Exception:  # noqa: BLE001  the row says that there is no score
+                            continue
+                    rows.append((i, name, score))
+            yield pd.DataFrame(rows, columns=["query_id", "metric", "score"])
+
+    out = answers.select("query_id", "question", "context", "answer").mapInPandas(run, "query_id long, metric string, score double")
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col("metric"))
+    return out.withColumn("passed", F.coalesce(F.col("score") >= least, F.lit(False)))

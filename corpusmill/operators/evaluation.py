@@ -118,3 +118,61 @@ def confidence(retrieval: Column, sources: Column, context: Column, generation:
     """struct<overall, level> of an answer (AG36)."""
     overall = F.round(retrieval * 0.4 + sources * 0.3 + context * 0.2 + generation * 0.1).cast("int")
     return F.struct(overall.alias("overall"), F.when(overall >= 75, "high").when(overall >= 40, "medium").otherwise("low").alias("level"))
+
+
+#: Measures of a query's results whose means the aggregate holds, by the aggregate's names.
+MEANS = {
+    "hit_rate_at_k": "hit", "precision_at_k": "precision", "recall_at_k": "recall", "mrr": "mrr", "ndcg_at_k": "ndcg", "source_hit_rate": "source_hit",
+    "dedup_hit_rate_at_k": "dedup_hit", "dedup_precision_at_k": "dedup_precision", "dedup_mrr": "dedup_mrr", "unique_source_hit_rate_at_k": "unique_source_hit", "unique_source_precision_at_k": "unique_source_precision",
+    "duplicate_source_ratio_mean": "duplicate_source_ratio", "duplicate_doc_ratio_mean": "duplicate_doc_ratio", "exact_chunk_hit_rate": "exact_chunk_hit", "evidence_hit_rate": "evidence_hit", "topic_false_positive_rate": "topic_false_positive",
+    "medical_expansion_term_count_mean": "expansion_terms", "rerank_candidates_mean": "rerank_candidates", "rerank_output_mean": "rerank_output", "rerank_filtered_out_mean": "rerank_filtered_out",
+}
+SURE = {"hit_rate_at_k_high_conf": "hit", "mrr_high_conf": "mrr", "exact_chunk_hit_rate_high_conf": "exact_chunk_hit", "evidence_hit_rate_high_conf": "evidence_hit"}
+LATENCIES = {"latency": "latency_ms", "query_embedding_latency": "embedding_ms", "rerank_latency": "rerank_ms"}
+
+
+def query_rows(docs: DataFrame) -> DataFrame:
+    """A row a query from its results (query_id, rank, doc_id, source, page, rel, source_hit, exact,
+    evidence, off_topic): the measures of :data:`MEANS` that results decide (AG9-AG14, AG35)."""
+    by = lambda *key: F.row_number().over(Window.partitionBy("query_id", *key).orderBy("rank"))
+    marked = docs.withColumns({"first_doc": by("doc_id") == 1, "first_source": by("source", "page") == 1})
+    n_doc, n_source = (F.count_if(c) for c in ("first_doc", "first_source"))
+    own = Window.partitionBy("query_id").orderBy("rank")
+    marked = marked.withColumn("doc_rank", F.sum(F.col("first_doc").cast("int")).over(own))
+    hit = lambda c: F.max(c.cast("int")).cast("double")
+    rel = F.col("rel") == 1
+    return marked.groupBy("query_id").agg(
+        hit(F.col("source_hit")).alias("source_hit"),
+        hit(rel & F.col("first_doc")).alias("dedup_hit"),
+        (F.count_if(rel & F.col("first_doc")) / n_doc).alias("dedup_precision"),
+        F.coalesce(1.0 / F.min(F.when(rel & F.col("first_doc"), F.col("doc_rank"))), F.lit(0.0)).alias("dedup_mrr"),
+        hit(rel & F.col("first_source")).alias("unique_source_hit"),
+        (F.count_if(rel & F.col("first_source")) / n_source).alias("unique_source_precision"),
+        (1.0 - n_source / F.count("*")).alias("duplicate_source_ratio"),
+        (1.0 - n_doc / F.count("*")).alias("duplicate_doc_ratio"),
+        hit(F.col("exact")).alias("exact_chunk_hit"),
+        hit(F.col("evidence")).alias("evidence_hit"),
+        F.avg(F.col("off_topic").cast("int")).alias("topic_false_positive"),
+    )
+
+
+def retrieval_aggregate(rows: DataFrame) -> DataFrame:
+    """One row over all queries (AG15): means, of which no rows give 0; percentiles of the latencies;
+    the same of queries labelled with high confidence (of all, if none is); figures of the queries
+    that hypothetical answers, expansions or reranking took part in, null if there are none."""
+    zero, sure, hyde = F.lit(0.0), F.col("label_confidence") == "high", F.col("hyde")
+    aggs = [F.count("*").alias("query_count"), *[F.coalesce(F.avg(c), zero).alias(n) for n, c in MEANS.items()]]
+    aggs += [F.coalesce(F.avg(F.when(sure, F.col(c))), F.avg(c), zero).alias(n) for n, c in SURE.items()]
+    aggs += [F.coalesce(F.percentile(c, p / 100), zero).alias(f"{n}_p{p}_ms") for n, c in LATENCIES.items() for p in (50, 95)]
+    aggs += [F.count_if(hyde).alias("hyde_queries_count"), *[F.avg(F.when(hyde, F.col(c))).alias(f"hyde_{n}") for n, c in (("hit_rate", "hit"), ("mrr", "mrr"), ("source_hit_rate", "source_hit"))]]
+    aggs += [F.count_if("expansion").alias("medical_expansion_queries_count"), (F.count_if("reranked") > 0).alias("reranking_enabled")]
+    out = rows.agg(*aggs)
+    return out.withColumns({"hyde_enabled": F.col("hyde_queries_count") > 0, "medical_expansion_enabled": F.col("medical_expansion_queries_count") > 0})
+
+
+def contributions(docs: DataFrame) -> DataFrame:
+    """(ranking, hits): exact hits of the queries of which a result has a place in that ranking (AG17)."""
+    names = ("semantic_rank", "bm25_rank", "fused_rank")
+    per = docs.groupBy("query_id").agg(F.max(F.col("exact").cast("int")).alias("exact"), *[F.max(F.col(n).isNotNull().cast("int")).alias(n) for n in names])
+    one = per.agg(*[F.coalesce(F.sum(F.col("exact") * F.col(n)), F.lit(0)).alias(n) for n in names])
+    return long_form(one, names).select(F.replace("metric", F.lit("_rank"), F.lit("_ranked_hits")).alias("ranking"), F.col("value").cast("long").alias("hits"))

@@ -21,9 +21,9 @@ def top_k(rows: DataFrame, k: int, by: list[Column], partition: str = "query_id"
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
 
 
-def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score): the ``k`` rows nearest to each query by cosine, ties to smaller ids
-    (J4). Queries go out in blocks of at most QUERY_BLOCK; a task keeps its ``k`` best of each query,
+def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 12) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` rows nearest to each query by cosine rounded to ``digits``
+    places, ties to smaller ids (J4). Queries go out in blocks of at most QUERY_BLOCK; a task keeps its ``k`` best of each query,
     so what is shuffled does not grow with the table's rows but with its partitions."""
     spark = vectors.sparkSession
     out = None
@@ -41,7 +41,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
                 n = np.sqrt((x * x).sum(1))
                 s = np.where(n > 0, (unit @ x.T) / np.where(n > 0, n, 1), 0.0)
-                s = np.hstack([best_s, s])
+                s = np.hstack([best_s, np.round(s, digits)])
                 i = np.hstack([best_i, np.broadcast_to(b.column(0).to_numpy(), (len(qid), b.num_rows))])
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)

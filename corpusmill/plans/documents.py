@@ -140,17 +140,43 @@ def html_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(kind.alias("page_type")).agg(F.count("*").alias("pages"), F.round(F.avg(F.length("markdown") / F.greatest(F.lit(1), F.length("visible"))), 6).alias("retention"), F.round(F.avg(F.length("visible") / F.greatest(F.lit(1), F.col("html_chars"))), 6).alias("density"), F.round(F.avg(tx.boilerplate_ratio(F.col("markdown"))), 6).alias("boilerplate"))
 
 
+#: SQL: the chunks of every document, as c(doc_id, source, k, a, z, content): a window of 1024
+#: characters ends after the last blank line, line end, sentence or lesser mark beyond 256; the next
+#: begins 128 before that. The tables' texts have no Markdown headings, so sections do not matter.
+CHUNKS = r"""d AS (SELECT doc_id, {named} AS source, text, length(text) AS n FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, 0::BIGINT AS start, -1::BIGINT AS stop, 0 AS step FROM d
+  UNION ALL
+  SELECT doc_id, start, CASE WHEN start + 1024 >= n THEN n
+      WHEN contains(f, chr(10) || chr(10)) THEN start + 256 + length(f) - instr(reverse(f), chr(10) || chr(10)) + 1
+      WHEN contains(f, chr(10)) THEN start + 256 + length(f) - instr(reverse(f), chr(10)) + 1
+      WHEN regexp_matches(g, '[.!?]\s') THEN start + 254 + length(g) - length(regexp_extract(reverse(g), '(?s)^(.*?)\s[.!?]', 1))
+      WHEN contains(f, '; ') THEN start + 256 + length(f) - instr(reverse(f), ' ;') + 1
+      WHEN contains(f, ', ') THEN start + 256 + length(f) - instr(reverse(f), ' ,') + 1
+      WHEN contains(f, ' ') THEN start + 256 + length(f) - instr(reverse(f), ' ') + 1
+      ELSE start + 1024 END AS stop, step + 1 AS step
+  FROM (SELECT w.doc_id, n, step, x.start, substr(text, x.start + 257, 768) AS f, substr(text, x.start + 255, 770) AS g
+    FROM w JOIN d USING (doc_id), LATERAL (SELECT CASE WHEN step = 0 THEN 0 ELSE greatest(stop - 128, w.start + 1) END AS start) AS x WHERE stop < n)),
+p AS (SELECT w.doc_id, source, start, substr(text, start + 1, stop - start) AS piece FROM w JOIN d USING (doc_id) WHERE step > 0),
+q AS (SELECT doc_id, source, start + length(piece) - length(ltrim(piece, E' \n\t\r')) AS a, trim(piece, E' \n\t\r') AS content FROM p),
+c AS (SELECT doc_id, source, a, a + length(content) AS z, content, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS k FROM q WHERE content <> '')""".replace("{named}", NAMED)
+ID = "doc_id || '_p1_chunk_' || k"
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.chunk_texts(docs(spark, sf_dir).select("doc_id", file_name().alias("source"), "text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}
+SELECT doc_id, {ID} AS id, CAST(k AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start_char, CAST(z AS INTEGER) AS end_char, CAST(length(content) AS INTEGER) AS char_count,
+CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS INTEGER) AS token_count, substr(sha256(content), 1, 16) AS hash FROM c""")
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document with their places (TV1-TV4, TV9)."""
     return chunks(spark, sf_dir).select("doc_id", "id", "chunk_index", "start_char", "end_char", "char_count", "token_count", tx.content_hash(F.col("content")).alias("hash"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, u AS (SELECT *, {ID} AS id FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, sha256(lower(content)) ORDER BY k) = 1)
+SELECT doc_id, id, CAST(k AS INTEGER) AS chunk_index, lag(id) OVER o AS previous_chunk_id, lead(id) OVER o AS next_chunk_id, CAST(row_number() OVER o - 1 AS INTEGER) AS section_sibling_rank,
+CASE WHEN source LIKE '%.pdf' THEN 'pdf' WHEN source LIKE '%.md' THEN 'markdown' ELSE 'default' END AS source_type FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)""")
 def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that the quality filter keeps, with neighbours (PF1, WN5)."""
     kept = ch.link_chunks(ch.filter_chunks(chunks(spark, sf_dir)))
@@ -166,13 +192,17 @@ def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("doc_id").alias("page_id"), "chunk_index", "content_type", "parent_block_id", "char_count", "quality_score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT doc_id, {ID} AS id, content, lag(content) OVER (PARTITION BY doc_id ORDER BY k) AS b, lead(content) OVER (PARTITION BY doc_id ORDER BY k) AS f FROM c),
+x AS (SELECT doc_id, id, substr(concat_ws(chr(10) || chr(10), substr(content, 1, 900), substr(b, 1, 900), substr(f, 1, 900)), 1, 3000) AS t FROM n)
+SELECT doc_id, id, CAST(length(t) AS INTEGER) AS chars, substr(sha256(t), 1, 16) AS hash FROM x""")
 def seed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their neighbours' text."""
     return ch.seed_contexts(chunks(spark, sf_dir)).select("doc_id", "id", F.length("context").alias("chars"), tx.content_hash(F.col("context")).alias("hash"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}
+SELECT CASE WHEN source LIKE '%.pdf' THEN 'pdf' WHEN source LIKE '%.md' THEN 'markdown' ELSE 'default' END AS kind, CAST(count(*) AS BIGINT) AS chunks, round(avg(length(content)), 6) AS mean_chars, quantile_cont(length(content), 0.5)::DOUBLE AS median_chars,
+round(1 - count(DISTINCT lower(content))::DOUBLE / count(*), 6) AS duplicate_rate, round(avg(CASE WHEN regexp_matches(content, '[.!?:]$') THEN 0.0 ELSE 1.0 END), 6) AS cut_rate FROM c GROUP BY 1""")
 def l3_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk audit by source kind: lengths, duplicates and cut sentences (AG21)."""
     c = chunks(spark, sf_dir).withColumn("kind", tx.source_kind(F.col("source")))
@@ -226,7 +256,22 @@ def source_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(ten.join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id"), "source", 2).select("query_id", "doc_id", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALL_DOCS}, {BM25},
+t AS (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= 20),
+u AS (SELECT t.*, d.source, trim(d.text, E' \\n\\t\\r') AS txt, list_distinct(k.t) AS tk FROM t JOIN documents d USING (doc_id) JOIN toks k USING (doc_id)),
+j AS (SELECT a.query_id, a.rank AS i, list(CASE WHEN len(a.tk) = 0 OR len(b.tk) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) END ORDER BY b.rank) AS r FROM u a JOIN u b ON a.query_id = b.query_id GROUP BY a.query_id, a.rank),
+m AS MATERIALIZED (SELECT query_id, list(r ORDER BY i) AS m FROM j GROUP BY query_id),
+b AS MATERIALIZED (SELECT query_id, list(score ORDER BY rank) AS s, max(score) AS best, list(doc_id ORDER BY rank) AS ids, list(source ORDER BY rank) AS src, list(txt ORDER BY rank) AS txt, m FROM u JOIN m USING (query_id) GROUP BY query_id, m),
+o AS (SELECT query_id, []::BIGINT[] AS chosen FROM b
+  UNION ALL SELECT query_id, list_append(chosen, list_position(v, list_max(v))) FROM (
+    SELECT o.query_id, chosen, list_transform(range(1, len(s) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN NULL ELSE 0.75::DOUBLE * s[i] / best - 0.25::DOUBLE * greatest(0.0::DOUBLE, coalesce(list_max(list_transform(chosen, lambda c: m[c][i])), 0.0::DOUBLE)) END) AS v
+    FROM o JOIN b USING (query_id) WHERE len(chosen) < len(s))),
+pool AS MATERIALIZED (SELECT query_id, chosen FROM o JOIN b USING (query_id) WHERE len(chosen) = len(s)),
+f AS (SELECT query_id, 1 AS step, []::BIGINT[] AS taken, []::VARCHAR[] AS srcs, []::VARCHAR[] AS texts FROM pool
+  UNION ALL SELECT query_id, step + 1, CASE WHEN ok THEN list_append(taken, p) ELSE taken END, CASE WHEN ok THEN list_append(srcs, source) ELSE srcs END, CASE WHEN ok THEN list_append(texts, text) ELSE texts END FROM (
+    SELECT f.*, n, p, b.src[p] AS source, b.txt[p] AS text, len(taken) < 5 AND CASE WHEN step <= n THEN (b.txt[p] = '' OR NOT list_contains(texts, b.txt[p])) AND len(list_filter(srcs, lambda x: x = b.src[p])) < 2 ELSE NOT list_contains(taken, p) AND len(list_filter(srcs, lambda x: x = b.src[p])) < 3 END AS ok
+    FROM f JOIN b USING (query_id) JOIN (SELECT query_id, chosen, len(chosen) AS n FROM pool) USING (query_id), LATERAL (SELECT chosen[(step - 1) % n + 1] AS p) WHERE step <= 2 * n))
+SELECT query_id, ids[taken[place]] AS doc_id, CAST(place AS BIGINT) AS place FROM (SELECT query_id, taken, ids, unnest(range(1, len(taken) + 1)) AS place FROM f JOIN b USING (query_id) WHERE step = 2 * len(s) + 1)""")
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five of twenty results an item by marginal relevance and quotas (TK1, TK3, TK4)."""
     scores = bm25(_index(spark, sf_dir), items(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))

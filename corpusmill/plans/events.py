@@ -31,7 +31,11 @@ def sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.trailing_count(table(spark, sf_dir, "events"), "user_id", F.col("ts").cast("timestamp"), 3600).select("event_id", "user_id", "in_window")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, 0::BIGINT AS n, []::DOUBLE[] AS log, NULL::BIGINT AS event_id, true AS allowed, 0 AS retry_after FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, n, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, CAST(floor(live[1] + 3600.0 - t) AS INTEGER)) END
+  FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(log, lambda x: x > e.t - 3600.0) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, allowed, CAST(retry_after AS INTEGER) AS retry_after FROM r WHERE event_id IS NOT NULL""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events a limit of two an hour and user lets through (ST2)."""
     return ss.rate_limit(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", 2, 3600.0)

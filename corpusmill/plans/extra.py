@@ -43,14 +43,7 @@ def l2_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("doc_id").alias("source"), "pages", F.round("empty_rate", 6).alias("empty_rate"), F.round("low_rate", 6).alias("low_rate"))
 
 
-@query()
-def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords and summaries of every document by the offline client (UD5, SF20, SF21, J5)."""
-    asked = enrich.ask(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", enrich.stub_client)
-    return asked.select("doc_id", enrich.parse_enrichment(F.col("answer")).alias("e")).select("doc_id", F.array_join("e.keywords", ",").alias("keywords"), F.length("e.summary").alias("summary_chars"))
-
-
-@query()
+@query(r"SELECT item_id, 64::INTEGER AS dimension, CASE WHEN regexp_matches(text, '[\p{L}\p{Nl}\p{No}]{4,}') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM benchmark")
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of benchmark items by the offline embedder (UD2, UD3)."""
     e = enrich.embed(table(spark, sf_dir, "benchmark"), "text")

@@ -87,8 +87,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to each benchmark item's vector, over all of them (SU10, J4)."""
     vecs = table(spark, sf_dir, "embeddings")
     q = vecs.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = exact_knn(vecs, q, 12).drop("rank").withColumn("score", F.round("score", 6))
-    return top_k(near, 5, [F.col("score").desc(), F.col("vec_id")]).select("query_id", "vec_id", "rank", "score")
+    return exact_knn(vecs, q, 5, digits=6).select("query_id", "vec_id", "rank", "score")
 
 
 @query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE doc_id % 3 WHEN 0 THEN 'guideline_pdf' WHEN 1 THEN 'guideline_html' ELSE 'reference_csv' END AS source_class, {PRIOR} AS prior FROM documents")
