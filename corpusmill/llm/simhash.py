@@ -198,11 +198,10 @@ def hamming_links(fps: DataFrame, radius: int = 2, parts: int | None = None, pai
     used = [(i, p, t) for i, (p, t) in enumerate(zip(bits, limits, strict=True)) if t >= 0]
     key = lambda i, v: F.struct(F.lit(i).alias("part"), v.alias("v"))
     index = fps.select("fp", F.explode(F.array(*[key(i, _part_value("fp", p)) for i, p, _ in used])).alias("k")).select("fp", "k.part", "k.v")
-    probes = []
-    for i, p, t in used:
-        own = _part_value("fp", p)
-        probes.append(F.array(*[key(i, own.bitwiseXOR(F.lit(x).cast("long"))) for x in _probe_masks(len(p), t)]))
-    probe = fps.select(F.col("fp").alias("fq"), F.explode(F.concat(*probes)).alias("k")).select("fq", "k.part", "k.v")
+    # the masks are constants and the part's value a column: an expression of its own for each mask
+    # makes code whose compilation alone fills a driver's heap where a part takes t = 2
+    masks = F.coalesce(*[F.when(F.col("part") == i, F.array(*[F.lit(x).cast("long") for x in _probe_masks(len(p), t)])) for i, p, t in used])
+    probe = index.select(F.col("fp").alias("fq"), "part", F.explode(F.transform(masks, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= radius
     if radius % 2:
         return probe.join(index, ["part", "v"]).where((F.col("fq") < F.col("fp")) & near).select(F.col("fq").alias("a"), F.col("fp").alias("b")).distinct()
