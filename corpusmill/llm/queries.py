@@ -195,3 +195,38 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_periodic_runs"] = op13_periodic_runs
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000, shadow_pct=80)
+
+
+QUERIES["op11_collocations"] = op11_collocations
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, r, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS r, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, m FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS lengths(m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, m, f AS a FROM f WHERE m >= 2),
+cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+least_cut AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ones AS (
+  SELECT lang, array_to_string(w[i : i + b - 1], ' ') AS phrase, a FROM (
+    SELECT lang, w, a, b, unnest(range(1, m - b + 2)) AS i FROM c, (VALUES (2), (3)) AS lengths(b) WHERE b < m)),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ones GROUP BY ALL)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM least_cut LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
