@@ -11,10 +11,8 @@ from ..functions import text as tx
 from ..operators import chunking as ch
 from ..operators import dedup, html, sampling
 from ..operators.diversity import capped, diversify
-from ..operators.index import bm25
-from ..operators.search import top_k
 from .base import query, table
-from .search import ALL_DOCS, BM25, NAMED, TOKENS, _index, file_name, items
+from .search import ALL_DOCS, BM25, NAMED, TOKENS, best_documents, file_name
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +249,7 @@ def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank FROM t JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 2""")
 def source_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten results an item, two a source at most (WN6)."""
-    scores = bm25(_index(spark, sf_dir), items(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    ten = top_k(scores, 10, [F.col("score").desc(), F.col("doc_id")])
+    ten = best_documents(spark, sf_dir, 10)
     return capped(ten.join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id"), "source", 2).select("query_id", "doc_id", "rank")
 
 
@@ -274,8 +271,7 @@ f AS (SELECT query_id, 1 AS step, []::BIGINT[] AS taken, []::VARCHAR[] AS srcs,
 SELECT query_id, ids[taken[place]] AS doc_id, CAST(place AS BIGINT) AS place FROM (SELECT query_id, taken, ids, unnest(range(1, len(taken) + 1)) AS place FROM f JOIN b USING (query_id) WHERE step = 2 * len(s) + 1)""")
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five of twenty results an item by marginal relevance and quotas (TK1, TK3, TK4)."""
-    scores = bm25(_index(spark, sf_dir), items(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    top = top_k(scores, 20, [F.col("score").desc(), F.col("doc_id")])
+    top = best_documents(spark, sf_dir, 20)
     d = docs(spark, sf_dir).select("doc_id", F.col("text").alias("content"), "source", F.lit(1).alias("page"), F.array_distinct(tx.plain_tokens(F.col("text"))).alias("tokens"))
     return diversify(top.join(d, "doc_id"), 5, overfetch=4)
 

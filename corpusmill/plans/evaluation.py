@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluation as ev
-from ..operators.index import bm25
-from ..operators.search import top_k
 from .base import query, table
-from .search import ALL_DOCS, BM25, NAMED, TOKENS, _index, file_name, items
+from .search import ALL_DOCS, BM25, NAMED, TOKENS, best_documents, file_name, items
 
 #: SQL: ranked and judged results of every item, as j(query_id, doc_id, rank, source, content, rel).
 JUDGED = f"""{ALL_DOCS}, {BM25},
@@ -28,8 +26,7 @@ m AS (SELECT query_id, CASE WHEN sum(rel) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS h
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = items(spark, sf_dir)
-    scores = bm25(_index(spark, sf_dir), q).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    top = top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")])
+    top = best_documents(spark, sf_dir, 5)
     golden = q.select("query_id", F.substring("query", 1, 60).alias("phrase"), F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"), F.lit(".pdf"))).alias("expected"), F.slice(tx.plain_tokens(F.col("query")), 1, 3).alias("kw"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), file_name().alias("source"))
     both = top.join(golden, "query_id").join(docs, "doc_id")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.sources import source_class, source_prior
 from ..functions.vectors import cosine
-from ..operators.index import bm25, build_index, keyword_bonus
-from ..operators.search import exact_knn, fuse, merge_variants, normalized_by_best, rerank, top_k
+from ..operators.blocks import BlockIndex, asked_tokens, search, write_blocks
+from ..operators.fusion import fused_top
+from ..operators.index import keyword_bonus
+from ..operators.search import exact_knn, merge_variants, normalized_by_best, rerank, top_k
+from ..sources.shared import kept, written
 from .base import query, table
 
 STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOPWORDS) + "]"
@@ -42,30 +45,37 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def asked_tokens(spark: SparkSession, sf_dir: str, analyzer=tx.plain_tokens) -> DataFrame:
-    return items(spark, sf_dir).select(F.explode(analyzer(F.col("query"))).alias("token"))
+def index_of(docs: DataFrame, name: str, analyzer=tx.plain_tokens) -> BlockIndex:
+    """The written index of these documents; a session writes it once for a table's files."""
+    spark = docs.sparkSession
+    return BlockIndex.read(spark, kept(spark, f"index-{name}", docs, lambda path: write_blocks(docs, path, analyzer=analyzer)))
 
 
-def _index(spark: SparkSession, sf_dir: str):
-    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), only=asked_tokens(spark, sf_dir))
-    index.postings.persist()  # read for scores and for document frequencies
-    return index
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def best_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best documents of every item."""
+    return search(index_of(corpus(spark, sf_dir), "plain"), asked_tokens(items(spark, sf_dir)), k)[0]
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, bm25) of every document that shares a token with an item."""
+    return index_of(corpus(spark, sf_dir), "plain").scores(asked_tokens(items(spark, sf_dir)))
 
 
 @query(f"WITH {ALL_DOCS}, {BM25} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS BIGINT) AS rank, round(bm25, 6) AS score FROM s QUALIFY rank <= 5")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for each benchmark item (SF2, AG1, AG2, J1, TK1)."""
-    scores = bm25(_index(spark, sf_dir), items(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    return top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank", "score")
+    return best_documents(spark, sf_dir, 5)
 
 
 @query(f"WITH docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {BM25} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS BIGINT) AS rank, round(bm25, 6) AS score FROM s QUALIFY rank <= 5")
 def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the English documents alone: frequencies are those of the subset (PF5, J1)."""
-    index = build_index(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), only=asked_tokens(spark, sf_dir))
-    index.postings.persist()
-    scores = bm25(index, items(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    return top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank", "score")
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    return search(index_of(english, "english"), asked_tokens(items(spark, sf_dir)), 5)[0]
 
 
 @query(f"""WITH {ALL_DOCS}, {BM25},
@@ -76,7 +86,7 @@ def keyword_bonus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base scores and what extracted keywords (here: a text's first eight words) add."""
     kw = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", r"\s+"), 1, 8).alias("keywords"))
     q = items(spark, sf_dir)
-    out = keyword_bonus(bm25(_index(spark, sf_dir), q), q, kw)
+    out = keyword_bonus(all_scores(spark, sf_dir), q, kw)
     return out.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("bonus", 6).alias("bonus"))
 
 
@@ -107,29 +117,30 @@ f AS (SELECT *, round(1.0::DOUBLE / (60 + sr) + 1.0::DOUBLE / (60 + kr), 10) AS
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, c DESC, k DESC, sr, doc_id) AS BIGINT) AS fused_rank FROM f)"""
 
 
-def hybrid(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
-    """Every document's fused place for every item. Both rankings cover the whole corpus, as the
-    reference's do; with ``depth`` each is cut to its first places, which bounds what is fused."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", file_name().alias("file"))
-    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+def priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, prior, embedding) of the documents that have a vector."""
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").where(F.col("embedding").isNotNull())
+    return table(spark, sf_dir, "documents").select("doc_id", source_prior(source_class(file_name())).alias("prior")).join(vecs, "doc_id")
+
+
+def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, k): BM25 by the query's best, to ten places."""
+    return normalized_by_best(all_scores(spark, sf_dir)).select("query_id", "doc_id", F.round("keyword_score", 10).alias("k"))
+
+
+def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The ``k`` best documents of every item by fused rank; both rankings are of the whole corpus."""
+    base = written(priors(spark, sf_dir), "priors")
+    lex = written(lexical_scores(spark, sf_dir).join(base.select("doc_id", "prior"), "doc_id"), "lexical")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    qv = q.join(vecs.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    base = docs.join(vecs, "doc_id").withColumn("prior", source_prior(source_class(F.col("file"))))
-    # the stated query set against all rows; the items are few, their number is checked
-    small = qv.count() <= 10_000
-    pairs = base.crossJoin(F.broadcast(qv) if small else qv).select("query_id", "doc_id", "prior", F.round(cosine(F.col("embedding"), F.col("vector")), 10).alias("c"))
-    lex = normalized_by_best(bm25(_index(spark, sf_dir), items(spark, sf_dir))).select("query_id", "doc_id", F.round("keyword_score", 10).alias("k"))
-    both = pairs.join(lex, ["query_id", "doc_id"], "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
-    limit = depth or 2**62
-    sem = top_k(both.withColumn("by", F.round(F.col("c") + F.col("prior"), 10)), limit, [F.col("by").desc(), F.col("doc_id")])
-    kw = top_k(both.withColumn("by", F.round(F.col("k") + F.col("prior"), 10)), limit, [F.col("by").desc(), F.col("doc_id")])
-    return fuse(sem.withColumnRenamed("c", "score"), kw.withColumnRenamed("k", "score"))
+    vectors = q.join(base.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return fused_top(base, lex, vectors, k)
 
 
 @query(f"WITH {HYBRID} SELECT query_id, doc_id, fused_rank, fused AS fused_score, round(fused + prior, 10) AS combined_score FROM o WHERE fused_rank <= 10")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best by rank fusion of cosine and BM25 over the whole corpus (WN1, J3, WN2)."""
-    return hybrid(spark, sf_dir).where("fused_rank <= 10").select("query_id", "doc_id", "fused_rank", "fused_score", "combined_score")
+    return hybrid(spark, sf_dir, 10).select("query_id", "doc_id", "fused_rank", "fused_score", "combined_score")
 
 
 @query(f"""WITH {HYBRID},
@@ -139,9 +150,16 @@ b AS (SELECT query_id, doc_id, max(score) AS score, min(variant * 1000 + rank) A
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc_id) AS BIGINT) AS rank FROM b QUALIFY rank <= 5""")
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two variants' results as one list, each document by its best score (SO2, TK2, pin 2)."""
-    f = hybrid(spark, sf_dir)
-    a = f.where("fused_rank <= 20").select("query_id", F.lit(1).alias("variant"), F.col("fused_rank").alias("rank"), "doc_id", F.round("combined_score", 4).alias("score"))
-    b = top_k(f.select("query_id", "doc_id", F.round("keyword_score", 6).alias("score")), 20, [F.col("score").desc(), F.col("doc_id")]).withColumn("variant", F.lit(2)).select("query_id", "variant", "rank", "doc_id", "score")
+    a = hybrid(spark, sf_dir, 20).select("query_id", F.lit(1).alias("variant"), F.col("fused_rank").alias("rank"), "doc_id", F.round("combined_score", 4).alias("score"))
+    base = priors(spark, sf_dir).select("doc_id")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(base.withColumnRenamed("doc_id", "query_id"), "query_id", "left_semi")
+    found = lexical_scores(spark, sf_dir).join(base, "doc_id", "left_semi").join(q, "query_id", "left_semi").withColumn("score", F.round("k", 6))
+    # where fewer than 20 documents share a word, those of the smallest ids follow with score 0: they
+    # are among the first 40, of which fewer than 20 can share one
+    least = base.orderBy("doc_id").limit(40).groupBy().agg(F.collect_list("doc_id").alias("ids"))
+    rest = q.join(F.broadcast(least)).select("query_id", F.explode("ids").alias("doc_id")).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    b = top_k(found.select("query_id", "doc_id", "score").unionByName(rest.withColumn("score", F.lit(0.0))), 20, [F.col("score").desc(), F.col("doc_id")])
+    b = b.select("query_id", F.lit(2).alias("variant"), "rank", "doc_id", "score")
     return merge_variants(a.union(b), 5).select("query_id", "doc_id", "score", "rank")
 
 
@@ -153,8 +171,7 @@ SELECT query_id, doc_id, round(jac, 6) AS rerank_score, CAST(row_number() OVER (
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten candidates an item, reranked by token overlap with a least score (SO4, UD4, PF6, WN4)."""
     q = items(spark, sf_dir)
-    scores = bm25(_index(spark, sf_dir), q).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    ten = top_k(scores, 10, [F.col("score").desc(), F.col("doc_id")])
+    ten = best_documents(spark, sf_dir, 10)
     both = ten.join(q, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return rerank(both, F.round(tx.jaccard(tx.plain_tokens(F.col("query")), tx.plain_tokens(F.col("text"))), 6), 5, 0.02).select("query_id", "doc_id", "rerank_score", "rerank_rank")
 
@@ -179,7 +196,4 @@ def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents an item with the full analyzer: stems, synonyms, acronyms (SF5)."""
     from ..functions.stem import stemmed_tokens
 
-    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), analyzer=stemmed_tokens, only=asked_tokens(spark, sf_dir, stemmed_tokens))
-    index.postings.persist()
-    scores = bm25(index, items(spark, sf_dir), analyzer=stemmed_tokens).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
-    return top_k(scores, 5, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "rank", "score")
+    return search(index_of(corpus(spark, sf_dir), "stemmed", stemmed_tokens), asked_tokens(items(spark, sf_dir), analyzer=stemmed_tokens), 5)[0]
