@@ -8,7 +8,7 @@ first n words are one interval, whose length is the count of that n-gram in the
 
 Phrases that few texts hold are most of all, so two passes are made over the shards:
 
-1. counts of words and pairs under a 64-bit hash, summed over all shards; each shard gets back the
+1. counts of words and pairs under a 48-bit hash, summed over all shards; each shard gets back the
    hashes of its own that reach ``least`` in the corpus. Two phrases of one hash only add up, so
    nothing that reaches it is missed.
 2. words and pairs below it become breaks (a phrase is no commoner than its parts), and what is left
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import drop_path, materialize, slices
 
 #: Words of a shard, about.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 5_000_000
 #: Bytes of a text that are cut into words at a time, about.
 PART_BYTES = 8 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -50,23 +50,23 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" el
 def suffix_array(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): positions by what follows there, compared as far as ``depth`` numbers, and how
     many numbers (``depth`` at most) each shares with the one before it in that order."""
-    ranks = [x.astype(np.int64)]
+    ranks = [x.astype(np.int32)]
     h = 1
     order = np.argsort(ranks[0], kind="stable")
     while h < depth:
-        rank = ranks[-1]
-        behind = np.zeros(len(x), np.int64)
-        behind[: max(0, len(x) - h)] = rank[h:] + 1
-        key = rank * (int(rank.max(initial=0)) + 2) + behind
+        key = ranks[-1].astype(np.int64)
+        key *= int(ranks[-1].max(initial=0)) + 2
+        key[: max(0, len(x) - h)] += ranks[-1][h:] + 1
         order = np.argsort(key, kind="stable")
         key = key[order]
-        new = np.empty(len(x), np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])[: len(x)])
+        new = np.empty(len(x), np.int32)
+        new[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])[: len(x)], dtype=np.int32)
+        del key
         ranks.append(new)
         h *= 2
-    lcp = np.zeros(len(x), np.int64)
+    lcp = np.zeros(len(x), np.int8)
     if len(x) > 1:
-        a, b, shared = order[:-1], order[1:], np.zeros(len(x) - 1, np.int64)
+        a, b, shared = order[:-1], order[1:], np.zeros(len(x) - 1, np.int8)
         for k in range(len(ranks) - 1, -1, -1):
             i, j = a + shared, b + shared
             on = (np.maximum(i, j) < len(x)) & (shared < depth)
@@ -79,7 +79,8 @@ def suffix_array(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def before_break(x: np.ndarray, depth: int) -> np.ndarray:
     """How many words, at most ``depth``, stand from each position on before the next 0."""
     at = np.where(x == 0, np.arange(len(x)), len(x))
-    return np.minimum(np.minimum.accumulate(at[::-1])[::-1] - np.arange(len(x)), depth)
+    at = np.minimum.accumulate(at[::-1])[::-1] - np.arange(len(x))
+    return np.minimum(at, depth).astype(np.int8)
 
 
 def intervals(order: np.ndarray, lcp: np.ndarray, room: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +113,22 @@ def _parts(text: bytes) -> Iterator[bytes]:
     yield text[begin:]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit numbers as four runs of bytes of the same weight: the upper ones are nearly constant, as
+    common words have small numbers, and so compress to little."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 _SHARD = "shard long, lang string, n long, vocabulary binary, ids binary"
 
 
 def shards(docs: DataFrame, label_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, lang, n, vocabulary, ids): the words of the texts. n counts them; ids are 32-bit numbers
-    of words, 0 for breaks; the vocabulary's words are parted by byte 255, in order from number 1."""
+    """(shard, lang, n, vocabulary, ids): the words of the texts. n counts them; ids are numbers of
+    words, 0 for breaks, as :func:`_packed` stores them; the vocabulary's words are parted by byte 255, in order from number 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
@@ -129,7 +140,7 @@ def shards(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sha
                 x = np.concatenate(ids)
                 shard = TaskContext.get().partitionId() << 32 | made
                 made += 1
-                row = [[shard], [label], [int((x > 0).sum())], [_BREAK.join(list(numbers)[1:])], [x.astype("<i4").tobytes()]]
+                row = [[shard], [label], [int((x > 0).sum())], [_BREAK.join(list(numbers)[1:])], [_packed(x)]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "lang", "n", "vocabulary", "ids"])
             held, size = {}, 0
 
@@ -149,18 +160,22 @@ def shards(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sha
     return docs.where(F.octet_length(text_col) > 0).select(label, F.col(text_col).cast("binary")).mapInArrow(run, _SHARD)
 
 
+#: Bits of a hash: two phrases of one hash are only kept together, and what is dealt out is smaller.
+_HASH_BITS = np.uint64((1 << 48) - 1)
+
+
 def _word_hashes(label: str, vocabulary: list[bytes]) -> np.ndarray:
     """A hash of label and word by word number; that of the break is not used."""
     import xxhash
 
     head = label.encode() + _BREAK
-    return np.fromiter((xxhash.xxh3_64_intdigest(head + w) for w in [b"", *vocabulary]), np.uint64, len(vocabulary) + 1)
+    return np.fromiter((xxhash.xxh3_64_intdigest(head + w) for w in [b"", *vocabulary]), np.uint64, len(vocabulary) + 1) & _HASH_BITS
 
 
 def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & _HASH_BITS
 
 
 def _vocabulary(data: bytes) -> list[bytes]:
@@ -173,7 +188,7 @@ def hashed_counts(made: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, label, words, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                x = np.frombuffer(data, "<i4")
+                x = _unpacked(data)
                 h = _word_hashes(label, _vocabulary(words))
                 order, lcp = suffix_array(x, 2)
                 room = before_break(x, 2)
@@ -199,11 +214,11 @@ def frequent_part(x: np.ndarray, hashes: np.ndarray, kept: np.ndarray) -> np.nda
     good[0] = False
     at = np.nonzero(good[x])[0]
     if not len(at):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     joined = np.zeros(len(at), bool)  # with the word behind
     near = np.nonzero(np.diff(at) == 1)[0]
     joined[near] = _among(_pair_hashes(hashes[x[at[near]]], hashes[x[at[near] + 1]]), kept)
-    out = np.zeros(len(at) + int((~joined).sum()), np.int64)
+    out = np.zeros(len(at) + int((~joined).sum()), np.int32)
     out[np.arange(len(at)) + np.cumsum(~joined) - ~joined] = x[at]
     return out
 
@@ -217,7 +232,7 @@ def phrase_counts(made: DataFrame, kept: DataFrame, longest: int) -> DataFrame:
         for label, words, data in zip(*(left.column(c).to_pylist() for c in ("lang", "vocabulary", "ids")), strict=True):
             vocabulary = _vocabulary(words)
             kept_here = np.sort(right.column("hash").to_numpy().view(np.uint64))
-            x = frequent_part(np.frombuffer(data, "<i4"), _word_hashes(label, vocabulary), kept_here)
+            x = frequent_part(_unpacked(data), _word_hashes(label, vocabulary), kept_here)
             names = pa.array([b"", *vocabulary], pa.binary()).cast(pa.string())
             order, lcp = suffix_array(x, longest)
             room = before_break(x, longest)
