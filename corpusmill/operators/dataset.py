@@ -86,6 +86,7 @@ def ranges_audit(ranges: DataFrame) -> DataFrame:
 
 
 def directory_hash(files: DataFrame) -> DataFrame:
-    """One hash of paths, sizes and times in path order (AG33)."""
-    line = F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))
+    """One hash of all paths, sizes and times, and their number (AG33)."""
+    from .hashtree import tree_hash
+
+    return tree_hash(files, F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")))

@@ -13,6 +13,7 @@ from ..sources.writers import flatten_metadata
 from .base import query, table
 from .evaluation import JUDGED, judged
 from .fields import HASH16, normal
+from ..operators.hashtree import differing_ranges, tree_hash
 from .search import NAMED, file_name
 
 GOLDEN = "SELECT item_id AS query_id, text AS query, CASE item_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS label_confidence, CASE item_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'regression' END AS dataset_split FROM benchmark"
@@ -109,10 +110,18 @@ def one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.by_id(d, "7", "doc_id").union(ds.by_id(d, "-7", "doc_id")).select("doc_id", "source")
 
 
-@query("SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM (SELECT concat_ws('|', url, length(html)::VARCHAR, page_id::VARCHAR) AS line FROM pages)")
+#: SQL: the tree hash of rows l(line): leaves by two hex digits beyond 1024 different rows, then one
+#: node (as many as a table of up to 262,144 different rows has).
+TREE = """c AS (SELECT h, count(*) AS c FROM (SELECT sha256(line) AS h FROM l WHERE line IS NOT NULL) GROUP BY h),
+k AS (SELECT CASE WHEN count(*) > 1024 THEN 2 ELSE 0 END AS digits FROM c),
+leaf AS (SELECT left(h, digits) AS prefix, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS hash, sum(c) AS n FROM c, k GROUP BY 1),
+root AS (SELECT CASE WHEN max(digits) = 0 THEN max(hash) ELSE sha256(string_agg(prefix || ':' || hash, ',' ORDER BY prefix)) END AS hash, CAST(sum(n) AS BIGINT) AS n FROM leaf, k)"""
+
+
+@query(f"WITH l AS (SELECT concat_ws('|', url, length(html)::VARCHAR, page_id::VARCHAR) AS line FROM pages), {TREE} SELECT hash, n FROM root")
 def folder_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of a folder's paths, sizes and times (AG33)."""
-    return ds.directory_hash(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.length("html").alias("size"), F.col("page_id").alias("modified")))
+    return ds.directory_hash(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.length("html").alias("size"), F.col("page_id").alias("modified"))).select("hash", F.col("rows").alias("n"))
 
 
 @query("""WITH r AS (SELECT p_name AS test_name, CASE WHEN p_partkey % 5 = 0 THEN 'none' ELSE p_size || '-' || (p_size + 1) END AS normal_range, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE 'mg' END AS unit, p_type AS category FROM part)
@@ -178,11 +187,22 @@ def page_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.col("md").isNotNull().alias("has_markdown"), F.col("art").isNotNull().alias("has_artifact"))
 
 
-@query("SELECT sha256(string_agg(h, ',' ORDER BY h)) AS hash, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT substr(sha256(text), 1, 16) AS h FROM documents)")
+@query(f"WITH l AS (SELECT DISTINCT substr(sha256(text), 1, 16) AS line FROM documents), {TREE} SELECT hash, n FROM root")
 def hash_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All content hashes of the index in order (SK10, SC22)."""
-    h = table(spark, sf_dir, "documents").select(tx.content_hash(F.col("text")).alias("h")).distinct()
-    return h.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("hash"), F.count("*").alias("n"))
+    """One hash of all different contents of the index (SK10, SC22)."""
+    h = table(spark, sf_dir, "documents").select(tx.content_hash(F.col("text")).alias("h")).where("h IS NOT NULL").distinct()
+    return tree_hash(h, F.col("h")).select("hash", F.col("rows").alias("n"))
+
+
+@query("""WITH h AS (SELECT sha256(concat_ws('|', doc_id::VARCHAR, coalesce(text, ''))) AS a, sha256(concat_ws('|', doc_id::VARCHAR, CASE WHEN doc_id % 200 = 3 THEN 'changed' ELSE coalesce(text, '') END)) AS b FROM documents),
+k AS (SELECT CASE WHEN count(DISTINCT a) > 1024 THEN 2 ELSE 0 END AS digits FROM h),
+x AS (SELECT left(a, digits) AS prefix, count(*) AS n, string_agg(a, ',' ORDER BY a) AS s FROM h, k GROUP BY 1), y AS (SELECT left(b, digits) AS prefix, count(*) AS n, string_agg(b, ',' ORDER BY b) AS s FROM h, k GROUP BY 1)
+SELECT prefix, coalesce(x.n, 0)::BIGINT AS rows_a, coalesce(y.n, 0)::BIGINT AS rows_b FROM x FULL JOIN y USING (prefix) WHERE x.s IS DISTINCT FROM y.s""")
+def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges in which two states of a table differ, by their hashes alone (SC22, AG33)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    later = d.withColumn("text", F.when(F.col("doc_id") % 200 == 3, "changed").otherwise(F.col("text")))
+    return differing_ranges(d, later, F.concat_ws("|", F.col("doc_id").cast("string"), "text"))
 
 
 @query("SELECT conv_id, sha256(string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY conv_id")
