@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import drop_path, materialize, slices
 
 #: Words of a shard, about.
-SHARD_WORDS = 5_000_000
+SHARD_WORDS = 2_500_000
 #: Bytes of a text that are cut into words at a time, about.
 PART_BYTES = 8 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -231,9 +231,10 @@ def phrase_counts(made: DataFrame, kept: DataFrame, longest: int) -> DataFrame:
         rows: list[pa.Table] = []
         for label, words, data in zip(*(left.column(c).to_pylist() for c in ("lang", "vocabulary", "ids")), strict=True):
             vocabulary = _vocabulary(words)
-            kept_here = np.sort(right.column("hash").to_numpy().view(np.uint64))
-            x = frequent_part(_unpacked(data), _word_hashes(label, vocabulary), kept_here)
+            hashes = _word_hashes(label, vocabulary)
             names = pa.array([b"", *vocabulary], pa.binary()).cast(pa.string())
+            del vocabulary
+            x = frequent_part(_unpacked(data), hashes, np.sort(right.column("hash").to_numpy().view(np.uint64)))
             order, lcp = suffix_array(x, longest)
             room = before_break(x, longest)
             for n in range(1, longest + 1):
