@@ -72,6 +72,11 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite & F.exists("v", lambda x: x != 0))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two, which changes no digit, so that no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def _unit(b: pa.Array, dim: int) -> np.ndarray:
     x = b.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     # scaled before squaring, so that no length over- or underflows
@@ -96,25 +101,44 @@ def probes_needed(x: np.ndarray, c: np.ndarray, target: float, k: int = 5, tests
     return int(at[min(len(at) - 1, math.ceil(target * len(at)) - 1)]) + 1
 
 
-def fit(vectors: DataFrame, n: int, max_sample: int = 20_000, max_lists: int = 4096, parts: int = 16, target_recall: float = 0.97, seed: int = 0) -> IvfPq | None:
-    """The index's centroids and code books from at most about ``max_sample`` rows.
+def _tree_kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """About ``k`` centroids by two levels: cells first, then centroids within each, as many as its
+    share of the rows gives."""
+    cells = _kmeans(x, max(1, math.isqrt(k)), rng)
+    near = _nearest(x, cells)
+    return np.concatenate([_kmeans(x[near == i], max(1, round(k * n / len(x))), rng) for i, n in enumerate(np.bincount(near, minlength=len(cells)).tolist()) if n])
+
+
+def _sample(vectors: DataFrame, n: int, dim: int, rows: int, seed: int) -> np.ndarray:
+    """About ``rows`` different vectors at most, drawn by a hash of their content; a vector that many
+    rows share is drawn once, or not at all."""
+    part = min(1.0, rows / max(n, 1))
+    own = vectors.where(F.size("v") == dim).select("v")
+    while True:
+        got = own.where(unit_hash(F.lit(seed), F.xxhash64("v")) < F.lit(part)).distinct().orderBy(F.xxhash64("v")).toArrow()
+        if got.num_rows or part >= 1.0:
+            return _unit(got.column(0).combine_chunks(), dim)
+        part = min(1.0, part * 16)  # few vectors that many rows share
+
+
+def fit(vectors: DataFrame, n: int, max_sample: int = 20_000, max_lists: int = 65_536, flat_lists: int = 4096, parts: int = 16, target_recall: float = 0.97, seed: int = 0) -> IvfPq | None:
+    """The index's centroids and code books from a bounded sample.
 
-    Lists: about the square root of the number of rows, at most ``max_lists``, since the sample
-    tells no more apart; beyond, lists grow longer and are scanned in more blocks. Probes: as many
-    as the sample's own nearest neighbours need for ``target_recall``."""
+    Lists: about the square root of the number of rows, at most ``max_lists`` (4.3 billion rows; lists
+    grow longer beyond). Up to ``flat_lists`` centroids are fitted at once, to about ``max_sample``
+    vectors; more of them by two levels, to eight vectors a list, half a million at most. Probes: as
+    many as the sample's own nearest neighbours need for ``target_recall``."""
     dim_row = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "dim").first()
     if dim_row is None:
         return None
     dim = dim_row["dim"]
-    got = vectors.where((F.size("v") == dim) & (unit_hash(F.lit(seed), F.col("vec_id")) < F.lit(min(1.0, max_sample / max(n, 1))))).select("v").limit(2 * max_sample).toArrow()
-    if got.num_rows == 0:
-        got = vectors.where(F.size("v") == dim).select("v").limit(256).toArrow()
-    x = _unit(got.column(0).combine_chunks(), dim)
+    lists = max(1, min(max_lists, math.isqrt(n)))
+    x = _sample(vectors, n, dim, max_sample if lists <= flat_lists else max(max_sample, 8 * lists), seed)
     rng = np.random.default_rng(seed)
-    lists = max(1, min(max_lists, int(math.sqrt(n))))
-    c = _kmeans(x, lists, rng)
+    c = _kmeans(x, lists, rng) if lists <= flat_lists else _tree_kmeans(x, lists, rng)
     parts = max(p for p in range(1, parts + 1) if dim % p == 0)
-    rest = x - c[_nearest(x, c)]
+    few = x if len(x) <= max_sample else x[rng.choice(len(x), max_sample, replace=False)]
+    rest = few - c[_nearest(few, c)]
     books = np.zeros((parts, 256, dim // parts))
     for p, sub in enumerate(np.split(rest, parts, axis=1)):
         b = _kmeans(sub, 256, rng, 8)
@@ -191,7 +215,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = model.centroids.shape[1]
     codes, codes_path = materialize(encode(vectors, model), "ann-codes")
-    # a row a list, at most max_lists
+    # a row a list, of which the model holds all
     sizes = dict(codes.groupBy("list").count().collect())
     model.sizes = np.array([sizes.get(i, 0) for i in range(len(model.centroids))])
     places = _blocks(sizes, block)
@@ -253,7 +277,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = 100, id_
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (b.column(j).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for j in (2, 3))
+            x, y = (_scaled(b.column(j).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)) for j in (2, 3))
             score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 

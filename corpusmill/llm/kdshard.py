@@ -144,7 +144,10 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """The rows of ``docs`` in one folder a shard (shard=N), as Parquet. Rows need unique ids."""
+    """The rows of ``docs`` in one folder a shard (shard=N), as Parquet. Rows are placed
+    by their ids, so null or repeated ids are an error."""
     id_col = options.get("id_col", "doc_id")
+    if not docs.groupBy(F.col(id_col).cast("long").alias("i")).count().where("i IS NULL OR count > 1").isEmpty():
+        raise ValueError("ids are null or repeated")
     placed = assign(docs, **options).select(F.col("doc_id").alias("__id"), "shard", "slot")
     docs.join(placed, docs[id_col].cast("long") == F.col("__id")).drop("__id").repartition("shard", F.pmod("slot", F.lit(64))).write.partitionBy("shard").parquet(path)

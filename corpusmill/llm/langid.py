@@ -141,11 +141,12 @@ def fit_temperature(margins: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows_a_label: int = 1500, max_labels: int = 1000, seed: int = 0) -> LanguageModel:
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows_a_label: int = 1500, max_rows: int = 200_000, max_labels: int = 1000, seed: int = 0) -> LanguageModel:
     """Fit on the rows of ``docs`` for which ``learn`` holds and the label is not null.
 
     Document frequencies: all of those rows. Weights: about ``max_rows_a_label`` of each label's
-    rows, drawn by a hash of the id (all, if fewer); a fifth of the draw fits the temperature.
+    rows, and ``max_rows`` of all, drawn by a hash of the id (all, if fewer); a fifth of the draw fits
+    the temperature.
     More than ``max_labels`` labels are an error."""
     rows = docs.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(label_col).cast("string").alias("y"), F.col(text_col).cast("binary").alias("t"))
     sizes = {r[0]: r[1] for r in rows.groupBy("y").count().limit(max_labels + 1).collect()}
@@ -153,7 +154,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         raise ValueError(f"more than {max_labels} labels")
     if not sizes:
         return LanguageModel([], np.zeros(BINS), np.zeros((BINS, 0)), np.zeros(0))
-    share = F.element_at(F.create_map(*[x for y, n in sorted(sizes.items()) for x in (F.lit(y), F.lit(min(1.0, max_rows_a_label / n)))]), F.col("y"))
+    each = min(max_rows_a_label, max_rows / len(sizes))
+    share = F.element_at(F.create_map(*[x for y, n in sorted(sizes.items()) for x in (F.lit(y), F.lit(min(1.0, each / n)))]), F.col("y"))
     drawn = rows.select("y", "t", unit_hash(F.lit(seed), F.col("i")).alias("u"), share.alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,9 +136,10 @@ def _pair_counts(text: bytes) -> np.ndarray:
 _WORD = re.compile(rb"[a-z]{4,24}")
 
 
-def corpus_statistics(docs: DataFrame, text_col: str = "text", max_words: int = 20_000, least_texts: int = 3) -> Statistics:
-    """Letter pairs of all texts, and the ``max_words`` words (4 to 24 ASCII letters) that most texts
-    hold, each in at least ``least_texts``. Counts are added up on the executors; a worker passes on
+def corpus_statistics(docs: DataFrame, text_col: str = "text", least_share: float = 5e-6, least_texts: int = 3) -> Statistics:
+    """Letter pairs of all texts, and the words (4 to 24 ASCII letters) that make up ``least_share`` of
+    all (text, word) pairs or more, so 1 / ``least_share`` words at most, each in ``least_texts`` texts
+    at least. Counts are added up on the executors; a worker passes on
     its counts whenever it holds 200,000 words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,8 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text", max_words: int =
     pairs = np.zeros(676, np.int64)
     for r in counted.where(is_pair).collect():
         pairs[int(r["key"])] = r["n"]
-    words = counted.where(~is_pair & (F.col("n") >= least_texts)).orderBy(F.col("n").desc(), "key").limit(max_words)
+    every = counted.where(~is_pair).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = counted.where(~is_pair & (F.col("n") >= max(least_texts, least_share * every)))
     found = Statistics(log_pairs(pairs.reshape(26, 26)), COMMON | frozenset(r["key"] for r in words.collect()))
     drop_path(docs.sparkSession, path)
     return found

@@ -24,10 +24,12 @@ import os
 import re
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,15 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
 
 
+@lru_cache(maxsize=100_000)
+def _stays_letter(c: str) -> bool:
+    """Whether a character's composed small form begins and ends in a letter or digit. The capital I
+    with a dot and letters that composition takes apart (such as those of Hindi with a dot below)
+    end in a mark, which a full stop behind it is joined with."""
+    n = unicodedata.normalize("NFC", c.lower())
+    return n[0].isalnum() and n[-1].isalnum() and all(x.isalnum() for x in unicodedata.normalize("NFC", c))
+
+
 def _byte_letters(word: bytes) -> str | None:
     """A word of Latin letters, lower-cased, in the byte-level alphabet; None for other words."""
     if word.isalpha():  # of ASCII letters
@@ -142,8 +153,7 @@ class WordEncoder:
         kinds = text.translate(_KINDS)
         alone = b"p." not in kinds and b".p" not in kinds and b".." not in kinds
         if alone and (b"u." in kinds or b".u" in kinds):
-            # the capital I with a dot is a letter, but its small form ends in a mark
-            alone = all((a or z).isalnum() and a != "\u0130" for a, z in _BESIDE.findall(text.decode()))
+            alone = all(_stays_letter(a or z) for a, z in _BESIDE.findall(text.decode()))
         text = text.translate(LOWER_AZ)
         return text.replace(b".", b" . ").replace(b",", b" , ").split() if alone else text.split()
 
@@ -252,7 +262,8 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     at_once = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_files = max(1, -(-size // BYTES_A_FILE), min(at_once, n // 1000))
-    ordered = rows.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("t").asc()]  # rows of one id may fill several files
+    ordered = rows.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, by_word)

@@ -130,9 +130,8 @@ def entries_of(text: str | None, shortest: int = 4, longest: int = 9) -> set[str
     return out
 
 
-def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, min_texts: int = MIN_TEXTS, min_odds: float = MIN_ODDS, max_entries: int = 20_000) -> dict[str, float]:
-    """Entries by falling log odds, at most ``max_entries``; an entry that a kept shorter beginning
-    covers as well is left out. ``counts``: entry, toxic texts, clean texts."""
+def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, min_texts: int = MIN_TEXTS, min_odds: float = MIN_ODDS) -> dict[str, float]:
+    """Entries by falling log odds; an entry that a kept shorter beginning covers as well is left out. ``counts``: entry, toxic texts, clean texts."""
     scored = []
     for k, a, b in counts:
         odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
@@ -145,8 +144,6 @@ def choose_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, m
         covered = any(k[:n] in out and out[k[:n]] >= odds - 0.5 for n in range(2, len(k)))
         if not covered:
             out[k] = min(odds, 8.0)
-        if len(out) >= max_entries:
-            break
     return out
 
 
