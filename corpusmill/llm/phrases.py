@@ -8,13 +8,13 @@ first n words are one interval, whose length is the count of that n-gram in the
 
 Phrases that few texts hold are most of all, so two passes are made over the shards:
 
-1. counts of words and pairs under a 48-bit hash, summed over all shards; each shard gets back the
-   hashes of its own that reach ``least`` in the corpus. Two phrases of one hash only add up, so
+1. counts of words and pairs under a 48-bit hash, summed over all shards; each pile of shards gets
+   back the hashes of its own that reach ``least`` in the corpus. Two phrases of one hash only add up, so
    nothing that reaches it is missed.
 2. words and pairs below it become breaks (a phrase is no commoner than its parts), and what is left
    is counted by name, for all lengths, and merged by label and phrase.
 
-Both passes deal rows by hash, phrase or shard: a label or phrase that holds a third of all words is
+Both passes deal rows by hash, phrase or pile of shards: a label or phrase that holds a third of all words is
 one row a shard, no more. Shards are written to the shared folder once.
 
 Null texts have no words; a null label counts as ``und``; repeated rows count each time. A very long
@@ -25,6 +25,7 @@ label are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, slices
 
-#: Words of a shard, about.
-SHARD_WORDS = 2_500_000
+#: Words of a shard, about, and shards of a label that are counted in one task, at most.
+SHARD_WORDS = 2_000_000
+PILE_SHARDS = 4
 #: Bytes of a text that are cut into words at a time, about.
 PART_BYTES = 8 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -123,26 +125,26 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-_SHARD = "shard long, lang string, n long, vocabulary binary, ids binary"
+_SHARD = "pile long, lang string, n long, vocabulary binary, ids binary"
 
 
 def shards(docs: DataFrame, label_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, lang, n, vocabulary, ids): the words of the texts. n counts them; ids are numbers of
+    """(pile, lang, n, vocabulary, ids): the words of the texts, a row a shard. A pile is a few shards of
+    one label, from neighbouring partitions. n counts words; ids are numbers of
     words, 0 for breaks, as :func:`_packed` stores them; the vocabulary's words are parted by byte 255, in order from number 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        made = size = 0
+        flushed = size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, size, held
+            nonlocal flushed, size, held
             for label, (numbers, ids) in held.items():
                 x = np.concatenate(ids)
-                shard = TaskContext.get().partitionId() << 32 | made
-                made += 1
-                row = [[shard], [label], [int((x > 0).sum())], [_BREAK.join(list(numbers)[1:])], [_packed(x)]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "lang", "n", "vocabulary", "ids"])
-            held, size = {}, 0
+                pile = zlib.crc32(label.encode()) << 31 ^ TaskContext.get().partitionId() // PILE_SHARDS << 12 ^ flushed
+                row = [[pile], [label], [int((x > 0).sum())], [_BREAK.join(list(numbers)[1:])], [_packed(x)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["pile", "lang", "n", "vocabulary", "ids"])
+            held, size, flushed = {}, 0, flushed + 1
 
         for b in slices(batches):
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -183,11 +185,11 @@ def _vocabulary(data: bytes) -> list[bytes]:
 
 
 def hashed_counts(made: DataFrame) -> DataFrame:
-    """(hash, shard, c): counts of the words and pairs of each shard, under a hash."""
+    """(hash, pile, c): counts of the words and pairs of each shard, under a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, label, words, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for pile, label, words, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 x = _unpacked(data)
                 h = _word_hashes(label, _vocabulary(words))
                 order, lcp = suffix_array(x, 2)
@@ -197,9 +199,9 @@ def hashed_counts(made: DataFrame) -> DataFrame:
                     hashes = h[x[at]] if n == 1 else _pair_hashes(h[x[at]], h[x[at + 1]])
                     for lo in range(0, len(at), 1 << 16):
                         some = slice(lo, lo + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(np.full(len(at[some]), shard)), pa.array(counts[some])], ["hash", "shard", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(np.full(len(at[some]), pile)), pa.array(counts[some])], ["hash", "pile", "c"])
 
-    return made.select("shard", "lang", "vocabulary", "ids").mapInArrow(run, "hash long, shard long, c long")
+    return made.select("pile", "lang", "vocabulary", "ids").mapInArrow(run, "hash long, pile long, c long")
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -229,12 +231,14 @@ def phrase_counts(made: DataFrame, kept: DataFrame, longest: int) -> DataFrame:
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[pa.Table] = []
-        for label, words, data in zip(*(left.column(c).to_pylist() for c in ("lang", "vocabulary", "ids")), strict=True):
+        kept_here = np.sort(right.column("hash").to_numpy().view(np.uint64))
+        for i in range(left.num_rows):
+            label, words, data = (left.column(c)[i].as_py() for c in ("lang", "vocabulary", "ids"))
             vocabulary = _vocabulary(words)
             hashes = _word_hashes(label, vocabulary)
             names = pa.array([b"", *vocabulary], pa.binary()).cast(pa.string())
             del vocabulary
-            x = frequent_part(_unpacked(data), hashes, np.sort(right.column("hash").to_numpy().view(np.uint64)))
+            x = frequent_part(_unpacked(data), hashes, kept_here)
             order, lcp = suffix_array(x, longest)
             room = before_break(x, longest)
             for n in range(1, longest + 1):
@@ -243,7 +247,8 @@ def phrase_counts(made: DataFrame, kept: DataFrame, longest: int) -> DataFrame:
                 rows.append(pa.table([pa.array([label] * len(at), pa.string()), phrase, pa.array(np.full(len(at), n, np.int32)), pa.array(counts)], schema=pa.schema(fields)))
         return pa.concat_tables(rows) if rows else pa.schema(fields).empty_table()
 
-    pairs = made.select("shard", "lang", "vocabulary", "ids").groupBy("shard").cogroup(kept.groupBy("shard"))
+    # a pile's shards are of one label, so Spark adds up their counts before they are shuffled
+    pairs = made.select("pile", "lang", "vocabulary", "ids").groupBy("pile").cogroup(kept.groupBy("pile"))
     return pairs.applyInArrow(count, "lang string, phrase string, words int, c long")
 
 
@@ -255,8 +260,9 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, label_c
     more, (lang, n) with all words of a label, and the paths of the tables that both are read from."""
     spark = docs.sparkSession
     made, made_path = materialize(shards(docs, label_col, text_col, shard_words), "phrase-shards")
+    # equal hashes lie together already, so what is distinct is told without another shuffle
     everywhere = Window.partitionBy("hash")
-    kept = hashed_counts(made).withColumn("f", F.sum("c").over(everywhere)).where(F.col("f") >= least).select("shard", "hash")
+    kept = hashed_counts(made).withColumn("f", F.sum("c").over(everywhere)).where(F.col("f") >= least).select("pile", "hash").distinct()
     counts = phrase_counts(made, kept, longest).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     counts, counts_path = materialize(counts, "phrase-counts")
     return counts, made.groupBy("lang").agg(F.sum("n").alias("n")), [made_path, counts_path]
