@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import queue
 import re
+import threading
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -57,21 +60,55 @@ def stub_client(texts: list[str]) -> list[str]:
     return out
 
 
-def ask(rows: DataFrame, text_col: str, client: Client, batch: int = 10) -> DataFrame:
-    """Rows with the client's answer; a batch that fails has no answers (UD5-UD7)."""
+def run_calls(calls: Sequence[Callable[[], Any]], timeout_s: float | None = None, at_once: int = 4) -> list[tuple[Any, str | None]]:
+    """(result, reason) of each call, in order: ``at_once`` of them run at a time, each for ``timeout_s``
+    seconds at most. The reason is null for a result, "timeout", or the name of the error. A call that
+    is late is left behind: another takes its place, and what it may still return is not looked at."""
+    out: list[tuple[Any, str | None]] = [(None, "timeout")] * len(calls)
+    running: dict[int, float] = {}
+    done: queue.SimpleQueue[tuple[int, Any, str | None]] = queue.SimpleQueue()
+
+    def run(k: int) -> None:
+        try:
+            done.put((k, calls[k](), None))
+        except Exception as e:  # noqa: BLE001  the row says what went wrong
+            done.put((k, None, type(e).__name__))
+
+    todo = iter(range(len(calls)))
+    left = len(calls)
+    while left:
+        while len(running) < at_once and (k := next(todo, None)) is not None:
+            running[k] = time.monotonic()
+            threading.Thread(target=run, args=(k,), daemon=True).start()
+        wait = None if timeout_s is None else max(0.0, min(running.values()) + timeout_s - time.monotonic())
+        try:
+            k, value, reason = done.get(timeout=wait)
+            if running.pop(k, None) is not None:
+                out[k] = (value, reason)
+                left -= 1
+        except queue.Empty:
+            late = [k for k, began in running.items() if time.monotonic() - began >= timeout_s]
+            for k in late:
+                del running[k]
+            left -= len(late)
+    return out
 
-    @F.pandas_udf("string")
-    def run(p: pd.Series) -> pd.Series:
-        got: list[str | None] = []
-        for at in range(0, len(p), batch):
-            part = p.iloc[at : at + batch].fillna("").tolist()
-            try:
-                got += client(part)
-            except Exception:  # noqa: BLE001  the rows stay, without an answer
-                got += [None] * len(part)
-        return pd.Series(got, index=p.index)
 
-    return rows.withColumn("answer", run(F.col(text_col)))
+def ask(rows: DataFrame, text_col: str, client: Client, batch: int = 10, timeout_s: float | None = 30.0, at_once: int = 4, reason_col: str | None = None) -> DataFrame:
+    """Rows with the client's answer; a batch that fails or takes longer than ``timeout_s`` has none
+    (UD5-UD7), and ``reason_col``, if named, says why."""
+
+    @F.pandas_udf("answer string, reason string")
+    def run(p: pd.Series) -> pd.DataFrame:
+        parts = [p.iloc[at : at + batch].fillna("").tolist() for at in range(0, len(p), batch)]
+        got = run_calls([lambda x=x: client(x) for x in parts], timeout_s, at_once)
+        answers = [a for x, (result, why) in zip(parts, got, strict=True) for a in (result if why is None else [None] * len(x))]
+        reasons = [why for x, (_, why) in zip(parts, got, strict=True) for _ in x]
+        return pd.DataFrame({"answer": pd.Series(answers, dtype=object), "reason": pd.Series(reasons, dtype=object)})
+
+    both = rows.withColumn("__asked", run(F.col(text_col)))
+    out = both.withColumn("answer", F.col("__asked.answer"))
+    return (out.withColumn(reason_col, F.col("__asked.reason")) if reason_col else out).drop("__asked")
 
 
 def json_object(answer: Column) -> Column:
@@ -132,25 +169,23 @@ def overlap_judge(question: str, context: str, answer: str) -> float:
     return len(a & c) / len(a) if a else 0.0
 
 
-def judged(answers: DataFrame, judges: dict[str, Judge], thresholds: dict[str, float], tries: int = 2) -> DataFrame:
-    """(query_id, metric, score, passed) of (query_id, question, context, answer): each judge by
-    itself, tried again once; one that fails leaves a null score that has not passed (UD13, UD14)."""
+def judged(answers: DataFrame, judges: dict[str, Judge], thresholds: dict[str, float], tries: int = 2, timeout_s: float | None = 30.0, at_once: int = 4) -> DataFrame:
+    """(query_id, metric, score, passed, reason) of (query_id, question, context, answer): each judge by
+    itself, ``at_once`` calls of a task at a time, each for ``timeout_s`` at most, and tried again while
+    it fails. One that fails for good leaves a null score that has not passed, and the last reason:
+    "timeout" or the error's name (UD13, UD14)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = []
-            for i, q, c, a in p[["query_id", "question", "context", "answer"]].itertuples(index=False):
-                for name, judge in sorted(judges.items()):
-                    score = None
-                    for _ in range(tries):
-                        try:
-                            score = float(judge(q or "", c or "", a or ""))
-                            break
-                        except Exception:  # noqa: BLE001  the row says that there is no score
-                            continue
-                    rows.append((i, name, score))
-            yield pd.DataFrame(rows, columns=["query_id", "metric", "score"])
-
-    out = answers.select("query_id", "question", "context", "answer").mapInPandas(run, "query_id long, metric string, score double")
+            asked = [(i, name, judge, q or "", c or "", a or "") for i, q, c, a in p[["query_id", "question", "context", "answer"]].itertuples(index=False) for name, judge in sorted(judges.items())]
+            got: list[tuple[Any, str | None]] = [(None, "")] * len(asked)
+            for _ in range(tries):
+                again = [k for k, (_, why) in enumerate(got) if why is not None]
+                calls = [lambda j=asked[k]: float(j[2](*j[3:])) for k in again]
+                for k, result in zip(again, run_calls(calls, timeout_s, at_once), strict=True):
+                    got[k] = result
+            yield pd.DataFrame([(i, name, score, why) for (i, name, *_), (score, why) in zip(asked, got, strict=True)], columns=["query_id", "metric", "score", "reason"])
+
+    out = answers.select("query_id", "question", "context", "answer").mapInPandas(run, "query_id long, metric string, score double, reason string")
     least = F.element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col("metric"))
-    return out.withColumn("passed", F.coalesce(F.col("score") >= least, F.lit(False)))
+    return out.withColumn("passed", F.coalesce(F.col("score") >= least, F.lit(False))).select("query_id", "metric", "score", "passed", "reason")

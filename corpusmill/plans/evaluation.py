@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -24,15 +24,19 @@ m AS (SELECT query_id, CASE WHEN sum(rel) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS h
   coalesce(sum(rel / log2(rank + 1)) / nullif(list_sum(list_transform(range(1, CAST(sum(rel) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 0), 0.0) AS ndcg FROM j GROUP BY query_id)"""
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relevance_of(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results (query_id, doc_id, ...) with their document's source and content, and ``rel``."""
     q = items(spark, sf_dir)
-    top = best_documents(spark, sf_dir, 5)
     golden = q.select("query_id", F.substring("query", 1, 60).alias("phrase"), F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"), F.lit(".pdf"))).alias("expected"), F.slice(tx.plain_tokens(F.col("query")), 1, 3).alias("kw"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), file_name().alias("source"))
-    both = top.join(golden, "query_id").join(docs, "doc_id")
+    both = found.join(golden, "query_id").join(docs, "doc_id")
     return both.withColumn("rel", ev.is_relevant(F.col("source"), F.col("content"), F.col("expected"), F.col("phrase"), F.col("kw")).cast("int"))
 
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevance_of(best_documents(spark, sf_dir, 5), spark, sf_dir)
+
+
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = judged(spark, sf_dir).select("query_id", "rank", "rel")
     return ev.query_metrics(j, j.select("query_id").distinct().withColumn("expected", F.lit(1)), 5)
@@ -105,10 +109,19 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.winner(variants(spark, sf_dir), [F.round("ndcg", 6).desc(), F.col("p50"), F.col("variant")]).select("variant")
 
 
-@query("SELECT CAST(a AS DOUBLE) AS mmr_lambda, b AS overfetch, c AS per_page, d AS per_source FROM (SELECT unnest([0.6, 0.75, 0.9]) AS a), (SELECT unnest([2, 4]) AS b), (SELECT unnest([1, 2]) AS c), (SELECT unnest([2, 3]) AS d)")
+@query(f"""WITH {ALL_DOCS}, {BM25}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= 20),
+g AS (SELECT a::DOUBLE AS mmr_lambda, b AS overfetch, c AS per_page, d AS per_source FROM (SELECT unnest([0.6, 0.75, 0.9]) AS a), (SELECT unnest([2, 4]) AS b), (SELECT unnest([1, 2]) AS c), (SELECT unnest([2, 3]) AS d)),
+p AS (SELECT g.*, query_id, rank, row_number() OVER (PARTITION BY mmr_lambda, overfetch, per_page, per_source, query_id, source ORDER BY rank) AS n FROM g, t JOIN documents USING (doc_id) WHERE rank <= 5 * overfetch)
+SELECT mmr_lambda, overfetch, per_page, per_source, CAST(count(*) FILTER (WHERE n <= per_source) AS BIGINT) AS results FROM p GROUP BY mmr_lambda, overfetch, per_page, per_source""")
 def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid of diversity parameters (J19, CF1)."""
-    return ev.sweep_grid(spark)
+    """The grid of diversity parameters, and how many results each leaves by overfetch and source cap
+    (J19, CF1)."""
+    grid = ev.sweep_grid(spark)
+    found = best_documents(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows = found.join(F.broadcast(grid), F.col("rank") <= 5 * F.col("overfetch"))  # 24 rows
+    keys = ["mmr_lambda", "overfetch", "per_page", "per_source"]
+    n = F.row_number().over(Window.partitionBy(*keys, "query_id", "source").orderBy("rank"))
+    return rows.withColumn("n", n).groupBy(*keys).agg(F.count_if(F.col("n") <= F.col("per_source")).alias("results"))
 
 
 @query("""WITH s AS (SELECT event_type AS metric, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS score FROM events)

@@ -257,14 +257,24 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ctx FROM conversations),
 w AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]{4,}')) AS a, list_distinct(regexp_extract_all(lower(coalesce(ctx, '')), '[\p{L}\p{Nl}\p{No}]{4,}')) AS c FROM a),
 s AS (SELECT query_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, c))::DOUBLE / len(a) END AS score FROM w)
-SELECT query_id, 'grounded' AS metric, round(score, 6) AS score, score >= 0.1 AS passed FROM s UNION ALL SELECT query_id, 'unreachable', NULL, false FROM s""")
+SELECT query_id, 'grounded' AS metric, round(score, 6) AS score, score >= 0.1 AS passed, NULL AS reason FROM s UNION ALL SELECT query_id, 'unreachable', NULL, false, 'ConnectionError' FROM s
+UNION ALL SELECT conv_id * 1000 + turn, 'slow', CASE WHEN length(coalesce(text, '')) % 499 <> 0 THEN 1.0 END, length(coalesce(text, '')) % 499 <> 0, CASE WHEN length(coalesce(text, '')) % 499 = 0 THEN 'timeout' END FROM conversations""")
 def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers by judges with thresholds; a judge that fails leaves no score (UD13, UD14)."""
+    """Answers by judges with thresholds and deadlines; a judge that fails or is late leaves no score
+    but a reason (UD13, UD14)."""
+    import time
+
     from pyspark.sql import Window
 
     def unreachable(question: str, context: str, answer: str) -> float:
         raise ConnectionError("no such judge")
 
+    def slow(question: str, context: str, answer: str) -> float:
+        if len(answer) % 499 == 0:
+            time.sleep(30)
+        return 1.0
+
     w = Window.partitionBy("conv_id").orderBy("turn")
     a = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lit("").alias("question"), F.lag("text").over(w).alias("context"), F.col("text").alias("answer"))
-    return enrich.judged(a, {"grounded": enrich.overlap_judge, "unreachable": unreachable}, {"grounded": 0.1, "unreachable": 0.5}).withColumn("score", F.round("score", 6))
+    judges = {"grounded": enrich.overlap_judge, "unreachable": unreachable, "slow": slow}
+    return enrich.judged(a, judges, {"grounded": 0.1, "unreachable": 0.5, "slow": 0.5}, timeout_s=3.0, at_once=16).withColumn("score", F.round("score", 6))

@@ -220,12 +220,12 @@ def flat_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(flatten_metadata(m)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('retrieval', 'semantic_only', 'semantic_only'), ('retrieval', 'bm25_only', 'bm25_only'), ('retrieval', 'rrf_hybrid', 'rrf_hybrid'), ('retrieval', 'rrf_hybrid_mmr', 'rrf_hybrid'), ('reranking', 'no_reranking', 'none'), ('reranking', 'cross_encoder_only', 'cross_encoder'), ('reranking', 'mmr_only', 'mmr'), ('reranking', 'both_reranking', 'both'), ('keywords', 'baseline', 'false/false'), ('keywords', 'keywords', 'true/false'), ('keywords', 'summaries', 'false/true'), ('keywords', 'both', 'true/true')) AS v(family, variant, setting)")
+@query("SELECT * FROM (VALUES ('retrieval', 'semantic_only', 'semantic_only'), ('retrieval', 'bm25_only', 'bm25_only'), ('retrieval', 'rrf_hybrid', 'rrf_hybrid'), ('retrieval', 'rrf_hybrid_mmr', 'rrf_hybrid'), ('reranking', 'no_reranking', 'none'), ('reranking', 'cross_encoder_only', 'cross_encoder'), ('reranking', 'mmr_only', 'mmr'), ('reranking', 'both_reranking', 'both'), ('keywords', 'baseline', 'false/false'), ('keywords', 'keywords', 'true/false'), ('keywords', 'summaries', 'false/true'), ('keywords', 'both', 'true/true')) AS v(family, variant, setting), (SELECT count(*)::BIGINT AS items FROM benchmark)")
 def variant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of variants that studies apply (CF1, CF3, CF4)."""
+    """The tables of variants that studies apply, with the items that each is judged by (CF1, CF3, CF4)."""
     row = lambda family, df, setting: df.select(F.lit(family).alias("family"), "variant", setting.alias("setting"))
     both = F.concat_ws("/", F.col("keywords").cast("string"), F.col("summaries").cast("string"))
-    return row("retrieval", runs.retrieval_variants(spark), F.col("search_mode")).union(row("reranking", runs.reranking_variants(spark), F.col("reranking_mode"))).union(row("keywords", runs.keyword_variants(spark), both))
+    return row("retrieval", runs.retrieval_variants(spark), F.col("search_mode")).union(row("reranking", runs.reranking_variants(spark), F.col("reranking_mode"))).union(row("keywords", runs.keyword_variants(spark), both)).withColumn("items", F.lit(table(spark, sf_dir, "benchmark").count()))
 
 
 # ---------------------------------------------------------------- the evaluation's aggregate
@@ -279,27 +279,21 @@ def contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.contributions(j)
 
 
-@query(f"""WITH {ROWS}, a AS (SELECT CASE WHEN query_id % 2 = 0 THEN 'base' ELSE 'over' END AS variant, round(avg(mrr), 6) AS mrr, round(avg(ms), 6) AS ms FROM r GROUP BY 1)
-SELECT variant, mrr, ms, row_number() OVER (ORDER BY mrr DESC, ms, variant) = 1 AS wins FROM a""")
-def variant_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants applied to the queries, each evaluated, and which wins (CF2, CF5, CF9, CF10, AG29)."""
-    found = evaluated(spark, sf_dir).select("query_id", "rank", "rel")
-    rows = ev.query_metrics(found, found.select("query_id").distinct().withColumn("expected", F.lit(1)), 5)
-    i = F.col("query_id")
-    v = rows.groupBy(F.when(i % 2 == 0, "base").otherwise("over").alias("variant")).agg(F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg((i * 7 % 13).cast("double")), 6).alias("ms"))
-    best = ev.winner(v, [F.col("mrr").desc(), F.col("ms"), F.col("variant")]).select("variant", F.lit(True).alias("first"))
-    return v.join(F.broadcast(best), "variant", "left").select("variant", "mrr", "ms", F.coalesce("first", F.lit(False)).alias("wins"))
-
-
-@query(f"""WITH {ROWS}, a AS (SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS stage, avg(hit) AS hit, avg(mrr) AS mrr FROM r GROUP BY 1)
-SELECT stage || '.' || metric AS metric, round(value, 6) AS value FROM (UNPIVOT a ON hit, mrr INTO NAME metric VALUE value)""")
+@query(f"""WITH {JUDGED}, u AS (SELECT query_id, rel, rank FROM j QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1),
+v AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM u),
+a AS (SELECT 'retrieved' AS stage, query_id, rel, rank FROM j UNION ALL SELECT 'deduplicated', query_id, rel, rank FROM v),
+z AS (SELECT stage, query_id, max(rel)::DOUBLE AS hit, coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0.0) AS mrr FROM a GROUP BY ALL),
+m AS (SELECT stage, avg(hit) AS hit, avg(mrr) AS mrr FROM z GROUP BY stage)
+SELECT stage || '.' || metric AS metric, round(value, 6) AS value FROM (UNPIVOT m ON hit, mrr INTO NAME metric VALUE value)""")
 def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages' aggregates as rows named "stage.metric" (AG31, AG38, AG39, PF15, SK21)."""
-    found = evaluated(spark, sf_dir).select("query_id", "rank", "rel")
-    rows = ev.query_metrics(found, found.select("query_id").distinct().withColumn("expected", F.lit(1)), 5)
+    """Aggregates of retrieval and of the deduplication by source behind it, as rows named
+    "stage.metric" (AG31, AG38, AG39, PF15, SK21)."""
+    found = judged(spark, sf_dir).select("query_id", "rank", "rel", "source")
+    stages = {"retrieved": found.drop("source"), "deduplicated": ev.unique_by(found, F.col("source")).select("query_id", "rank", "rel")}
     out = None
-    for name, k in (("even", 0), ("odd", 1)):
-        part = ev.long_form(ev.totals_of(rows.where(F.col("query_id") % 2 == k)), ["hit", "mrr"]).select(F.concat(F.lit(f"{name}."), "metric").alias("metric"), F.round("value", 6).alias("value"))
+    for name, rows in stages.items():
+        each = ev.query_metrics(rows, rows.select("query_id").distinct().withColumn("expected", F.lit(1)), 5)
+        part = ev.long_form(ev.totals_of(each), ["hit", "mrr"]).select(F.concat(F.lit(f"{name}."), "metric").alias("metric"), F.round("value", 6).alias("value"))
         out = part if out is None else out.union(part)
     return out
 
