@@ -93,7 +93,7 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 parts = sentences(text or "")
                 starts = boundaries(parts, window, percentile, size, embedder)
                 before: list[str] = []
-                for k, (lo, hi) in enumerate(zip(starts, starts[1:] + [len(parts)], strict=True)):
+                for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(parts)], strict=False)):
                     content = " ".join(parts[lo:hi])
                     words = content.split() if overlap_words else []
                     rows.append((doc, k, lo, hi - lo, " ".join([*before, content])))
