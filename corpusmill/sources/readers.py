@@ -121,6 +121,38 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("run", name).where(F.col("run").rlike(r"^[0-9].*_") & (F.col("query_count") > 0)).orderBy(F.col("run").desc())
 
 
-def read_records(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """JSON lines, blank lines skipped, up to a limit (SC19, TK12)."""
-    return spark.read.json(path).limit(limit)
+def read_records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """JSON lines, blank lines skipped, up to a limit if there is one (SC19, TK12)."""
+    rows = spark.read.json(path)
+    return rows if limit is None else rows.limit(limit)
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset file by what it holds: golden queries, golden conversations, or a list of records, of
+    which those with a query are kept; anything else is an error (SC17)."""
+    found = spark.read.json(path, multiLine=True)
+    if "golden_queries" in found.columns:
+        return read_golden(spark, path)
+    if "golden_conversations" in found.columns:
+        return read_conversations(spark, path)
+    if "query" not in found.columns:
+        raise ValueError(f"no dataset: {path}")
+    return found.where(F.trim(F.coalesce(F.col("query").cast("string"), F.lit(""))) != "")
+
+
+_MESSAGES = "array<struct<role: string, content: string, timestamp: double>>"
+
+
+def normalized_history(raw: Column, now: Column) -> Column:
+    """struct<version, updated_at, messages> of a stored session, a JSON list of messages (version 1) or
+    an object with its own time (version 2); null for anything else (SC26).
+
+    A session without a time of its own takes the latest of ``now`` and its messages', whose times are
+    seconds or, beyond ten digits, milliseconds."""
+    is_list, is_object = F.ltrim(raw).startswith("["), F.ltrim(raw).startswith("{")
+    given = F.from_json(F.when(is_list, raw).otherwise(F.get_json_object(raw, "$.messages")), _MESSAGES)
+    messages = F.filter(F.coalesce(given, F.array().cast(_MESSAGES)), lambda m: m.isNotNull())
+    seconds = F.transform(messages, lambda m: F.floor(F.when(m["timestamp"] > 10_000_000_000, m["timestamp"] / 1000).otherwise(m["timestamp"])))
+    own = F.when(is_object, F.floor(F.get_json_object(raw, "$.updated_at").try_cast("double")))
+    updated = F.coalesce(own, F.greatest(now, F.array_max(seconds))).cast("long")
+    return F.when(is_list | is_object, F.struct(F.lit(2).alias("version"), updated.alias("updated_at"), messages.alias("messages")))
