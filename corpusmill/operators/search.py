@@ -107,7 +107,9 @@ def question_search(queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     from ..functions.text import plain_tokens
 
     q = queries.select("query_id", F.array_distinct(plain_tokens(F.col("query"))).alias("qt")).select("query_id", F.size("qt").alias("nb"), F.explode("qt").alias("token"))
-    a = asked.select("doc_id", F.lower("question").alias("question"), "quality", F.array_distinct(plain_tokens(F.col("question"))).alias("at")).select("doc_id", "question", "quality", F.size("at").alias("nq"), F.explode("at").alias("token"))
+    # a question that a document has twice counts once
+    once = asked.groupBy("doc_id", F.lower("question").alias("question")).agg(F.max("quality").alias("quality"))
+    a = once.select("doc_id", "question", "quality", F.array_distinct(plain_tokens(F.col("question"))).alias("at")).select("doc_id", "question", "quality", F.size("at").alias("nq"), F.explode("at").alias("token"))
     shared = q.join(a, "token").groupBy("query_id", "doc_id", "question", "quality", "nb", "nq").agg(F.count("*").alias("o"))
     scored = shared.withColumn("score", F.round(0.7 * F.col("o") / F.col("nb") + 0.3 * F.col("o") / F.col("nq") + 0.05 * F.col("quality"), 6))
     once = Window.partitionBy("query_id", "question").orderBy(F.col("score").desc(), "doc_id")

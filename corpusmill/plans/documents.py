@@ -309,10 +309,13 @@ def label_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("n", F.row_number().over(w)).where("n = 1").select("item_id", "doc_id", "overlap")
 
 
-@query("""SELECT item_id, CASE WHEN contains(lower(text), '.pdf') OR contains(lower(text), '.md') OR contains(lower(text), 'src1') THEN 'leak'
- WHEN len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(left(text, 80)), '[a-z0-9]+'))))::DOUBLE / nullif(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), 0) > 0.8 THEN 'copied' ELSE 'accepted' END AS reason FROM benchmark""")
+@query("""WITH b AS (SELECT b.item_id, b.text, n.text AS evidence FROM benchmark b LEFT JOIN benchmark n ON n.item_id = b.item_id + 1),
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(coalesce(evidence, text)), '[a-z0-9]+')) AS e FROM b)
+SELECT item_id, CASE WHEN contains(lower(text), '.pdf') OR contains(lower(text), '.md') OR contains(lower(text), 'src1') THEN 'leak' WHEN len(q) > 0 AND len(e) > 0 AND len(list_intersect(q, e))::DOUBLE / len(q) > 0.8 THEN 'copied' ELSE 'accepted' END AS reason FROM t""")
 def synthetic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a made-up question would be turned down (PF7-PF9)."""
-    t = F.col("text")
-    why = F.when(tx.leaks_source(t, F.lit("src1.pdf")), "leak").when(tx.looks_copied(t, F.substring(t, 1, 80)), "copied").otherwise("accepted")
-    return table(spark, sf_dir, "benchmark").select("item_id", why.alias("reason"))
+    """Why a made-up question would be turned down, held against the next item (the last against itself)
+    (PF7-PF9)."""
+    t, b = F.col("text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("evidence")), "item_id", "left")
+    why = F.when(tx.leaks_source(t, F.lit("src1.pdf")), "leak").when(tx.looks_copied(t, F.coalesce("evidence", t)), "copied").otherwise("accepted")
+    return b.select("item_id", why.alias("reason"))

@@ -36,13 +36,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH n AS (SELECT doc_id, text, {normal("text")} AS t, {NAMED} AS name FROM documents)
 SELECT doc_id, {HASH16.format(x="t")} AS hash, CAST(length(t) AS BIGINT) AS chars, round(length(t)::DOUBLE / greatest(1, length(text)), 6) AS density,
 CASE WHEN len(string_split(t, ' ')) >= 120 THEN 'hard' WHEN len(string_split(t, ' ')) >= 60 THEN 'medium' ELSE 'easy' END AS difficulty,
-regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_md5,
 CASE WHEN name LIKE '%.pdf' THEN 'pdf' WHEN name LIKE '%.md' THEN 'markdown' ELSE 'default' END AS kind FROM n""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised texts with hash and density, difficulty, slug and source kind (SF7, SF8, SF10, SF12, SF18, SF53)."""
     t = F.col("text")
     plain = tx.normalize_space(t)
-    return docs(spark, sf_dir).select("doc_id", misc.text_hash(t).alias("hash"), F.length(plain).cast("long").alias("chars"), F.round(tx.density(t, t), 6).alias("density"), tx.difficulty(F.size(F.split(plain, " "))).alias("difficulty"), tx.slugify(F.substring(t, 1, 40)).alias("slug"), tx.source_kind(file_name()).alias("kind"))
+    return docs(spark, sf_dir).select("doc_id", misc.text_hash(t).alias("hash"), F.length(plain).cast("long").alias("chars"), F.round(tx.density(t, t), 6).alias("density"), tx.difficulty(F.size(F.split(plain, " "))).alias("difficulty"), F.md5(tx.slugify(t)).alias("slug_md5"), tx.source_kind(file_name()).alias("kind"))
 
 
 @query(r"""WITH k AS (SELECT doc_id, text, CASE WHEN instr(lower(text), 'thin') > 0 THEN instr(lower(text), 'thin') ELSE nullif(instr(lower(text), 'ver'), 0) END AS place, CASE WHEN instr(lower(text), 'thin') > 0 THEN 4 ELSE 3 END AS n FROM documents),
@@ -193,7 +193,7 @@ def boundary_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("conv_id", "turn", F.size("h").cast("long").alias("hints"), F.aggregate("h", F.lit(0).cast("long"), lambda n, x: n + x["at"]).alias("places"))
 
 
-ANSWER = "CASE turn % 4 WHEN 0 THEN ' Treatment | ' || left(text, 9) WHEN 1 THEN 'nonsense' WHEN 2 THEN NULL ELSE 'risk_factor|a|b' END"
+ANSWER = "CASE turn % 4 WHEN 0 THEN ' Treatment | ' || text WHEN 1 THEN 'nonsense' WHEN 2 THEN NULL ELSE 'risk_factor|a|b' END"
 
 
 @query(f"""WITH a AS (SELECT conv_id, turn, {ANSWER} AS a FROM conversations), p AS (SELECT *, lower(trim(string_split(a, '|')[1])) AS t, instr(a, '|') AS bar FROM a)
@@ -202,17 +202,17 @@ CASE WHEN a IS NULL THEN 'LLM classification failed, defaulting to definition' W
 def classified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model's answer says of a question's class (UD19)."""
     k = F.col("turn") % 4
-    answer = F.when(k == 0, F.concat(F.lit(" Treatment | "), F.left("text", F.lit(9)))).when(k == 1, "nonsense").when(k == 3, "risk_factor|a|b")
+    answer = F.when(k == 0, F.concat(F.lit(" Treatment | "), F.col("text"))).when(k == 1, "nonsense").when(k == 3, "risk_factor|a|b")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", qs.classify_answer(answer).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query(r"""WITH q AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'What is ' ELSE 'define explain ' END || left(text, 30) AS q, text FROM conversations)
+@query(r"""WITH q AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'What is ' ELSE 'define explain ' END || text AS q, text FROM conversations)
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(q), '^(?i:what is )', ''), '^(?i:define )', ''), '^(?i:explain )', ''), '^(?i:meaning of )', '')) AS bare,
 left(text, 100) AS query, length(text) > 100 AS cut, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 50), ' ') AS words, CASE WHEN turn % 2 = 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS boost FROM q""")
 def question_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions without their lead, cut, in few words, with a table's boost (SF35, SF36, SF54, SF55, SF57)."""
     t = F.col("text")
-    q = F.concat(F.when(F.col("turn") % 3 == 0, "What is ").otherwise("define explain "), F.left(t, F.lit(30)))
+    q = F.concat(F.when(F.col("turn") % 3 == 0, "What is ").otherwise("define explain "), t)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", qs.strip_definition(q).alias("bare"), misc.cut_query(t, 100).alias("c"), misc.first_words(t, F.lit(10)).alias("words"), misc.table_boost(F.lit("table"), F.when(F.col("turn") % 2 == 0, "reference_range").otherwise("other")).alias("boost")).select("conv_id", "turn", "bare", "c.query", "c.cut", "words", "boost")
 
 

@@ -79,12 +79,12 @@ def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ALL_DOCS}, {BM25},
-kw AS (SELECT DISTINCT doc_id, lower(trim(k)) AS kw FROM (SELECT doc_id, unnest(list_slice(string_split_regex(text, '\\s+'), 1, 8)) AS k FROM documents)),
+kw AS (SELECT DISTINCT doc_id, lower(trim(k)) AS kw FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS k FROM documents)),
 m AS (SELECT query_id, doc_id, count(*) AS n FROM q JOIN kw ON q.token = kw.kw GROUP BY ALL)
 SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(bm25 * 0.5 * coalesce(n, 0), 6) AS bonus FROM s LEFT JOIN m USING (query_id, doc_id)""")
 def keyword_bonus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base scores and what extracted keywords (here: a text's first eight words) add."""
-    kw = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", r"\s+"), 1, 8).alias("keywords"))
+    """Base scores and what extracted keywords (here: all words of a text) add."""
+    kw = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("keywords"))
     q = items(spark, sf_dir)
     out = keyword_bonus(all_scores(spark, sf_dir), q, kw)
     return out.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("bonus", 6).alias("bonus"))
@@ -176,7 +176,7 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank(both, F.round(tx.jaccard(tx.plain_tokens(F.col("query")), tx.plain_tokens(F.col("text"))), 6), 5, 0.02).select("query_id", "doc_id", "rerank_score", "rerank_rank")
 
 
-@query(f"""WITH h AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS question FROM documents),
+@query(f"""WITH h AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS question FROM documents),
 t AS (SELECT doc_id, question, list_distinct({TOKENS.format(c="question")}) AS qt FROM h WHERE length(question) > 10),
 b AS (SELECT item_id, list_distinct({TOKENS.format(c="text")}) AS bt FROM benchmark),
 x AS (SELECT item_id AS query_id, doc_id, question, len(list_intersect(qt, bt)) AS o, len(qt) AS nq, len(bt) AS nb FROM b, t),
@@ -184,10 +184,10 @@ s AS (SELECT query_id, doc_id, lower(question) AS question, round(0.7 * o / nb +
 d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, question ORDER BY score DESC, doc_id) = 1)
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM d QUALIFY rank <= 5""")
 def hype_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hypothetical questions (here: first lines) by coverage and precision of tokens (TK10)."""
+    """Hypothetical questions (here: the lines of a text) by coverage and precision of tokens (TK10)."""
     from ..operators.search import question_search
 
-    asked = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.element_at(F.split("text", "\n"), 1)).alias("question"), F.lit(1.0).alias("quality")).where(F.length("question") > 10)
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("question"), F.lit(1.0).alias("quality")).where(F.length("question") > 10)
     return question_search(items(spark, sf_dir), asked, 5)
 
 
