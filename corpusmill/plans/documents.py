@@ -121,7 +121,29 @@ def l0_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_counts(table(spark, sf_dir, "pages"), F.sha2("html", 256))
 
 
-@query()
+#: SQL: the pages' figures, as x(page_id, html, visible, markdown, nav_links, headings, list_items,
+#: questions, blocks). It holds for pages as the tables have them: lists and links in the navigation
+#: alone, one article with a heading and paragraphs, of which some are never closed and so hold those
+#: behind them. A paragraph ends where the depth of open paragraphs falls below its own.
+PAGES = r"""raw AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '<style>.*?</style>|<script>.*?</script>|<nav>.*?</nav>|<!--.*?-->|<footer>.*$', '', 'gs') AS body FROM pages),
+tok AS (SELECT page_id, i, t[i] AS t FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(body, '<[^>]*>|[^<]+') AS t FROM raw))),
+txt AS MATERIALIZED (SELECT page_id, i, trim(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), E' \n\t\r') AS x FROM tok WHERE t NOT LIKE '<%'),
+vis AS (SELECT page_id, string_agg(x, chr(10) ORDER BY i) AS visible, count(*) FILTER (WHERE x LIKE '%?') AS questions FROM txt WHERE x <> '' GROUP BY page_id),
+art AS (SELECT page_id, min(i) AS a FROM tok WHERE t = '<article>' GROUP BY page_id),
+dep AS MATERIALIZED (SELECT page_id, i, t, sum(CASE t WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS d FROM tok JOIN art USING (page_id) WHERE i > a),
+par AS (SELECT o.page_id, o.i, min(c.i) AS z FROM dep o LEFT JOIN dep c ON c.page_id = o.page_id AND c.i > o.i AND c.d < o.d WHERE o.t = '<p>' GROUP BY ALL
+  UNION ALL SELECT o.page_id, -1, min(c.i) FROM dep o JOIN dep c ON c.page_id = o.page_id AND c.i > o.i AND c.t = '</h1>' WHERE o.t = '<h1>' GROUP BY ALL),
+hd AS (SELECT page_id, i FROM dep WHERE t = '<h1>'),
+blk AS MATERIALIZED (SELECT par.page_id, par.i, string_agg(x, ' ' ORDER BY txt.i) AS t FROM par LEFT JOIN hd ON hd.page_id = par.page_id JOIN txt ON txt.page_id = par.page_id AND txt.i > CASE WHEN par.i = -1 THEN hd.i ELSE par.i END AND txt.i < coalesce(z, 1000000000) WHERE x <> '' GROUP BY ALL),
+md AS (SELECT page_id, string_agg(CASE WHEN i = -1 THEN '# ' ELSE '' END || t, chr(10) || chr(10) ORDER BY i) AS markdown, count(*) AS blocks, count(*) FILTER (WHERE i = -1) AS headings FROM blk GROUP BY page_id),
+x AS (SELECT raw.page_id, html, coalesce(visible, '') AS visible, coalesce(markdown, '') AS markdown, len(regexp_extract_all(html, '<a ')) AS nav_links, coalesce(headings, 0) AS headings, coalesce(questions, 0) AS questions, coalesce(blocks, 0) AS blocks,
+  CASE WHEN coalesce(questions, 0) >= 2 THEN 'faq' WHEN len(regexp_extract_all(html, '<a ')) >= 15 AND length(coalesce(visible, '')) < 5000 THEN 'navigation-heavy' ELSE 'article' END AS page_type FROM raw LEFT JOIN vis USING (page_id) LEFT JOIN md USING (page_id))"""
+#: SQL: occurrences of furniture words in a text by its characters.
+FURNITURE = "((" + " + ".join(f"(length(lower({{c}})) - length(replace(lower({{c}}), '{t}', ''))) // {len(t)}" for t in tx.PAGE_TERMS) + ")::DOUBLE / greatest(1, length({c})))"
+
+
+@query(f"""WITH {PAGES} SELECT page_id, page_type, nav_links::INTEGER AS nav_links, headings::INTEGER AS headings, 0::INTEGER AS list_items, questions::INTEGER AS questions, blocks::INTEGER AS blocks, length(markdown)::INTEGER AS markdown_chars,
+trim(markdown) = '' OR page_type = 'navigation-heavy' OR length(trim(regexp_replace(markdown, '\\s+', ' ', 'g')))::DOUBLE / greatest(1, length(html)) < 0.02 OR {FURNITURE.format(c="markdown")} > 0.02 OR (headings = 0 AND length(markdown) > 250) AS fallback FROM x""")
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, page type and fallback decision of every page (TV10-TV13, PF13)."""
     p = table(spark, sf_dir, "pages")
@@ -130,7 +152,7 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("page_type", kind).select("page_id", "page_type", "nav_links", "headings", "list_items", "questions", F.size("blocks").alias("blocks"), F.length("markdown").alias("markdown_chars"), html.needs_fallback(F.col("markdown"), F.col("page_type"), F.col("html")).alias("fallback"))
 
 
-@query()
+@query(f"""WITH {PAGES} SELECT page_type, count(*) AS pages, round(avg(length(markdown)::DOUBLE / greatest(1, length(visible))), 6) AS retention, round(avg(length(visible)::DOUBLE / greatest(1, length(html))), 6) AS density, round(avg({FURNITURE.format(c="markdown")}), 6) AS boilerplate FROM x GROUP BY page_type""")
 def html_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page audit by type: retention, density and furniture (AG19)."""
     x = html.extract(table(spark, sf_dir, "pages"))
