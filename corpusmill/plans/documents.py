@@ -203,7 +203,15 @@ def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "id", "chunk_index", "previous_chunk_id", "next_chunk_id", "section_sibling_rank", "source_type")
 
 
-@query()
+#: SQL: the same of the paragraphs of every page, as documents of their own numbers.
+BLOCK_CHUNKS = CHUNKS.replace(CHUNKS[: CHUNKS.index("\n")], "bl AS MATERIALIZED (SELECT page_id, i, t, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS b FROM blk),\nd AS (SELECT page_id * 100000 + b AS doc_id, 'page.html' AS source, t AS text, length(t) AS n FROM bl WHERE i <> -1),")
+BLOCK_HITS = " + ".join(f"(length(lower(t)) - length(replace(lower(t), '{w}', ''))) // {len(w)}" for w in tx.BLOCK_TERMS)
+
+
+@query(f"""WITH RECURSIVE {PAGES}, {BLOCK_CHUNKS}
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY b, a) - 1 AS INTEGER) AS chunk_index, 'paragraph' AS content_type, 'block_' || b AS parent_block_id, CAST(length(content) AS INTEGER) AS char_count,
+greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - CASE WHEN length(t) < 100 THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END - least(0.4::DOUBLE, ({BLOCK_HITS}) * 0.08::DOUBLE))) AS quality_score
+FROM c JOIN bl ON c.doc_id = page_id * 100000 + b""")
 def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the pages' structured blocks (TV5-TV8)."""
     x = html.extract(table(spark, sf_dir, "pages"))
