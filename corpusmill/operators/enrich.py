@@ -189,3 +189,12 @@ def judged(answers: DataFrame, judges: dict[str, Judge], thresholds: dict[str, f
     out = answers.select("query_id", "question", "context", "answer").mapInPandas(run, "query_id long, metric string, score double, reason string")
     least = F.element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col("metric"))
     return out.withColumn("passed", F.coalesce(F.col("score") >= least, F.lit(False))).select("query_id", "metric", "score", "passed", "reason")
+
+
+def expansions(queries: DataFrame, provider: DataFrame | None, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, term, expansion, source, relation): what a provider's table (term, expansion, source,
+    relation) has for the tokens of a query, each once; nothing without a provider (SF38, UD11)."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    if provider is None:
+        return asked.select("query_id", "term", *[F.lit(None).cast("string").alias(c) for c in ("expansion", "source", "relation")]).limit(0)
+    return asked.join(provider.select("term", "expansion", "source", "relation").distinct(), "term").select("query_id", "term", "expansion", "source", "relation")

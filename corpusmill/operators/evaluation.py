@@ -176,3 +176,12 @@ def contributions(docs: DataFrame) -> DataFrame:
     per = docs.groupBy("query_id").agg(F.max(F.col("exact").cast("int")).alias("exact"), *[F.max(F.col(n).isNotNull().cast("int")).alias(n) for n in names])
     one = per.agg(*[F.coalesce(F.sum(F.col("exact") * F.col(n)), F.lit(0)).alias(n) for n in names])
     return long_form(one, names).select(F.replace("metric", F.lit("_rank"), F.lit("_ranked_hits")).alias("ranking"), F.col("value").cast("long").alias("hits"))
+
+
+def latency_summary(runs: DataFrame, group: str, seconds: str, order: str, percentiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """(group, n, p50, p95, cold, warm, speed_up) of timed runs: percentiles by linear interpolation;
+    cold is the first run, warm the mean of the others, and the speed-up their ratio (AG37)."""
+    t, n = F.col(seconds), F.count(seconds)
+    cold = F.min_by(t, F.struct(order))
+    g = runs.where(t.isNotNull()).groupBy(group).agg(n.alias("n"), *[F.percentile(seconds, p).alias(f"p{round(p * 100)}") for p in percentiles], cold.alias("cold"), F.try_divide(F.sum(t) - cold, n - 1).alias("warm"))
+    return g.withColumn("speed_up", F.try_divide("cold", "warm"))

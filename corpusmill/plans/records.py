@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import misc
 from ..functions import text as tx
 from ..operators import dataset as ds
+from ..operators import enrich, html, runs
 from ..operators import evaluation as ev
-from ..operators import html, runs
+from ..operators.hashtree import differing_ranges, tree_hash
 from ..sources.writers import flatten_metadata
 from .base import query, table
 from .evaluation import JUDGED, judged
 from .fields import HASH16, normal
-from ..operators.hashtree import differing_ranges, tree_hash
-from .search import NAMED, file_name
+from .search import NAMED, TOKENS, file_name, items
 
 GOLDEN = "SELECT item_id AS query_id, text AS query, CASE item_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS label_confidence, CASE item_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'regression' END AS dataset_split FROM benchmark"
 
@@ -25,6 +26,14 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.col("text").alias("query"), sure.alias("label_confidence"), F.when(i % 3 == 0, "dev").when(i % 3 == 1, "test").otherwise("regression").alias("dataset_split"))
 
 
+#: SQL: the tree hash of rows l(line): leaves by two hex digits beyond 1024 different rows, then one
+#: node (as many as a table of up to 262,144 different rows has).
+TREE = """c AS (SELECT h, count(*) AS c FROM (SELECT sha256(line) AS h FROM l WHERE line IS NOT NULL) GROUP BY h),
+k AS (SELECT CASE WHEN count(*) > 1024 THEN 2 ELSE 0 END AS digits FROM c),
+leaf AS (SELECT left(h, digits) AS prefix, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS hash, sum(c) AS n FROM c, k GROUP BY 1),
+root AS (SELECT CASE WHEN max(digits) = 0 THEN max(hash) ELSE sha256(string_agg(prefix || ':' || hash, ',' ORDER BY prefix)) END AS hash, CAST(sum(n) AS BIGINT) AS n FROM leaf, k)"""
+
+
 @query(f"SELECT query_id, dataset_split FROM ({GOLDEN}) WHERE coalesce(label_confidence, 'medium') <> 'low' AND dataset_split = 'test'")
 def sure_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a split with some confidence at least (PF4)."""
@@ -110,14 +119,6 @@ def one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.by_id(d, "7", "doc_id").union(ds.by_id(d, "-7", "doc_id")).select("doc_id", "source")
 
 
-#: SQL: the tree hash of rows l(line): leaves by two hex digits beyond 1024 different rows, then one
-#: node (as many as a table of up to 262,144 different rows has).
-TREE = """c AS (SELECT h, count(*) AS c FROM (SELECT sha256(line) AS h FROM l WHERE line IS NOT NULL) GROUP BY h),
-k AS (SELECT CASE WHEN count(*) > 1024 THEN 2 ELSE 0 END AS digits FROM c),
-leaf AS (SELECT left(h, digits) AS prefix, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS hash, sum(c) AS n FROM c, k GROUP BY 1),
-root AS (SELECT CASE WHEN max(digits) = 0 THEN max(hash) ELSE sha256(string_agg(prefix || ':' || hash, ',' ORDER BY prefix)) END AS hash, CAST(sum(n) AS BIGINT) AS n FROM leaf, k)"""
-
-
 @query(f"WITH l AS (SELECT concat_ws('|', url, length(html)::VARCHAR, page_id::VARCHAR) AS line FROM pages), {TREE} SELECT hash, n FROM root")
 def folder_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of a folder's paths, sizes and times (AG33)."""
@@ -162,11 +163,37 @@ def ordered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", tx.content_hash(F.array_join(words, " ")).alias("hash"))
 
 
-@query("SELECT DISTINCT lang AS term, source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS relation FROM documents")
+@query(f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format(c="text")}) AS term FROM benchmark),
+p AS (SELECT DISTINCT term, role AS expansion, 'conversations' AS source, CASE WHEN turn = 0 THEN 'opening' ELSE 'later' END AS relation FROM (SELECT role, turn, unnest({TOKENS.format(c="text")}) AS term FROM conversations))
+SELECT query_id, term, expansion, source, relation FROM q JOIN p USING (term)""")
 def expansion_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expansions, each (term, source, relation) once (SO9, SF38, UD11)."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("lang").alias("term"), "source", F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("relation"), "doc_id").dropDuplicates(["term", "source", "relation"]).drop("doc_id")
+    """What a provider's table has for each item's tokens, each (term, source, relation) once (SO9, SF38,
+    UD11); the provider here: who uses a word in conversations, and when."""
+    words = table(spark, sf_dir, "conversations").select("role", "turn", F.explode(tx.plain_tokens(F.col("text"))).alias("term"))
+    provider = words.select("term", F.col("role").alias("expansion"), F.lit("conversations").alias("source"), F.when(F.col("turn") == 0, "opening").otherwise("later").alias("relation"))
+    return enrich.expansions(items(spark, sf_dir), provider, tx.plain_tokens)
+
+
+@query("""SELECT event_type, CAST(count(value) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(arg_min(value, event_id), 6) AS cold,
+round((sum(value) - arg_min(value, event_id)) / (count(value) - 1), 6) AS warm, round(arg_min(value, event_id) / ((sum(value) - arg_min(value, event_id)) / (count(value) - 1)), 6) AS speed_up FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of timed runs, the first run against the later ones (AG37)."""
+    found = ev.latency_summary(table(spark, sf_dir, "events"), "event_type", "value", "event_id")
+    return found.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "cold", "warm", "speed_up")])
+
+
+@query("""SELECT conv_id, turn, sha256(CAST(to_json({'answer': text, 'context': [role, 'turn'], 'metric': 'faithfulness', 'schema_version': 2, 'turn': turn}) AS VARCHAR)) AS cache_key FROM conversations""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of cached evaluations: the hash of nested values as JSON with sorted names (SU15, SU18)."""
+    c = table(spark, sf_dir, "conversations")
+    value = F.struct(F.col("text").alias("answer"), F.array("role", F.lit("turn")).alias("context"), F.lit("faithfulness").alias("metric"), F.lit(2).alias("schema_version"), "turn")
+    return c.select("conv_id", "turn", misc.identity_hash(value).alias("cache_key"))
+
+
+@query(f"WITH l AS (SELECT to_json({{'item_id': item_id, 'text': text}})::VARCHAR AS line FROM benchmark), {TREE} SELECT hash, n FROM root")
+def dataset_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of a dataset's records as JSON, whatever their order (SU12)."""
+    return tree_hash(table(spark, sf_dir, "benchmark"), F.to_json(F.struct("item_id", "text"))).select("hash", F.col("rows").alias("n"))
 
 
 @query("SELECT DISTINCT run FROM (SELECT event_type || '_' || (user_id % 3) AS run FROM events WHERE value > 50 UNION ALL SELECT 'latest_' || min(event_type) FROM events) ORDER BY run")

@@ -107,18 +107,12 @@ def sessions(events: DataFrame, at: str, gap: str, key: str) -> DataFrame:
     return events.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def incremental_index(stream: DataFrame, path: str, hash_col: str, checkpoint: str):
-    """Insert only unseen contents of a stream into the Parquet table at ``path`` (ST5). A batch that
-    runs again finds its rows there and adds none."""
+def incremental_index(stream: DataFrame, path: str, hash_col: str, checkpoint: str, digits: int = 2):
+    """Insert only unseen contents of a stream into the hash-partitioned store at ``path`` (ST5). A batch
+    reads the partitions of its own hashes; one that runs again finds its rows there and adds none."""
+    from ..sources.store import HashStore
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([hash_col])
-        spark = batch.sparkSession
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(hash_col), hash_col, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+        HashStore(batch.sparkSession, path, key=hash_col, digits=digits).insert_new(batch, hash_col)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -177,3 +177,21 @@ def test_generation_meets_its_quota_or_says_why(spark):
     assert len(failed) == 8 and {r["reason"] for r in failed} == {"ConnectionError"}
     none = generate.generate_questions(df.limit(0), "lang", "id", "text", "source", quota=2)
     assert none.count() == 0
+
+
+def test_expansions_need_a_provider(spark):
+    from corpusmill.functions.text import plain_tokens
+
+    q = spark.createDataFrame([(1, "statin dose"), (2, None)], "query_id long, query string")
+    table = spark.createDataFrame([("statin", "hmg", "x", "class")] * 2 + [("other", "y", "x", "class")], "term string, expansion string, source string, relation string")
+    assert [tuple(r) for r in enrich.expansions(q, table, plain_tokens).collect()] == [(1, "statin", "hmg", "x", "class")]
+    assert enrich.expansions(q, None, plain_tokens).count() == 0
+
+
+def test_first_runs_are_cold(spark):
+    from corpusmill.operators.evaluation import latency_summary
+
+    runs = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 6.0), ("a", 3, 2.0), ("b", 1, 4.0), ("c", 1, None)], "g string, k int, s double")
+    got = {r["g"]: r for r in latency_summary(runs, "g", "s", "k").collect()}
+    assert set(got) == {"a", "b"} and got["a"]["speed_up"] == 4.0 and got["a"]["p50"] == 2.0
+    assert got["b"]["warm"] is None and got["b"]["speed_up"] is None
