@@ -10,7 +10,9 @@ training leaves out.
 Prediction reads whole texts. Null texts and texts without a letter give language ``und`` with
 score 0. Rows with a null label are predicted, never learned from. Repeated rows get equal
 predictions. Without labelled rows every text is ``und``; a single label is always predicted, with
-score 1. Only id, text and (in training) label are read; other names do not matter.
+score 1. Texts of any length are read whole; the memory of a worker follows its longest text. Equal
+margins go to the first label in order. An empty table gives an empty result. Only id, text and (in
+training) label are read; input columns named lang_pred or score give way to those of the result.
 """
 
 from __future__ import annotations
@@ -209,7 +211,10 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with two columns more: lang_pred and score."""
+    """``docs`` with two columns more, lang_pred and score, in place of input columns of those names."""
+    if text_col in ("lang_pred", "score"):  # the text itself is named so
+        docs, text_col = docs.withColumn("__text", F.col(text_col)), "__text"
+    docs = docs.drop("lang_pred", "score")
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     cols = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
@@ -222,7 +227,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return plain.mapInArrow(run, schema).toDF(*cols, "lang_pred", "score")
+    return plain.mapInArrow(run, schema).toDF(*cols, "lang_pred", "score").drop("__text")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:

@@ -13,8 +13,11 @@ two rates. Seed entries may be given besides.
 
 Whole texts are read. Null and empty texts score the curve's value at no match. Rows without a label
 are scored, never learned from; a document with several labels is toxic if any says so. Repeated
-rows score alike. Without labels of both kinds, the seeds alone count. Only id, text (and, in
-training, the labels' id and mark) are read; other names do not matter.
+rows score alike. Without labels of both kinds, the seeds alone count. Texts of any length are read
+whole; the memory of a worker follows its longest text. Of entries that begin at one place the
+heaviest counts, of equally heavy ones the first found. An empty table gives an empty result. Only
+id, text (and, in training, the labels' id and mark) are read; an input column named toxicity gives
+way to that of the result.
 """
 
 from __future__ import annotations
@@ -219,7 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column more: toxicity, from 0 to 1."""
+    """``docs`` with a column more: toxicity, from 0 to 1, in place of an input column of that name."""
+    if text_col == "toxicity":  # the text itself is named so
+        docs, text_col = docs.withColumn("__text", F.col(text_col)), "__text"
+    docs = docs.drop("toxicity")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
@@ -231,4 +237,4 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, "toxicity"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("toxicity", T.DoubleType())])
-    return plain.mapInArrow(run, schema).toDF(*cols, "toxicity")
+    return plain.mapInArrow(run, schema).toDF(*cols, "toxicity").drop("__text")

@@ -109,3 +109,33 @@ def test_languages_share_the_rows(spark):
     model = langid.train(df, learn=F.lit(True), max_rows=400)
     got = langid.predict(df.select("doc_id", "text"), model).join(df.select("doc_id", "lang"), "doc_id")
     assert got.where("lang_pred = lang").count() > 780
+
+
+def test_names_that_clash_with_results(spark):
+    rows = [(k, "plain words of text" if k % 2 else "autre texte ici", "en" if k % 2 else "fr", 0.5, "x") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.train(df, learn=F.lit(True))
+    got = langid.predict(df, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.where("lang_pred = lang").count() == 40
+    as_text = langid.predict(df.select("doc_id", F.col("text").alias("score")), model, "score")
+    assert as_text.columns == ["doc_id", "lang_pred", "score"] and as_text.where("lang_pred IN ('en', 'fr')").count() == 40
+    toxic = toxicity.ToxicityModel({" words ": 5.0})
+    scored = toxicity.score(df.withColumn("toxicity", F.lit("old")), toxic)
+    assert scored.columns == [*df.columns, "toxicity"] and dict(scored.dtypes)["toxicity"] == "double"
+    named = toxicity.score(df.select("doc_id", F.col("text").alias("toxicity")), toxic, "toxicity")
+    assert named.columns == ["doc_id", "toxicity"] and named.where("toxicity > 0.5").count() == 20
+
+
+def test_stage_folders_do_not_stay(spark, tmp_path):
+    import glob
+
+    import corpus_pipeline
+    from corpusmill.llm.common import shared_dir
+
+    rows = [(k, f"some words of text number {k} " * 3, "en", f"s{k % 2}", 60) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this occurs")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/stage-*"))
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/stage-*")) - before
+    assert len(left) == 1 and "stage-mixing" in left.pop()
