@@ -25,9 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application's own tables go to."""
+    return f"{shared_dir(spark)}/corpusmill-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, uri: str):
+    """(filesystem, path) of Hadoop for a URI."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written for itself; results that still read them
+    can be read no more."""
+    fs, p = _path(spark, session_dir(spark))
+    fs.delete(p, True)
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read again: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -36,20 +56,23 @@ def files_of(df: DataFrame) -> tuple[str, ...]:
     """The input files of a table with their sizes and times: what tells whether a stored result of
     it still holds."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for name in sorted(df.inputFiles()):
-        p = jvm.org.apache.hadoop.fs.Path(name)
-        s = p.getFileSystem(conf).getFileStatus(p)
+        fs, p = _path(spark, name)
+        s = fs.getFileStatus(p)
         out.append(f"{name}|{s.getLen()}|{s.getModificationTime()}")
     return tuple(out)
 
 
 def kept(spark: SparkSession, name: str, source: DataFrame, write: Callable[[str], None]) -> str:
-    """The path of what ``write`` stores for these input files; written once in a session."""
+    """The path of what ``write`` stores for these input files; written once in a session, and again if
+    it has gone."""
     key = (spark.sparkContext.applicationId, name, *files_of(source))
-    if key not in _KEPT:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        write(path)
-        _KEPT[key] = path
-    return _KEPT[key]
+    if key in _KEPT:
+        fs, p = _path(spark, _KEPT[key])
+        if fs.exists(p):
+            return _KEPT[key]
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    _KEPT[key] = path
+    return path

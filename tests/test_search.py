@@ -73,3 +73,24 @@ def test_fusion_without_queries(spark):
     base = spark.createDataFrame([(1, 0.1, [1.0])], "doc_id long, prior double, embedding array<double>")
     none = spark.createDataFrame([], "query_id long, doc_id long, k double, prior double")
     assert fused_top(base, none, spark.createDataFrame([], "query_id long, vector array<double>"), 3).count() == 0
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    from corpusmill.sources import shared
+
+    src = str(tmp_path / "src")
+    spark.range(3).write.parquet(src)
+    calls = []
+
+    def write(path):
+        calls.append(path)
+        spark.range(1).write.parquet(path)
+
+    one = shared.kept(spark, "x", spark.read.parquet(src), write)
+    assert shared.kept(spark, "x", spark.read.parquet(src), write) == one and len(calls) == 1
+    assert shared.kept(spark, "y", spark.read.parquet(src), write) != one  # another name
+    spark.range(5).write.mode("append").parquet(src)  # other files
+    assert shared.kept(spark, "x", spark.read.parquet(src), write) != one and len(calls) == 3
+    shared.release(spark)
+    again = shared.kept(spark, "x", spark.read.parquet(src), write)
+    assert again not in calls[:3] and spark.read.parquet(again).count() == 1
