@@ -85,8 +85,8 @@ def ranges_audit(ranges: DataFrame) -> DataFrame:
     return ranges.agg(n.alias("rows"), F.avg(full.cast("int")).alias("complete"), (n - F.count_distinct("test_name")).alias("repeated_names"), F.avg(F.col("normal_range").rlike(r"\d").cast("int")).alias("parseable"))
 
 
-def directory_hash(files: DataFrame) -> DataFrame:
+def directory_hash(files: DataFrame, most: int | None = None) -> DataFrame:
     """One hash of all paths, sizes and times, and their number (AG33)."""
     from .hashtree import tree_hash
 
-    return tree_hash(files, F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")))
+    return tree_hash(files, F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")), most)

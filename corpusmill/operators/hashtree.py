@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 LEAF_ROWS = 1024
 
 
-def leaf_digits(n: int) -> int:
-    """Hex digits of the leaves' prefixes for ``n`` different rows: two more for every 256 times."""
+def leaf_digits(n: int, most: int | None = None) -> int:
+    """Hex digits of the leaves' prefixes for ``n`` different rows: two more for every 256 times, up to
+    ``most``, with which leaves grow beyond."""
     digits = 0
-    while n > LEAF_ROWS * 16**digits:
+    while n > LEAF_ROWS * 16**digits and (most is None or digits < most):
         digits += 2
     return digits
 
@@ -28,26 +29,26 @@ def _joined(*cols: str) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.concat_ws(":", *[r[c] for c in cols])), ","), 256)
 
 
-def leaves(rows: DataFrame, line: Column, digits: int | None = None) -> tuple[DataFrame, int]:
+def leaves(rows: DataFrame, line: Column, digits: int | None = None, most: int | None = None) -> tuple[DataFrame, int]:
     """(prefix, hash, rows) of the leaves of a table whose rows are ``line``, and their digits."""
     counted = rows.groupBy(F.sha2(line, 256).alias("h")).agg(F.count("*").alias("c"))
     if digits is None:
-        digits = leaf_digits(counted.count())
+        digits = leaf_digits(counted.count(), most)
     return counted.groupBy(F.left("h", F.lit(digits)).alias("prefix")).agg(_joined("h", "c").alias("hash"), F.sum("c").alias("rows")), digits
 
 
-def tree_hash(rows: DataFrame, line: Column) -> DataFrame:
+def tree_hash(rows: DataFrame, line: Column, most: int | None = None) -> DataFrame:
     """One row (hash, rows) for the whole table; that of an empty table is the hash of nothing."""
-    nodes, digits = leaves(rows, line)
+    nodes, digits = leaves(rows, line, most=most)
     while digits > 0:
         digits -= 2
         nodes = nodes.groupBy(F.left("prefix", F.lit(digits)).alias("prefix")).agg(_joined("prefix", "hash").alias("hash"), F.sum("rows").alias("rows"))
     return nodes.agg(F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("hash"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
 
-def differing_ranges(a: DataFrame, b: DataFrame, line: Column) -> DataFrame:
+def differing_ranges(a: DataFrame, b: DataFrame, line: Column, most: int | None = None) -> DataFrame:
     """(prefix, rows_a, rows_b) of the leaves in which two tables differ."""
-    left, digits = leaves(a, line)
+    left, digits = leaves(a, line, most=most)
     right, _ = leaves(b, line, digits)
     both = left.withColumnsRenamed({"hash": "hash_a", "rows": "rows_a"}).join(right.withColumnsRenamed({"hash": "hash_b", "rows": "rows_b"}), "prefix", "full")
     return both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("prefix", F.coalesce("rows_a", F.lit(0)).alias("rows_a"), F.coalesce("rows_b", F.lit(0)).alias("rows_b"))
