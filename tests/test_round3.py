@@ -29,3 +29,10 @@ def test_hash_trees_of_large_tables_have_the_leaves_of_their_sql(spark, tmp_path
     assert hashtree.leaf_digits(3000) == 4 and hashtree.leaf_digits(3000, records.TREE_DIGITS) == 2
     got, want = same_as_sql(spark, tmp_path, name, documents=docs)
     assert got == want
+
+
+def test_page_types_keep_references_without_a_semicolon(spark, tmp_path):
+    page = "<html><body><nav><a href='/a'>a</a></nav><article><h1>a &amp;&amp; b&amp</h1><p>c &lt d &lt; e & f&amp</p></article></body></html>"
+    pages = spark.createDataFrame([(1, page), (2, page.replace("&amp", "&am"))], "page_id long, html string")
+    got, want = same_as_sql(spark, tmp_path, "page_types", pages=pages)
+    assert got == want
