@@ -41,7 +41,7 @@ def test_page_types_keep_references_without_a_semicolon(spark, tmp_path):
 ASKED = ["Doíó osja", "isé it", "Normal\u0085 range", "the normal\r value", "noſmal normal riſk factor", "a\x0bvs\x0bb", "a\tvs\tb", " compare normal values", "compare normal range", "what is\nhdl", "symptomés", "ésymptoms", None, ""]
 
 
-@pytest.mark.parametrize("name", ["query_classify"])
+@pytest.mark.parametrize("name", ["query_classify", "route_params"])
 def test_classes_follow_ascii_words(spark, tmp_path, name):
     rows = [(k, 0, "user", t) for k, t in enumerate(ASKED)]
     got, want = same_as_sql(spark, tmp_path, name, conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
