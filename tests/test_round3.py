@@ -1,9 +1,11 @@
 """What the third review found, on small tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.llm import ann
 from corpusmill.operators import hashtree
 from corpusmill.plans import records
 from corpusmill.plans.catalog import ORACLES, QUERIES
@@ -52,3 +54,19 @@ def test_summary_counts_what_is_missing_alone(spark, tmp_path):
     rows = [(k, "a" if k % 2 else "b", v) for k, v in enumerate([1.0, 0.0, None, 0.0, 2.5, 3.0, 0.0, 4.0, 5.0, None, 6.0])] + [(99, "none", None)]
     got, want = same_as_sql(spark, tmp_path, "summary_stats", events=spark.createDataFrame(rows, "event_id long, event_type string, value double"))
     assert got == want
+
+
+def test_neighbours_are_found_where_codes_tell_little(spark):
+    # 61 components make one part of 256 codes: a hundred rows of each block's order hold few of the nearest
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(4000, 61)) @ rng.normal(size=(61, 61))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, k=5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    q = np.arange(0, 4000, 50)
+    sims = u[q] @ u.T
+    sims[np.arange(len(q)), q] = -np.inf
+    true = np.argsort(-sims, axis=1)[:, :5]
+    assert sum(len(got[i] & set(t)) for i, t in zip(q.tolist(), true.tolist(), strict=True)) >= 0.95 * true.size
