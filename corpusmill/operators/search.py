@@ -103,15 +103,9 @@ def rerank(results: DataFrame, score: Column, k: int, min_score: float | None =
 
 def question_search(queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): questions (doc_id, question, quality) that share tokens with a
-    query, each normalised question once (TK10). A join on tokens, not on all pairs."""
+    query, each normalised question once (TK10). Counted where the questions lie, not on pairs."""
     from ..functions.text import plain_tokens
+    from .scan import question_top
 
-    q = queries.select("query_id", F.array_distinct(plain_tokens(F.col("query"))).alias("qt")).select("query_id", F.size("qt").alias("nb"), F.explode("qt").alias("token"))
-    # a question that a document has twice counts once
-    once = asked.groupBy("doc_id", F.lower("question").alias("question")).agg(F.max("quality").alias("quality"))
-    a = once.select("doc_id", "question", "quality", F.array_distinct(plain_tokens(F.col("question"))).alias("at")).select("doc_id", "question", "quality", F.size("at").alias("nq"), F.explode("at").alias("token"))
-    shared = q.join(a, "token").groupBy("query_id", "doc_id", "question", "quality", "nb", "nq").agg(F.count("*").alias("o"))
-    scored = shared.withColumn("score", F.round(0.7 * F.col("o") / F.col("nb") + 0.3 * F.col("o") / F.col("nq") + 0.05 * F.col("quality"), 6))
-    once = Window.partitionBy("query_id", "question").orderBy(F.col("score").desc(), "doc_id")
-    single = scored.withColumn("n", F.row_number().over(once)).where("n = 1")
-    return top_k(single, k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+    q = queries.select("query_id", F.explode(F.array_distinct(plain_tokens(F.col("query")))).alias("token"))
+    return question_top(asked, q, k, plain_tokens)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import ann
-from corpusmill.operators import hashtree
+from corpusmill.operators import hashtree, scan
 from corpusmill.plans import records
 from corpusmill.plans.catalog import ORACLES, QUERIES
 
@@ -70,3 +70,13 @@ def test_neighbours_are_found_where_codes_tell_little(spark):
     sims[np.arange(len(q)), q] = -np.inf
     true = np.argsort(-sims, axis=1)[:, :5]
     assert sum(len(got[i] & set(t)) for i, t in zip(q.tolist(), true.tolist(), strict=True)) >= 0.95 * true.size
+
+
+def test_hype_search_passes_on_no_pairs(spark, tmp_path):
+    lines = "what helps against high lipid values\nWhat helps against high lipid values\nrarely asked about statin dosing\nshort"
+    docs = spark.createDataFrame([(k, lines if k % 3 else f"statin dosing number {'x' * (k % 5 + 1)}\n{lines}") for k in range(40)] + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "lipid values and statin dosing"), (2, "nothing here"), (3, "the")], "item_id long, text string")
+    got, want = same_as_sql(spark, tmp_path, "hype_search", documents=docs, benchmark=items)
+    assert got == want
+    plan = QUERIES["hype_search"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
