@@ -11,6 +11,7 @@ from ..functions.vectors import cosine
 from ..operators.blocks import BlockIndex, asked_tokens, search, write_blocks
 from ..operators.fusion import fused_top
 from ..operators.index import keyword_bonus
+from ..operators.scan import bm25_top, one_row_an_id
 from ..operators.search import exact_knn, merge_variants, normalized_by_best, rerank, top_k
 from ..sources.shared import kept, written
 from .base import query, table
@@ -59,7 +60,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best documents of every item."""
-    return search(index_of(corpus(spark, sf_dir), "plain"), asked_tokens(items(spark, sf_dir)), k)[0]
+    return best_of(corpus(spark, sf_dir), "plain", items(spark, sf_dir), k)
+
+
+def best_of(docs: DataFrame, name: str, queries: DataFrame, k: int, analyzer=tx.plain_tokens) -> DataFrame:
+    """The ``k`` best of these documents for every query, from scans of the documents where an id is one
+    row. Ids that are repeated are one document each: those are added up by the written index."""
+    asked = asked_tokens(queries, analyzer=analyzer)
+    if one_row_an_id(docs):
+        return bm25_top(docs, asked, k, analyzer)
+    return search(index_of(docs, name, analyzer), asked, k)[0]
 
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +87,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the English documents alone: frequencies are those of the subset (PF5, J1)."""
     english = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    return search(index_of(english, "english"), asked_tokens(items(spark, sf_dir)), 5)[0]
+    return best_of(english, "english", items(spark, sf_dir), 5)
 
 
 @query(f"""WITH {ALL_DOCS}, {BM25},
@@ -244,4 +254,4 @@ def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents an item with the full analyzer: stems, synonyms, acronyms (SF5)."""
     from ..functions.stem import stemmed_tokens
 
-    return search(index_of(corpus(spark, sf_dir), "stemmed", stemmed_tokens), asked_tokens(items(spark, sf_dir), analyzer=stemmed_tokens), 5)[0]
+    return best_of(corpus(spark, sf_dir), "stemmed", items(spark, sf_dir), 5, stemmed_tokens)

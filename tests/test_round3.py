@@ -80,3 +80,18 @@ def test_hype_search_passes_on_no_pairs(spark, tmp_path):
     assert got == want
     plan = QUERIES["hype_search"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "filtered_bm25"])
+@pytest.mark.parametrize("size", [2, 1024])
+def test_scans_rank_as_their_sql(spark, tmp_path, monkeypatch, name, size):
+    monkeypatch.setattr(scan.best_rows, "__defaults__", (None, False, size))
+    words = ["lipid", "statins", "doses", "treated", "trial", "hdl", "liver"]
+    rows = [(k, " ".join(words[(k * j) % 7] for j in range(1, 4 + k % 9)), "en" if k % 2 else "de", "s") for k in range(60)] + [(90, None, "en", "s"), (91, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    items = spark.createDataFrame([(k, " ".join(words[k % 7 : k % 7 + 3])) for k in range(5)] + [(7, "the")], "item_id long, text string")
+    rounded = lambda rows: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows]
+    got, want = same_as_sql(spark, tmp_path, name, documents=docs, benchmark=items)
+    assert rounded(got) == rounded(want)
+    got_plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in got_plan
