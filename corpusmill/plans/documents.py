@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import chunking as ch
 from ..operators import dedup, html, sampling
 from ..operators.diversity import capped, diversify
+from ..operators.scan import one_row_an_id, overlap_top
 from .base import query, table
 from .search import ALL_DOCS, BM25, NAMED, TOKENS, best_documents, file_name
 
@@ -331,9 +332,13 @@ def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN d USING (token) GROUP BY ALL)
 SELECT item_id, doc_id, CAST(overlap AS BIGINT) AS overlap FROM o QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) = 1""")
 def label_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document that shares most tokens with each item (J12): joined on tokens, not on all pairs."""
+    """The document that shares most tokens with each item (J12), by a scan where an id is one row."""
     tokens = lambda t, i: t.select(i, F.explode(F.array_distinct(tx.plain_tokens(F.col("text")))).alias("token"))
-    q, d = tokens(table(spark, sf_dir, "benchmark"), "item_id"), tokens(docs(spark, sf_dir), "doc_id")
+    q, rows = tokens(table(spark, sf_dir, "benchmark"), "item_id"), docs(spark, sf_dir).select("doc_id", "text")
+    if one_row_an_id(rows):
+        best = overlap_top(rows, q.withColumnRenamed("item_id", "query_id"), 1, tx.plain_tokens)
+        return best.select(F.col("query_id").alias("item_id"), "doc_id", F.col("score").cast("long").alias("overlap"))
+    d = tokens(rows, "doc_id")
     o = q.join(d, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     w = Window.partitionBy("item_id").orderBy(F.col("overlap").desc(), "doc_id")
     return o.withColumn("n", F.row_number().over(w)).where("n = 1").select("item_id", "doc_id", "overlap")
