@@ -82,7 +82,7 @@ def test_hype_search_passes_on_no_pairs(spark, tmp_path):
     assert "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "filtered_bm25", "label_bootstrap"])
+@pytest.mark.parametrize("name", ["bm25_topk", "filtered_bm25", "stemmed_bm25", "label_bootstrap"])
 @pytest.mark.parametrize("size", [2, 1024])
 def test_scans_rank_as_their_sql(spark, tmp_path, monkeypatch, name, size):
     monkeypatch.setattr(scan.best_rows, "__defaults__", (None, False, size))
