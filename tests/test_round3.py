@@ -2,11 +2,12 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import ann
-from corpusmill.operators import hashtree, scan
+from corpusmill.operators import hashtree, html, scan
 from corpusmill.plans import records
 from corpusmill.plans.catalog import ORACLES, QUERIES
 
@@ -95,3 +96,10 @@ def test_scans_rank_as_their_sql(spark, tmp_path, monkeypatch, name, size):
     assert rounded(got) == rounded(want)
     got_plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in got_plan
+
+
+def test_pages_are_parsed_in_small_batches(spark, monkeypatch):
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>a"), F.col("id").cast("string"), F.lit("</p>")).alias("html")).coalesce(1)
+    sizes = html.extract(pages).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long")
+    assert html.PAGES_AT_ONCE < 300 and sum(r["n"] for r in sizes.collect()) == 300
+    assert {r["page_id"]: r["markdown"] for r in html.extract(pages).collect()} == {k: f"a{k}" for k in range(300)}
