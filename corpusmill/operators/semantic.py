@@ -81,13 +81,18 @@ def boundaries(parts: list[str], window: int = 3, percentile: float = 0.2, size:
     return starts
 
 
+#: Texts whose chunks a task holds as objects.
+TEXTS_AT_ONCE = 128
+
+
 def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, percentile: float = 0.2, size: int | None = None, overlap_words: int = 0, embedder: Embedder | None = None) -> DataFrame:
     """(doc_id, chunk, first_sentence, sentences, content) of every whole text, its sentences joined
     by a space. ``overlap_words``: so many words of the chunk before are put in front. Null and empty
     texts have no chunks; repeated ids are documents of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # few texts at once: an Arrow batch would hold the chunks of ten thousand as objects
+        for b in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = sentences(text or "")

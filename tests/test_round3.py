@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import ann
-from corpusmill.operators import hashtree, html, scan
+from corpusmill.operators import hashtree, html, scan, semantic
 from corpusmill.plans import records
 from corpusmill.plans.catalog import ORACLES, QUERIES
 
@@ -103,3 +103,9 @@ def test_pages_are_parsed_in_small_batches(spark, monkeypatch):
     sizes = html.extract(pages).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long")
     assert html.PAGES_AT_ONCE < 300 and sum(r["n"] for r in sizes.collect()) == 300
     assert {r["page_id"]: r["markdown"] for r in html.extract(pages).collect()} == {k: f"a{k}" for k in range(300)}
+
+
+def test_texts_are_chunked_in_small_batches(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("One. Two "), F.col("id").cast("string"), F.lit(".")).alias("text")).coalesce(1)
+    found = semantic.semantic_chunks(docs).groupBy("doc_id").agg(F.sum("sentences").alias("n")).collect()
+    assert semantic.TEXTS_AT_ONCE < 300 and {r["doc_id"]: r["n"] for r in found} == dict.fromkeys(range(300), 2)
