@@ -13,7 +13,7 @@ def rounded(rows):
     return [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows]
 
 
-@pytest.mark.parametrize("name", ["variant_metrics"])
+@pytest.mark.parametrize("name", ["variant_metrics", "variant_study"])
 def test_variants_are_searched_where_their_tokens_lie(spark, tmp_path, monkeypatch, name):
     rows = [(k, " ".join(WORDS[(k * j) % 7] for j in range(1, 4 + k % 9)), f"src{k % 4}") for k in range(60)] + [(90, None, "src1"), (91, "", "src2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
