@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.sources import source_class, source_prior
 from ..functions.vectors import cosine
 from ..operators.blocks import BlockIndex, asked_tokens, search, write_blocks
-from ..operators.fusion import fused_top
+from ..operators.fusion import Step, fused_rows, fused_top, lexical_rows, steps_of
 from ..operators.index import keyword_bonus
 from ..operators.scan import bm25_top, one_row_an_id
 from ..operators.search import exact_knn, merge_variants, normalized_by_best, rerank, top_k
@@ -140,8 +140,23 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized_by_best(all_scores(spark, sf_dir)).select("query_id", "doc_id", F.round("keyword_score", 10).alias("k"))
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Step]] | None:
+    """The documents with priors, vectors and tokens, and the items in blocks, for scans of the former;
+    none unless an id is one row of each table."""
+    d, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = items(spark, sf_dir).select("query_id", F.array_distinct(tx.plain_tokens(F.col("query"))).alias("tokens"))
+    if not (one_row_an_id(d) and one_row_an_id(vecs) and one_row_an_id(q, "query_id")):
+        return None
+    # both kinds of ids meet in one shuffle of tokens, not of texts; the text is analysed once
+    rows = d.select("doc_id", source_prior(source_class(file_name())).alias("prior"), tx.plain_tokens(F.col("text")).alias("tokens")).join(vecs, "doc_id", "left")
+    rows = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "prior", "embedding", "tokens"), "hybrid-rows")
+    vectors = vecs.where(F.col("embedding").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rows, steps_of(rows, q.join(vectors, "query_id"))
+
+
 def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The ``k`` best documents of every item by fused rank; both rankings are of the whole corpus."""
+    """The ``k`` best documents of every item by fused rank; both rankings are of the whole corpus. From a
+    table of all lexical scores, where ids are repeated."""
     base = written(priors(spark, sf_dir), "priors")
     lex = written(lexical_scores(spark, sf_dir).join(base.select("doc_id", "prior"), "doc_id"), "lexical")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
@@ -152,7 +167,9 @@ def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 @query(f"WITH {HYBRID} SELECT query_id, doc_id, fused_rank, fused AS fused_score, round(fused + prior, 10) AS combined_score FROM o WHERE fused_rank <= 10")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best by rank fusion of cosine and BM25 over the whole corpus (WN1, J3, WN2)."""
-    return hybrid(spark, sf_dir, 10).select("query_id", "doc_id", "fused_rank", "fused_score", "combined_score")
+    found = scanned(spark, sf_dir)
+    best = fused_rows(*found, 10) if found else hybrid(spark, sf_dir, 10)
+    return best.select("query_id", "doc_id", "fused_rank", "fused_score", "combined_score")
 
 
 @query(f"""WITH {HYBRID},
@@ -162,7 +179,16 @@ b AS (SELECT query_id, doc_id, max(score) AS score, min(variant * 1000 + rank) A
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc_id) AS BIGINT) AS rank FROM b QUALIFY rank <= 5""")
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two variants' results as one list, each document by its best score (SO2, TK2, pin 2)."""
-    a = hybrid(spark, sf_dir, 20).select("query_id", F.lit(1).alias("variant"), F.col("fused_rank").alias("rank"), "doc_id", F.round("combined_score", 4).alias("score"))
+    found = scanned(spark, sf_dir)
+    fused = fused_rows(*found, 20) if found else hybrid(spark, sf_dir, 20)
+    a = fused.select("query_id", F.lit(1).alias("variant"), F.col("fused_rank").alias("rank"), "doc_id", F.round("combined_score", 4).alias("score"))
+    b = lexical_rows(*found, 20, 6) if found else lexical_twenty(spark, sf_dir)
+    b = b.select("query_id", F.lit(2).alias("variant"), "rank", "doc_id", "score")
+    return merge_variants(a.union(b), 5).select("query_id", "doc_id", "score", "rank")
+
+
+def lexical_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, score, rank): twenty by the lexical score, from a table of all of them."""
     base = priors(spark, sf_dir).select("doc_id")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(base.withColumnRenamed("doc_id", "query_id"), "query_id", "left_semi")
     found = lexical_scores(spark, sf_dir).join(base, "doc_id", "left_semi").join(q, "query_id", "left_semi").withColumn("score", F.round("k", 6))
@@ -170,9 +196,7 @@ def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     # are among the first 40, of which fewer than 20 can share one
     least = base.orderBy("doc_id").limit(40).groupBy().agg(F.collect_list("doc_id").alias("ids"))
     rest = q.join(F.broadcast(least)).select("query_id", F.explode("ids").alias("doc_id")).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    b = top_k(found.select("query_id", "doc_id", "score").unionByName(rest.withColumn("score", F.lit(0.0))), 20, [F.col("score").desc(), F.col("doc_id")])
-    b = b.select("query_id", F.lit(2).alias("variant"), "rank", "doc_id", "score")
-    return merge_variants(a.union(b), 5).select("query_id", "doc_id", "score", "rank")
+    return top_k(found.select("query_id", "doc_id", "score").unionByName(rest.withColumn("score", F.lit(0.0))), 20, [F.col("score").desc(), F.col("doc_id")])
 
 
 @query(f"""WITH {ALL_DOCS}, {BM25},

@@ -1,9 +1,11 @@
 """What the review of round three found, on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import variants
+from corpusmill.operators import fusion, variants
+from corpusmill.plans import search
 from test_round3 import same_as_sql
 
 WORDS = ["lipid", "statins", "doses", "treated", "trial", "hdl", "liver"]
@@ -32,3 +34,34 @@ def test_variants_add_up_repeated_ids(spark, tmp_path):
     got = {(r["query_id"], r["rank"]): r["doc_id"] for r in variants.search_variants(spark, str(tmp_path), q, 3).collect()}
     assert got == {(5, 1): 1, (5, 2): 3, (6, 1): 2}
     assert variants.search_variants(spark, str(tmp_path), q, 3, only=["w"]).count() == 0
+
+
+def hybrid_tables(spark):
+    rows = [(k, " ".join(WORDS[(k * j) % 7] for j in range(1, 4 + k % 9)), f"src{k % 4}") for k in range(300)] + [(400, None, "src1"), (401, "", "src2"), (402, "liver trial liver", "src3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    items = spark.createDataFrame([(k, " ".join(WORDS[k % 7 : k % 7 + 3])) for k in range(5)] + [(7, "the"), (500, "statins doses"), (600, "no vector")], "item_id long, text string")
+    vector = lambda k: [float((k * 7) % 5) - 2.0, float(k % 3), 1.0 + k % 2, 0.5]
+    # the best of some items (402) has no vector, item 500 has one but is no document
+    vectors = spark.createDataFrame([(k, vector(k)) for k in [*range(300), 400, 401, 500]], "vec_id long, embedding array<double>")
+    return {"documents": docs, "benchmark": items, "embeddings": vectors}
+
+
+@pytest.mark.parametrize("name", ["hybrid_rrf"])
+@pytest.mark.parametrize("size", [3, 1024])
+def test_hybrid_scores_are_not_written(spark, tmp_path, monkeypatch, name, size):
+    def table_of_scores(*_):
+        raise AssertionError("a row for each pair that shares a word")
+
+    monkeypatch.setattr(search, "lexical_scores", table_of_scores)
+    monkeypatch.setattr(fusion, "QUERY_BLOCK", size)
+    got, want = same_as_sql(spark, tmp_path, name, **hybrid_tables(spark))
+    assert rounded(got) == rounded(want)
+
+
+def test_ties_are_counted_as_one_by_one():
+    ids, keys = np.array([5, 3, 9, 4, 2]), np.array([0.5, 0.5, 0.5, 0.2, 0.9])
+    held = fusion._Candidates(ids, keys)
+    rows, of = np.array([1, 4, 8, 5, 3, 9, 2, 7]), np.array([0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.9, 0.1])
+    held.count(rows, of)
+    ahead = dict(zip(held.ids.tolist(), held.ahead.tolist(), strict=True))
+    assert ahead == {i: int(sum(r != i and (f > s or (f == s and r < i)) for r, f in zip(rows, of, strict=True))) for i, s in zip(ids.tolist(), keys.tolist(), strict=True)}
