@@ -46,7 +46,7 @@ def hybrid_tables(spark):
     return {"documents": docs, "benchmark": items, "embeddings": vectors}
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf"])
+@pytest.mark.parametrize("name", ["hybrid_rrf", "multi_query_merge"])
 @pytest.mark.parametrize("size", [3, 1024])
 def test_hybrid_scores_are_not_written(spark, tmp_path, monkeypatch, name, size):
     def table_of_scores(*_):
