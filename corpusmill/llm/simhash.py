@@ -10,8 +10,9 @@ Two operators:
 
 * :func:`simhash_groups` - exact components of "fingerprints differ in at most ``radius`` bits".
 * :func:`near_duplicates` - components of "Jaccard similarity of word shingles >= ``similarity``"
-  over whole texts: candidates by an exact prefix filter on the shingle sets, each verified on the
-  two texts.
+  over whole texts: links by SimHash fingerprints of the shingle sets (:func:`simhash_pairs`), each
+  verified on the two texts; then an exact check, a prefix filter on the sets, for the pairs of
+  different groups that differ in more bits than the radius, since no radius promises a similarity.
 
 Null and empty texts have no shingles: fingerprint zero in :func:`simhash_groups` (linked like any
 other); in :func:`near_duplicates` all texts without words form one group of equal texts. Repeated
@@ -273,28 +274,29 @@ def prefix_length(size, similarity: float):
 
 
 def shingle_prefixes(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(doc_id, node, size, prefix): node is the text's 64-bit hash, by which equal texts are found;
-    size the number of its distinct shingles; prefix the first of them (:func:`prefix_length`) in
+    """(doc_id, node, fp, size, prefix): node is the text's 64-bit hash, by which equal texts are found;
+    fp the fingerprint of its distinct shingles (a signed long) and size their number; prefix the first of them (:func:`prefix_length`) in
     one order for all texts, the least frequent first. Texts without words have the prefix [0]."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shipped.value
         for b in slices(batches):
-            sizes, prefixes = [], []
+            sizes, prefixes, fps = [], [], []
             for t in b.column(2).to_pylist():
                 h = np.unique(shingle_hashes(t, width))
                 sizes.append(len(h))
+                fps.append(int(fingerprint(h)[0].astype(np.int64)))
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
                 prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64) if len(h) else np.zeros(1, np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), flat], ["doc_id", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), flat], ["doc_id", "node", "fp", "size", "prefix"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, size int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, fp long, size int, prefix array<long>")
 
 
 def _overlap(x: str, y: str, similarity: float):
@@ -330,14 +332,27 @@ def popular_nodes(met: DataFrame, similarity: float) -> tuple[DataFrame, str]:
     return materialize(met.groupBy("node").agg((F.sum("c") / F.first(prefix_length(F.col("size"), similarity))).alias("score")), "simhash-popular")
 
 
-def hub_pairs(met: DataFrame, popular: DataFrame, similarity: float) -> tuple[DataFrame, str]:
-    """(a, b): each node with the hub of every bucket that it is in.
+def simhash_pairs(nodes: DataFrame, radius: int) -> tuple[DataFrame, str]:
+    """(a, b): nodes (node, fp) by links of at most ``radius`` differing bits: of each fingerprint the
+    least node stands for it in the links to others, and its other nodes are linked to that one."""
+    by_fp, path = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "simhash-fp")
+    links = hamming_links(by_fp.select("fp"), radius)
+    x, y = (by_fp.select(F.col("fp").alias(end), F.col("least").alias(f"node_{end}")) for end in ("a", "b"))
+    far = links.join(x, "a").join(y, "b").select("node_a", "node_b")
+    same = nodes.join(by_fp, "fp").where(F.col("node") != F.col("least")).select("least", "node")
+    out = materialize(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "simhash-pairs")
+    drop_path(nodes.sparkSession, path)
+    return out
+
+
+def hub_pairs(met: DataFrame, popular: DataFrame, similarity: float, tested: DataFrame) -> tuple[DataFrame, str]:
+    """(a, b): each node with the hub of every bucket that it is in, but pairs that were tested.
 
     The hub is the bucket's most popular node: of a group of near copies that is the text, or next
     to the text, that the others come from."""
     hubs = met.join(popular, "node").groupBy("b").agg(F.max(F.struct("score", "node", "size", "pos")).alias("hub"))
     near = met.join(hubs, "b").where((F.col("node") != F.col("hub.node")) & _may_be_alike("", "hub.", similarity))
-    return materialize(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "simhash-pairs")
+    return materialize(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
 
 
 def hub_groups(links: DataFrame, popular: DataFrame) -> DataFrame:
@@ -406,30 +421,35 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, similarity:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, node, component) for every row: component is the least id of the row's group.
 
     Groups are the components of links between texts whose sets of ``width``-word shingles (A-Z
     lower-cased) have a Jaccard similarity of at least ``similarity``. Every link is verified, and
-    none is missed, whatever the number of texts: candidates are all pairs whose prefixes meet.
-    First the nodes are held against the hubs of their buckets, which joins most of a large group;
-    then all pairs of different groups that are left."""
+    none is missed, whatever the number of texts. First come the links of fingerprints that differ
+    in at most ``radius`` bits, by the generalised pigeonhole principle. Texts of that similarity may
+    differ in more bits than any radius that can be probed, so an exact check follows: the nodes are
+    held against the hubs of their prefix shingles' buckets, which joins the rest of a large group,
+    and then all pairs of different groups whose prefixes meet."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, rows_path = materialize(shingle_prefixes(own, "text", width, similarity), "simhash-prefix")
     ids, _ = materialize(rows.select("doc_id", "node"), "simhash-ids")
-    nodes, nodes_path = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix")]), "simhash-node")
+    nodes, nodes_path = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "prefix")]), "simhash-node")
     drop_path(spark, rows_path)
+    close, close_path = simhash_pairs(nodes.select("node", "fp"), radius)
+    linked, linked_path = verified_pairs(close, own, "text", similarity, width)
     met, met_path = shared_prefixes(nodes)
     drop_path(spark, nodes_path)
     popular, popular_path = popular_nodes(met, similarity)
-    tested, tested_path = hub_pairs(met, popular, similarity)
-    sure, sure_path = verified_pairs(tested, own, "text", similarity, width)
-    rest, rest_path = remaining_pairs(met, hub_groups(sure, popular), tested, similarity)
-    drop_path(spark, met_path, tested_path, popular_path)
+    hubs, hubs_path = hub_pairs(met, popular, similarity, close)
+    sure, sure_path = verified_pairs(hubs, own, "text", similarity, width)
+    sure = linked.union(sure)
+    rest, rest_path = remaining_pairs(met, hub_groups(sure, popular), close.union(hubs), similarity)
+    drop_path(spark, met_path, hubs_path, close_path, popular_path)
     more, more_path = verified_pairs(rest, own, "text", similarity, width)
     roots, _ = connected_components(sure.union(more))
-    drop_path(spark, sure_path, more_path, rest_path)
+    drop_path(spark, linked_path, sure_path, more_path, rest_path)
     least = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = roots.join(least, "node").groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select("node", "component")

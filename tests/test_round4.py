@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.llm import simhash
 from corpusmill.operators import fusion, variants
 from corpusmill.plans import search
 from test_round3 import same_as_sql
@@ -65,3 +66,21 @@ def test_ties_are_counted_as_one_by_one():
     held.count(rows, of)
     ahead = dict(zip(held.ids.tolist(), held.ahead.tolist(), strict=True))
     assert ahead == {i: int(sum(r != i and (f > s or (f == s and r < i)) for r, f in zip(rows, of, strict=True))) for i, s in zip(ids.tolist(), keys.tolist(), strict=True)}
+
+
+def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(12)]
+    texts = base + [t.replace(" ", "  ") + " end" for t in base[:8]] + [" ".join(t.split()[:60]) for t in base[:3]] + ["", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = [int(simhash.fingerprint(h)[0]) for h in sets]
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    close = {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    want = {j: min([i for i, x in close if x == j and alike(i, j)], default=j) for j in range(len(texts))}
+    assert sum(j != i for j, i in want.items()) > 4
+    nothing = lambda *a: simhash.materialize(spark.createDataFrame([], "a long, b long"), "none")
+    monkeypatch.setattr(simhash, "hub_pairs", nothing)
+    monkeypatch.setattr(simhash, "remaining_pairs", nothing)
+    # without the exact check that follows: the links of the fingerprints, each held against the texts
+    assert {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()} == want
