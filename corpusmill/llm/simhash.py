@@ -138,12 +138,38 @@ def _probe_masks(width: int, t: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(t + 1) for c in combinations(range(width), k)]
 
 
-def _part_value(fp: str, bits: list[int]):
-    """Column: the part's bits of a long, packed."""
-    out = F.lit(0).cast("long")
-    for at, bit in enumerate(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(fp), bit).bitwiseAND(F.lit(1).cast("long")), at))
-    return out
+def _by_part(fps: DataFrame, bits: list[list[int]]) -> DataFrame:
+    """(fp, part, v): every fingerprint once for each part, with the part's bits packed.
+
+    By numpy: as column expressions the bits make code that each plan which reads them compiles anew,
+    and its compilation alone fills a driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, part in enumerate(bits):
+                v = np.zeros(len(fp), np.int64)
+                for at, bit in enumerate(part):
+                    v |= ((fp >> np.int64(bit)) & np.int64(1)) << np.int64(at)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.full(len(fp), i, np.int32)), pa.array(v)], ["fp", "part", "v"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, part int, v long")
+
+
+def _flipped(rows: DataFrame, masks: dict[int, np.ndarray]) -> DataFrame:
+    """(fq, part, v): each row (fp, part, v) once for every mask of its part, with those bits flipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):  # times the masks
+                b = whole.slice(at, 1000)
+                fp, part, v = (b.column(j).to_numpy(zero_copy_only=False) for j in range(3))
+                for i in np.unique(part).tolist():
+                    own, m = part == i, masks[i]
+                    out = (v[own][:, None] ^ m[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp[own], len(m))), pa.array(np.full(len(out), i, np.int32)), pa.array(out)], ["fq", "part", "v"])
+
+    return rows.select("fp", "part", "v").mapInArrow(run, "fq long, part int, v long")
 
 
 def _bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -161,14 +187,15 @@ def _bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return got.get(4096, 0), np.array([got.get(i, 0) for i in range(4096)], float).reshape(64, 64)
 
 
-def plan_parts(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int], DataFrame]:
-    """Parts of the 64 bits and their thresholds, and the part sizes' table (part, v, c)."""
+def plan_parts(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[list[list[int]], list[int], DataFrame, DataFrame, list[str]]:
+    """Parts of the 64 bits and their thresholds, the fingerprints by part (fp, part, v), the part
+    sizes' table (part, v, c), and the paths of both tables."""
     m = parts or radius + 1
     sizes = [64 // m + (i < 64 % m) for i in range(m)]
     n, together = _bit_statistics(fps)
     bits = group_bits(together, n, sizes)
-    keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _part_value("fp", p).alias("v")) for i, p in enumerate(bits)])).alias("k"))
-    sized = keyed.groupBy("k.part", "k.v").agg(F.count("*").alias("c"))
+    index, index_path = materialize(_by_part(fps, bits), "simhash-parts")
+    sized, sized_path = materialize(index.groupBy("part", "v").agg(F.count("*").alias("c")), "simhash-sized")
     same = dict(sized.groupBy("part").agg(F.sum(F.col("c").cast("double") * F.col("c"))).collect())
     mean = np.diag(together) / max(n, 1)
     costs = []
@@ -182,39 +209,52 @@ def plan_parts(fps: DataFrame, radius: int, parts: int | None = None) -> tuple[l
             dist = dist * s + np.concatenate([[0], dist[:-1]]) * (1 - s)
         scale = same.get(i, 0.0) / max(dist[0], 1e-300)
         costs.append([0.0] + [scale * float(dist[: t + 1].sum()) + n * len(_probe_masks(len(p), t)) for t in range(radius + 1)])
-    return bits, allocate_thresholds(costs, radius + 1), sized
+    return bits, allocate_thresholds(costs, radius + 1), index, sized, [index_path, sized_path]
 
 
 def hamming_links(fps: DataFrame, radius: int = 2, parts: int | None = None, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp, materialised) whose components are
-    those of "at most ``radius`` differing bits".
+    those of "at most ``radius`` differing bits" (:func:`written_links`)."""
+    return written_links(fps, radius, parts, pair_bucket)[0]
+
+
+def written_links(fps: DataFrame, radius: int = 2, parts: int | None = None, pair_bucket: int = PAIR_BUCKET) -> tuple[DataFrame, str]:
+    """The same, and the path of that table.
 
     Small buckets give every pair within the radius. Rows of larger buckets are linked through the
     points of the cube around them: two fingerprints are within the radius exactly if their balls of
     radius ceil(radius / 2) and floor(radius / 2) meet, so every row sends itself to its ball's points
     and each point links its rows to its least one: as many rows out as in, whatever the bucket.
     For an odd radius the larger ball is used and the distance of the link is not bound by it, so
-    odd radii take pairs only."""
-    bits, limits, sized = plan_parts(fps, radius, parts)
-    used = [(i, p, t) for i, (p, t) in enumerate(zip(bits, limits, strict=True)) if t >= 0]
-    key = lambda i, v: F.struct(F.lit(i).alias("part"), v.alias("v"))
-    index = fps.select("fp", F.explode(F.array(*[key(i, _part_value("fp", p)) for i, p, _ in used])).alias("k")).select("fp", "k.part", "k.v")
-    # the masks are constants and the part's value a column: an expression of its own for each mask
-    # makes code whose compilation alone fills a driver's heap where a part takes t = 2
-    masks = F.coalesce(*[F.when(F.col("part") == i, F.array(*[F.lit(x).cast("long") for x in _probe_masks(len(p), t)])) for i, p, t in used])
-    probe = index.select(F.col("fp").alias("fq"), "part", F.explode(F.transform(masks, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
+    odd radii take pairs only.
+
+    What several joins read is written first: one plan of all of them would hold each of its inputs
+    many times, and the driver plans it anew after every stage."""
+    spark = fps.sparkSession
+    bits, limits, index, sized, spent = plan_parts(fps, radius, parts)
+    masks = {i: np.array(_probe_masks(len(p), t), np.int64) for i, (p, t) in enumerate(zip(bits, limits, strict=True)) if t >= 0}
+    index = index.where(F.col("part").isin(list(masks)))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= radius
+    ends = F.col("fq").alias("a"), F.col("fp").alias("b")
     if radius % 2:
-        return probe.join(index, ["part", "v"]).where((F.col("fq") < F.col("fp")) & near).select(F.col("fq").alias("a"), F.col("fp").alias("b")).distinct()
-    hot = sized.where(F.col("c") > pair_bucket).select("part", "v")
+        found, path = materialize(_flipped(index, masks).join(index, ["part", "v"]).where((F.col("fq") < F.col("fp")) & near).select(*ends).distinct(), "simhash-links")
+        drop_path(spark, *spent)
+        return found, path
+    hot = sized.where((F.col("c") > pair_bucket) & F.col("part").isin(list(masks))).select("part", "v")
     small = sized.where((F.col("c") <= pair_bucket) & (F.col("c") >= (2 if max(limits) == 0 else 1))).select("part", "v")
-    pairs = probe.join(index.join(small, ["part", "v"]), ["part", "v"]).where((F.col("fq") < F.col("fp")) & near).select(F.col("fq").alias("a"), F.col("fp").alias("b"))
-    crowd = index.join(hot, ["part", "v"]).select(F.col("fp")).union(probe.join(hot, ["part", "v"]).select("fq")).distinct()
-    ball = F.array(*[F.lit(x - 2**64 if x >= 2**63 else x).cast("long") for x in _probe_masks(64, radius // 2)])
-    points = crowd.select("fp", F.explode(F.transform(ball, lambda x: F.col("fp").bitwiseXOR(x))).alias("z"))
-    least = points.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("c")).where("c > 1").select("z", "a")
-    stars = points.join(least, "z").where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.union(stars).distinct()
+    pairs = _flipped(index, masks).join(index.join(small, ["part", "v"]), ["part", "v"]).where((F.col("fq") < F.col("fp")) & near).select(*ends)
+    if not hot.isEmpty():
+        pairs, pairs_path = materialize(pairs, "simhash-near")
+        crowd = index.join(hot, ["part", "v"]).select("fp").union(_flipped(index, masks).join(hot, ["part", "v"]).select("fq")).distinct()
+        crowd, crowd_path = materialize(crowd.select("fp", F.lit(0).alias("part"), F.col("fp").alias("v")), "simhash-crowd")
+        ball = np.array([x - 2**64 if x >= 2**63 else x for x in _probe_masks(64, radius // 2)], np.int64)
+        points = _flipped(crowd, {0: ball}).select(F.col("fq").alias("fp"), F.col("v").alias("z"))
+        least = points.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("c")).where("c > 1").select("z", "a")
+        pairs = pairs.union(points.join(least, "z").where("a < fp").select("a", F.col("fp").alias("b")))
+        spent = [*spent, pairs_path, crowd_path]
+    found, path = materialize(pairs.distinct(), "simhash-links")
+    drop_path(spark, *spent)
+    return found, path
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -224,7 +264,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at most ``radius`` differing bits (rows with a null id take part and get their group's least)."""
     rows, _ = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
     by_fp, _ = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    roots, _ = connected_components(hamming_links(by_fp.select("fp"), radius))
+    links, links_path = written_links(by_fp.select("fp"), radius)
+    roots, _ = connected_components(links)
+    drop_path(docs.sparkSession, links_path)
     named = roots.join(by_fp, roots.node == by_fp.fp).groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
     # fingerprints without a link keep their own least id
@@ -336,12 +378,12 @@ def simhash_pairs(nodes: DataFrame, radius: int) -> tuple[DataFrame, str]:
     """(a, b): nodes (node, fp) by links of at most ``radius`` differing bits: of each fingerprint the
     least node stands for it in the links to others, and its other nodes are linked to that one."""
     by_fp, path = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "simhash-fp")
-    links = hamming_links(by_fp.select("fp"), radius)
+    links, links_path = written_links(by_fp.select("fp"), radius)
     x, y = (by_fp.select(F.col("fp").alias(end), F.col("least").alias(f"node_{end}")) for end in ("a", "b"))
     far = links.join(x, "a").join(y, "b").select("node_a", "node_b")
     same = nodes.join(by_fp, "fp").where(F.col("node") != F.col("least")).select("least", "node")
     out = materialize(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "simhash-pairs")
-    drop_path(nodes.sparkSession, path)
+    drop_path(nodes.sparkSession, path, links_path)
     return out
 
 
@@ -358,8 +400,8 @@ def hub_pairs(met: DataFrame, popular: DataFrame, similarity: float, tested: Dat
 def hub_groups(links: DataFrame, popular: DataFrame) -> DataFrame:
     """(node, root): root is the most popular of the node and those that it is linked to, so nodes of
     one root are of one component; most of a large group has its hub as root."""
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "root")
-    scored = both.union(both.select("node", "node")).join(popular.select(F.col("node").alias("root"), "score"), "root")
+    ways = F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("root")) for x in ("a", "b") for y in ("a", "b")]))
+    scored = links.select(ways.alias("w")).select("w.node", "w.root").join(popular.select(F.col("node").alias("root"), "score"), "root")
     return scored.groupBy("node").agg(F.max(F.struct("score", "root")).alias("x")).select("node", "x.root")
 
 

@@ -84,3 +84,15 @@ def test_near_duplicates_are_linked_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "remaining_pairs", nothing)
     # without the exact check that follows: the links of the fingerprints, each held against the texts
     assert {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()} == want
+
+
+def test_no_plan_of_near_duplicates_holds_many_tables(spark, monkeypatch):
+    plans, write = {}, simhash.materialize
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.update({name: count(df)}) or write(df, name))
+    monkeypatch.setattr(simhash.written_links, "__defaults__", (2, None, 1))  # every bucket of two is a large one
+    base = [" ".join(f"w{(i * k) % 97}" for i in range(40)) for k in range(1, 30)]
+    docs = spark.createDataFrame(list(enumerate([*base, *[t + " end" for t in base], *[t + " END  of" for t in base]])), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == {k: k % 29 for k in range(87)}
+    assert "simhash-crowd" in plans and max(plans.values()) <= 6, plans
