@@ -11,7 +11,7 @@ from ..functions.vectors import cosine
 from ..operators.blocks import BlockIndex, asked_tokens, search, write_blocks
 from ..operators.fusion import Step, fused_rows, fused_top, lexical_rows, steps_of
 from ..operators.index import keyword_bonus
-from ..operators.scan import bm25_top, one_row_an_id
+from ..operators.scan import bm25_top, coded, one_row_an_id
 from ..operators.search import exact_knn, merge_variants, normalized_by_best, rerank, top_k
 from ..sources.shared import kept, written
 from .base import query, table
@@ -147,11 +147,14 @@ def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Step]] |
     q = items(spark, sf_dir).select("query_id", F.array_distinct(tx.plain_tokens(F.col("query"))).alias("tokens"))
     if not (one_row_an_id(d) and one_row_an_id(vecs) and one_row_an_id(q, "query_id")):
         return None
-    # both kinds of ids meet in one shuffle of tokens, not of texts; the text is analysed once
-    rows = d.select("doc_id", source_prior(source_class(file_name())).alias("prior"), tx.plain_tokens(F.col("text")).alias("tokens")).join(vecs, "doc_id", "left")
-    rows = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "prior", "embedding", "tokens"), "hybrid-rows")
+    # both kinds of ids meet in one shuffle of the asked tokens' numbers; the text is analysed once
+    rows = d.select(F.col("doc_id").cast("long").alias("doc_id"), source_prior(source_class(file_name())).alias("prior"), tx.plain_tokens(F.col("text")).alias("tokens"))
+    rows, asked = coded(rows, written(q.select("query_id", F.explode("tokens").alias("token")), "asked"))
+    rows = written(rows.join(vecs, "doc_id", "left").select("doc_id", "prior", "embedding", "doc_len", "tokens"), "hybrid-rows")
     vectors = vecs.where(F.col("embedding").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return rows, steps_of(rows, q.join(vectors, "query_id"))
+    numbers = q.select("query_id").join(asked.groupBy("query_id").agg(F.collect_set("token").alias("tokens")), "query_id", "left")
+    coded_q = numbers.select("query_id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
+    return rows, steps_of(rows, written(coded_q.join(vectors, "query_id"), "asked-items"))
 
 
 def hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:

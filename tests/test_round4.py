@@ -96,3 +96,14 @@ def test_no_plan_of_near_duplicates_holds_many_tables(spark, monkeypatch):
     got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
     assert got == {k: k % 29 for k in range(87)}
     assert "simhash-crowd" in plans and max(plans.values()) <= 6, plans
+
+
+@pytest.mark.parametrize("name", ["hybrid_rrf", "multi_query_merge"])
+def test_hybrid_rows_hold_numbers_of_asked_tokens(spark, tmp_path, monkeypatch, name):
+    kept, write = {}, search.written
+    monkeypatch.setattr(search, "written", lambda df, what: kept.setdefault(what, write(df, what)))
+    got, want = same_as_sql(spark, tmp_path, name, **hybrid_tables(spark))
+    assert rounded(got) == rounded(want)
+    assert dict(kept["hybrid-rows"].dtypes)["tokens"] == "array<int>"
+    lengths = {r["doc_id"]: (r["doc_len"], len(r["tokens"])) for r in kept["hybrid-rows"].collect()}
+    assert lengths[400] == (None, 0) and lengths[401] == (0, 0) and lengths[402] == (3, 3)
