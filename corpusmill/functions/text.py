@@ -64,7 +64,7 @@ def words(text: Column) -> Column:
 
 def plain_tokens(text: Column) -> Column:
     """The analyzer without stemming: alphabetic words that are no stop words, synonyms applied."""
-    kept = F.filter(words(text), lambda w: ~w.isin(STOPWORDS) & ~F.replace(w, F.lit("-"), F.lit("")).rlike(r"[^\p{L}]"))
+    kept = F.filter(words(text), lambda w: ~w.isin(STOPWORDS) & ~w.rlike(r"[^\p{L}-]"))
     synonyms = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
     return F.transform(kept, lambda w: F.coalesce(F.try_element_at(synonyms, w), w))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluation as ev
+from ..sources.shared import written
 from .base import query, table
 from .search import ALL_DOCS, BM25, NAMED, TOKENS, best_documents, file_name, items
 
@@ -23,13 +24,18 @@ m AS (SELECT query_id, CASE WHEN sum(rel) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS h
   coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0.0) AS mrr,
   coalesce(sum(rel / log2(rank + 1)) / nullif(list_sum(list_transform(range(1, CAST(sum(rel) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 0), 0.0) AS ndcg FROM j GROUP BY query_id)"""
 
+#: Results that are broadcast to where the documents' texts lie, at most.
+FEW_RESULTS = 50_000
+
 
 def relevance_of(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results (query_id, doc_id, ...) with their document's source and content, and ``rel``."""
     q = items(spark, sf_dir)
     golden = q.select("query_id", F.substring("query", 1, 60).alias("phrase"), F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"), F.lit(".pdf"))).alias("expected"), F.slice(tx.plain_tokens(F.col("query")), 1, 3).alias("kw"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), file_name().alias("source"))
-    both = found.join(golden, "query_id").join(docs, "doc_id")
+    results = written(found.join(golden, "query_id"), "results")
+    # a few results a query: texts are shuffled only if queries are many
+    both = docs.join(F.broadcast(results) if results.count() <= FEW_RESULTS else results, "doc_id")
     return both.withColumn("rel", ev.is_relevant(F.col("source"), F.col("content"), F.col("expected"), F.col("phrase"), F.col("kw")).cast("int"))
 
 

@@ -50,9 +50,9 @@ m AS (SELECT variant, sum(hit) / (SELECT count(*) FROM benchmark) AS hit, sum(mr
 def studied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant, hit, mrr, ndcg) of three indexes, of which one is built again after the others."""
     text = F.coalesce("text", F.lit(""))
-    texts = {"baseline": text, "keywords": F.concat_ws(" ", text, F.array_join(F.slice(F.split(text, r"\s+", 9), 1, 8), " ")), "summary": text}
+    texts = {"baseline": [text], "keywords": [text, F.array_join(F.slice(F.split(text, r"\s+", 9), 1, 8), " ")], "summary": [text]}
     d, path = table(spark, sf_dir, "documents"), _new_path(spark, "variants")
-    va.write_variants(va.variant_rows(d, texts), path)
+    va.write_tokens(va.variant_tokens(d, texts), path)
     va.write_variants(va.variant_rows(d, {"summary": F.left(text, F.lit(300))}), path)  # re-ingested by itself
     q = items(spark, sf_dir)
     found = va.search_variants(spark, path, q, 5)

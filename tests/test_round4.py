@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import simhash
+from corpusmill.functions.text import plain_tokens
 from corpusmill.operators import fusion, variants
 from corpusmill.plans import search
 from test_round3 import same_as_sql
@@ -98,6 +99,16 @@ def test_no_plan_of_near_duplicates_holds_many_tables(spark, monkeypatch):
     assert "simhash-crowd" in plans and max(plans.values()) <= 6, plans
 
 
+def test_a_part_of_several_variants_is_analysed_once(spark):
+    texts = ["Lipid LDL-C end-", "ΟΔΟΣ", None, "", "x1 a-b the", "-lead ΟΔΟΣ-Σ trail--"]
+    docs = spark.createDataFrame([(k, t, u) for k, t in enumerate(texts) for u in ["-tail Liver", "Σ", ""]], "doc_id long, t string, u string")
+    t, u = F.coalesce("t", F.lit("")), F.col("u")
+    made = variants.variant_tokens(docs, {"plain": [t], "both": [t, u], "again": [t]})
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+    want = variants.variant_rows(docs, {"plain": t, "both": F.concat_ws(" ", t, u), "again": t}).select("variant", "doc_id", plain_tokens(F.col("text")).alias("tokens"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("name", ["hybrid_rrf", "multi_query_merge"])
 def test_hybrid_rows_hold_numbers_of_asked_tokens(spark, tmp_path, monkeypatch, name):
     kept, write = {}, search.written
