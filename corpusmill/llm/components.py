@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
         # the links of the large star are written too: the small one reads them three times
         big, big_path = materialize(_star(e, True), "links")
         nxt, nxt_path = materialize(_star(big, False), "links")
-        drop_path(spark, path, big_path)
+        drop_path(spark, path, big_path, collect=False)
         e, path = nxt, nxt_path
         if _settled(e):
             break
@@ -54,5 +54,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
     # a row a node; of a star that has settled, every link's lesser end is its root
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     out = materialize(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
-    drop_path(spark, path)
+    drop_path(spark, path, collect=False)
     return out

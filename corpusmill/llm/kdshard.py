@@ -74,8 +74,7 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     groups, groups_path = materialize(groups, "kd-groups")
     moved = base.join(groups, same, "left").select("doc_id", "size", *same, "dh", *[F.coalesce(f"m_{d}", d).alias(d) for d in dims])
     (base, path), spent = materialize(moved, "kd"), (path, groups_path)
-    for x in spent:
-        drop_path(docs.sparkSession, x)
+    drop_path(docs.sparkSession, *spent)
     ends = base.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[f(n).alias(f"{n}_{k}") for n in dims for k, f in (("lo", F.min), ("hi", F.max))]).first()
     n_rows, total = ends["n"], ends["bytes"] or 0
 
@@ -130,7 +129,7 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
         # a level's nodes are written: the next level's expressions start from a plain column
         spent = path
         base, path = materialize(base, "kd")
-        drop_path(docs.sparkSession, spent)
+        drop_path(docs.sparkSession, spent, collect=False)
         for n, s in open_nodes.items():
             spans[n] = s // 2
             spans[n + s // 2] = s - s // 2

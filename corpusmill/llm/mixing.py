@@ -93,12 +93,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t = t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     spans = sizes.select(F.col("source").alias("ps"), F.lit(0).cast("long").alias("before"), "n", "lo", "hi")
     plan, path = materialize(t.join(spans, F.col("source").eqNullSafe(F.col("ps"))).select("ps", "source_size", "target", "epochs", "rest", "before", "n", "lo", "hi"), "mix-plan")
-    drop_path(spark, sizes_path)
+    drop_path(spark, sizes_path, collect=False)
     few = plan.count() <= 50_000  # broadcast only up to a checked size
     while not plan.where(_is_open()).isEmpty():
         spent = path
         plan, path = materialize(_narrowed(base, plan, few), "mix-plan")
-        drop_path(spark, spent)
+        drop_path(spark, spent, collect=False)
     every = base.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("ps")))
     beside = (F.col("rest") > 0) & F.col("key").between(F.col("lo"), F.col("hi"))
     whole = every.where(~beside).withColumn("more", ((F.col("rest") > 0) & (F.col("key") < F.col("lo"))).cast("long"))

@@ -238,7 +238,7 @@ def written_links(fps: DataFrame, radius: int = 2, parts: int | None = None, pai
     ends = F.col("fq").alias("a"), F.col("fp").alias("b")
     if radius % 2:
         found, path = materialize(_flipped(index, masks).join(index, ["part", "v"]).where((F.col("fq") < F.col("fp")) & near).select(*ends).distinct(), "simhash-links")
-        drop_path(spark, *spent)
+        drop_path(spark, *spent, collect=False)
         return found, path
     hot = sized.where((F.col("c") > pair_bucket) & F.col("part").isin(list(masks))).select("part", "v")
     small = sized.where((F.col("c") <= pair_bucket) & (F.col("c") >= (2 if max(limits) == 0 else 1))).select("part", "v")
@@ -253,7 +253,7 @@ def written_links(fps: DataFrame, radius: int = 2, parts: int | None = None, pai
         pairs = pairs.union(points.join(least, "z").where("a < fp").select("a", F.col("fp").alias("b")))
         spent = [*spent, pairs_path, crowd_path]
     found, path = materialize(pairs.distinct(), "simhash-links")
-    drop_path(spark, *spent)
+    drop_path(spark, *spent, collect=False)
     return found, path
 
 
@@ -266,7 +266,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_fp, _ = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
     links, links_path = written_links(by_fp.select("fp"), radius)
     roots, _ = connected_components(links)
-    drop_path(docs.sparkSession, links_path)
+    drop_path(docs.sparkSession, links_path, collect=False)
     named = roots.join(by_fp, roots.node == by_fp.fp).groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
     # fingerprints without a link keep their own least id
@@ -383,7 +383,7 @@ def simhash_pairs(nodes: DataFrame, radius: int) -> tuple[DataFrame, str]:
     far = links.join(x, "a").join(y, "b").select("node_a", "node_b")
     same = nodes.join(by_fp, "fp").where(F.col("node") != F.col("least")).select("least", "node")
     out = materialize(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "simhash-pairs")
-    drop_path(nodes.sparkSession, path, links_path)
+    drop_path(nodes.sparkSession, path, links_path, collect=False)
     return out
 
 
@@ -423,7 +423,7 @@ def remaining_pairs(met: DataFrame, roots: DataFrame, tested: DataFrame, similar
     pairs = left.where("root <> main").join(other, "b").where(near)
     pairs = pairs.groupBy(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).agg(F.count("*").alias("met"), F.first(meetings).alias("wanted"))
     out = materialize(pairs.where("met >= wanted").select("a", "b").join(tested, ["a", "b"], "left_anti"), "simhash-pairs")
-    drop_path(met.sparkSession, path)
+    drop_path(met.sparkSession, path, collect=False)
     return out
 
 
@@ -480,18 +480,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, nodes_path = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "prefix")]), "simhash-node")
     drop_path(spark, rows_path)
     close, close_path = simhash_pairs(nodes.select("node", "fp"), radius)
-    linked, linked_path = verified_pairs(close, own, "text", similarity, width)
     met, met_path = shared_prefixes(nodes)
     drop_path(spark, nodes_path)
     popular, popular_path = popular_nodes(met, similarity)
     hubs, hubs_path = hub_pairs(met, popular, similarity, close)
-    sure, sure_path = verified_pairs(hubs, own, "text", similarity, width)
-    sure = linked.union(sure)
-    rest, rest_path = remaining_pairs(met, hub_groups(sure, popular), close.union(hubs), similarity)
+    # both kinds are held against the texts at once: hub_pairs has left out those of fingerprints
+    first = close.union(hubs)
+    sure, sure_path = verified_pairs(first, own, "text", similarity, width)
+    rest, rest_path = remaining_pairs(met, hub_groups(sure, popular), first, similarity)
     drop_path(spark, met_path, hubs_path, close_path, popular_path)
     more, more_path = verified_pairs(rest, own, "text", similarity, width)
     roots, _ = connected_components(sure.union(more))
-    drop_path(spark, linked_path, sure_path, more_path, rest_path)
+    drop_path(spark, sure_path, more_path, rest_path)
     least = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = roots.join(least, "node").groupBy("root").agg(F.min("least").alias("component"))
     moved = roots.join(named, "root").select("node", "component")
