@@ -70,10 +70,8 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str = "query_id", te
     return tokens.join(weighted, "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25"))
 
 
-def keyword_bonus(scores: DataFrame, queries: DataFrame, keywords: DataFrame, weight: float = 0.5, analyzer: Callable[[Column], Column] = plain_tokens) -> DataFrame:
+def keyword_bonus(scores: DataFrame, asked: DataFrame, held: DataFrame, weight: float = 0.5) -> DataFrame:
     """(query_id, doc_id, bm25, bonus): each extracted keyword equal to a query token adds ``weight``
-    of the base score (J2). ``keywords``: (doc_id, keywords array)."""
-    q = queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("query")))).alias("kw"))
-    k = keywords.select("doc_id", F.explode(F.array_distinct(F.transform("keywords", lambda x: F.trim(F.lower(x))))).alias("kw")).where("kw <> ''")
-    n = q.join(k, "kw").groupBy("query_id", "doc_id").agg(F.count("*").alias("matches"))
+    of the base score (J2). ``asked``: (query_id, token) and ``held``: (doc_id, token), each pair once."""
+    n = asked.join(held, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("matches"))
     return scores.join(n, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "bm25", (F.col("bm25") * weight * F.coalesce("matches", F.lit(0))).alias("bonus"))

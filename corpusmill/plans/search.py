@@ -9,8 +9,8 @@ from ..functions import text as tx
 from ..functions.sources import source_class, source_prior
 from ..functions.vectors import cosine
 from ..operators.blocks import BlockIndex, asked_tokens, search, write_blocks
+from ..operators.bonus import keyword_scores
 from ..operators.fusion import Step, fused_rows, fused_top, lexical_rows, steps_of
-from ..operators.index import keyword_bonus
 from ..operators.scan import bm25_top, coded, one_row_an_id
 from ..operators.search import exact_knn, merge_variants, normalized_by_best, rerank, top_k
 from ..sources.shared import kept, written
@@ -96,10 +96,7 @@ m AS (SELECT query_id, doc_id, count(*) AS n FROM q JOIN kw ON q.token = kw.kw G
 SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(bm25 * 0.5 * coalesce(n, 0), 6) AS bonus FROM s LEFT JOIN m USING (query_id, doc_id)""")
 def keyword_bonus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base scores and what extracted keywords (here: all words of a text) add."""
-    kw = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("keywords"))
-    q = items(spark, sf_dir)
-    out = keyword_bonus(all_scores(spark, sf_dir), q, kw)
-    return out.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("bonus", 6).alias("bonus"))
+    return keyword_scores(corpus(spark, sf_dir), items(spark, sf_dir))
 
 
 @query("""SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS rank, score FROM (
